@@ -127,7 +127,8 @@ def prepare_cards(cards: DataFrame, synonyms: DataFrame, rag: DataFrame) -> Data
         F.bit_or(phrase_mask(S.normalize("alias_or_question"))).alias("_alias_mask")
     )
     rows = cards.select(
-        "answer_id", "ordinal", "canonical_question", "student_question_patterns", "answer_points", "must_include"
+        "answer_id", "ordinal", "canonical_question", "student_question_patterns", "answer_points", "must_include",
+        "scope",
     ).repartition("answer_id")
     rows = rows.join(config, "answer_id", "left").join(alias_masks, "answer_id", "left")
     focused = (
@@ -141,6 +142,7 @@ def prepare_cards(cards: DataFrame, synonyms: DataFrame, rag: DataFrame) -> Data
     must = f"transform(coalesce(must_include, {S.NO_TEXTS}), m -> {S.normalize('m')})"
     return rows.select(
         "answer_id",
+        "scope",
         "ordinal",
         F.coalesce("config_points", F.lit(0.0)).alias("config_points"),
         F.expr(f"cast({S.normalize('canonical_question')} = '' as int)").alias("blank_canonical"),
@@ -160,8 +162,10 @@ def _config_only_cards(index: DataFrame, k: int) -> DataFrame:
     Such a card scores its own constant points, so only the best ``k`` of each
     group of cards that every rule treats alike can be in a result.
     """
-    alike = F.concat_ws("/", "focused_mask", "body_mask", "blank_canonical", "blank_must")
-    rows = index.select("answer_id", "ordinal", "config_points", "blank_canonical", "blank_must", alike.alias("_alike"))
+    alike = F.concat_ws("/", "scope", "focused_mask", "body_mask", "blank_canonical", "blank_must")
+    rows = index.select(
+        "answer_id", "ordinal", "config_points", "blank_canonical", "blank_must", alike.alias("_alike")
+    )
     rows = rows.where("config_points > 0 or blank_canonical = 1 or blank_must = 1")
     return top_k(rows, ["_alike"], [F.desc("config_points"), F.col("ordinal")], k).select(
         "answer_id", F.lit(1).alias("_everywhere")
@@ -175,15 +179,20 @@ def keyword_scores(
     rag: DataFrame,
     top: int = 5,
     limit: int = BROADCAST_POSTINGS,
+    scope: str | None = None,
 ) -> DataFrame:
     """RET-01: (question_id, rank, answer_id, ordinal, score, reasons) for the best ``top`` cards.
 
+    With ``scope`` (a card column such as the chapter) the best ``top`` cards
+    of every scope are kept, in one pass over all scopes.
+
     questions(question_id, question); cards(ordinal, answer_id,
     canonical_question, student_question_patterns, answer_points,
     must_include); synonyms(ordinal, target_id, standard_id,
     alias_or_question, priority); rag(ordinal, object_id, retrieval_priority,
     index_text, primary_output).
     """
+    cards = cards.withColumn("scope", (F.lit("") if scope is None else F.col(scope)).cast("string"))
     synonyms = resolve_synonyms(synonyms, cards)
     index = prepare_cards(cards, synonyms, rag)
     q = questions.select(
@@ -195,7 +204,7 @@ def keyword_scores(
     size = _question_size(q)
     small = size["postings"] <= limit
     static = index.select(
-        "answer_id", "ordinal", "config_points", "focused_mask", "body_mask",
+        "answer_id", "scope", "ordinal", "config_points", "focused_mask", "body_mask",
         F.struct("blank_canonical", "blank_must").alias("constants"), "focused_tokens",
     )
     masks = q.select("question_id", _asked_mask().alias("q_mask"))
@@ -209,7 +218,7 @@ def keyword_scores(
     )
     pairs = _token_evidence(q, index, top, small).unionByName(found, allowMissingColumns=True)
     pairs = pairs.groupBy("answer_id", "question_id").agg(
-        *[F.max(c).alias(c) for c in ("ordinal", "config_points", "focused_mask", "body_mask", "q_mask", "constants")],
+        *[F.max(c).alias(c) for c in ("scope", "ordinal", "config_points", "focused_mask", "body_mask", "q_mask", "constants")],
         F.coalesce(F.sum("focused"), F.lit(0)).alias("focused"),
         F.coalesce(F.sum("body"), F.lit(0)).alias("body"),
         F.coalesce(F.max("canonical_level"), F.lit(0)).alias("canonical_level"),
@@ -218,8 +227,8 @@ def keyword_scores(
         F.max("synonym_priority").alias("synonym_priority"),
     )
     scored = _score(pairs).where("score > 0")
-    best = top_k(scored, ["question_id"], [F.desc("score"), F.col("ordinal")], top)
-    return best.select("question_id", "rank", "answer_id", "ordinal", "score", _reasons().alias("reasons"))
+    best = top_k(scored, ["question_id", "scope"], [F.desc("score"), F.col("ordinal")], top)
+    return best.select("question_id", *([] if scope is None else ["scope"]), "rank", "answer_id", "ordinal", "score", _reasons().alias("reasons"))
 
 
 def _asked_mask() -> Column:
@@ -252,6 +261,7 @@ def _token_evidence(q: DataFrame, index: DataFrame, top: int, small: bool) -> Da
         index.join(F.broadcast(everywhere), "answer_id", "left")
         .select(
             "answer_id",
+            "scope",
             "ordinal",
             "config_points",
             "focused_mask",
@@ -271,6 +281,7 @@ def _token_evidence(q: DataFrame, index: DataFrame, top: int, small: bool) -> Da
         posting_join(rows, postings, "item", "answer_id", small)
         .groupBy("answer_id", "question_id")
         .agg(
+            F.max("scope").alias("scope"),
             F.max("ordinal").alias("ordinal"),
             F.max("config_points").alias("config_points"),
             F.max("focused_mask").alias("focused_mask"),

@@ -254,9 +254,9 @@ over(
 )
 over("txt_24_collapse_punctuation", digest(T.collapse_punctuation), "md5({x})")
 over(
-    "txt_25_formula_test", lambda c: T.looks_like_formula(F.substring(c, 1, 80)),
+    "txt_25_formula_test", lambda c: T.looks_like_formula(F.split(c, "\n")[0]),
     r"(select length(b) > 0 and length(b) <= 220 and (len(regexp_extract_all(b, '[=+\-*/×÷√∑ΣπΠ≤≥<>]')) >= 1 or "
-    r"len(regexp_extract_all(b, '[A-Za-zα-ωΑ-Ω0-9]')) >= 4) from (select replace(substr({x}, 1, 80), ' ', '') as b))",
+    r"len(regexp_extract_all(b, '[A-Za-zα-ωΑ-Ω0-9]')) >= 4) from (select replace(split_part({x}, chr(10), 1), ' ', '') as b))",
 )
 over(
     "txt_26_natural_key", T.natural_key,
