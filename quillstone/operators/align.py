@@ -1,14 +1,17 @@
-"""Alignment of chunks with source paragraphs (AUD-06 .. AUD-09, JOI-17 .. JOI-20, WIN-05, WIN-11)."""
+"""Alignment of chunks with source paragraphs (AUD-06 .. AUD-09, AUD-11, AUD-12, JOI-16 .. JOI-22, WIN-02, WIN-05)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import similarity
 from quillstone.functions import text as T
 from quillstone.functions import values as V
-from quillstone.operators.matching import contains_pairs
-from quillstone.operators.topk import keep_first, top_k
+from quillstone.operators.matching import BROADCAST_POSTINGS, contains_pairs, within
+from quillstone.operators.topk import keep_first, margin, top_k
+
+EMPTY = "array<string>"
 
 
 def excerpt_hits(samples: DataFrame, documents: DataFrame) -> DataFrame:
@@ -19,3 +22,320 @@ def excerpt_hits(samples: DataFrame, documents: DataFrame) -> DataFrame:
     )
     found = contains_pairs(documents, "doc_id", "document", ends, "item_id", "end")
     return found.select("item_id", "doc_id").distinct()
+
+
+def line_windows(lines: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """WIN-05: every run of 1..3 consecutive lines of a document as one text.
+
+    lines(doc_id, ordinal, text).  A line is sent to the few windows it belongs
+    to, so no document has to be sorted in one task.
+    """
+    starts = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(k).alias("k")) for s in sizes for k in range(s)])
+    parts = lines.select("*", F.explode(starts).alias("_w")).select(
+        "doc_id", (F.col("ordinal") - F.col("_w.k")).alias("line_start"), F.col("_w.size").alias("size"), "ordinal", "text"
+    )
+    return (
+        parts.groupBy("doc_id", "line_start", "size")
+        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("_l"))  # at most three lines
+        .where(F.size("_l") == F.col("size"))
+        .select(
+            "doc_id", "line_start", (F.col("line_start") + F.col("size") - 1).alias("line_end"),
+            F.array_join(F.transform("_l", lambda x: x["text"]), " ").alias("text"),
+        )
+    )
+
+
+def nearest_row(
+    anchors: DataFrame, rows: DataFrame, offsets: list[int], value: str, keys: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """JOI-19 / JOI-20: the first row found when looking at ``offsets`` in the given order.
+
+    anchors(keys.., ordinal); rows(keys.., ordinal, value).  Offsets become an
+    equi-join on the position, never a comparison of all pairs.
+    """
+    tries = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(o).alias("offset")) for i, o in enumerate(offsets)])
+    wanted = anchors.select(*keys, F.col("ordinal").alias("_anchor"), F.explode(tries).alias("_t")).withColumn(
+        "ordinal", F.col("_anchor") + F.col("_t.offset")
+    )
+    return (
+        wanted.join(rows.select(*keys, "ordinal", value), [*keys, "ordinal"])
+        .groupBy(*keys, F.col("_anchor").alias("ordinal"))
+        .agg(F.min_by(F.struct(value, F.col("_t.offset").alias("offset")), F.col("_t.order")).alias("_r"))
+        .select(*keys, "ordinal", F.col(f"_r.{value}").alias(value), "_r.offset")
+    )
+
+
+def forward_first(reach: int) -> list[int]:
+    """Own position, then +1, -1, +2, -2 .. (figure captions)."""
+    return [0] + [o for d in range(1, reach + 1) for o in (d, -d)]
+
+
+def backward_first(reach: int) -> list[int]:
+    """Own position, then -1, +1, -2, +2 .. (captions above their picture)."""
+    return [0] + [o for d in range(1, reach + 1) for o in (-d, d)]
+
+
+def marker_slices(lines: DataFrame, markers: DataFrame) -> DataFrame:
+    """JOI-18 / WIN-07: lines between a section's first marker and the next section's.
+
+    markers(section_id, order, doc_id, marker): a section starts at the first
+    line holding its marker.  Starts are few per document, so they are joined back.
+    """
+    found = (
+        lines.join(F.broadcast(markers), "doc_id")
+        .where(F.contains(T.compact_mapping("text"), T.compact_mapping("marker")))
+        .groupBy("doc_id", "section_id", "order")
+        .agg(F.min("ordinal").alias("start"))
+    )
+    following = found.alias("a").join(found.alias("b"), "doc_id").where("b.start > a.start")
+    ends = following.groupBy("doc_id", F.col("a.section_id").alias("section_id")).agg(F.min("b.start").alias("end"))
+    spans = found.join(ends, ["doc_id", "section_id"], "left")
+    rows = lines.join(spans, "doc_id").where("ordinal >= start and (end is null or ordinal < end)")
+    return rows.select("doc_id", "section_id", "ordinal", "text")
+
+
+def alignment_status(chunks: DataFrame, documents: DataFrame, terms: Column) -> DataFrame:
+    """AUD-06: xml_residue, exact, partial, concept_supported or missing per chunk.
+
+    chunks(chunk_id, excerpt); documents(doc_id, text).  ``terms`` are the
+    significant terms of an excerpt; two of them anywhere in the documents
+    support the concept.  Every step is an anchored substring join.
+    """
+    rows = chunks.select("chunk_id", "excerpt", T.compact_spaces("excerpt").alias("sample"))
+    residue = F.contains("excerpt", F.lit("<w:")) | F.contains("excerpt", F.lit("</w:"))
+    texts = documents.select("doc_id", T.compact_spaces("text").alias("document"))
+    exact = contains_pairs(texts, "doc_id", "document", rows, "chunk_id", "sample").select("chunk_id").distinct()
+    partial = (
+        excerpt_hits(rows.select(F.col("chunk_id").alias("item_id"), "sample"), texts)
+        .select(F.col("item_id").alias("chunk_id"))
+        .distinct()
+    )
+    words = rows.select("chunk_id", F.explode(F.array_distinct(terms)).alias("term")).select(
+        "chunk_id", T.compact_spaces("term").alias("term")
+    ).where("term <> ''").distinct()
+    known = contains_pairs(
+        texts, "doc_id", "document", words.select("term").distinct().withColumn("key", F.col("term")), "term", "key"
+    ).select("term").distinct()
+    support = words.join(known, "term", "left_semi").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("support_terms"))
+    return (
+        rows.join(exact.withColumn("_exact", F.lit(True)), "chunk_id", "left")
+        .join(partial.withColumn("_partial", F.lit(True)), "chunk_id", "left")
+        .join(support, "chunk_id", "left")
+        .select(
+            "chunk_id",
+            F.when(residue, "xml_residue")
+            .when(F.col("_exact"), "exact")
+            .when(F.col("_partial"), "partial")
+            .when(F.coalesce("support_terms", F.lit(0)) >= 2, "concept_supported")
+            .otherwise("missing")
+            .alias("status"),
+        )
+    )
+
+
+def chunk_class(status: Column, support_terms: Column, preview: Column) -> Column:
+    """AUD-09: classification of a chunk from its alignment status."""
+    crossing = preview.rlike(r"（\d+）|\(\d+\)|^\d+\.|如下|公式|目标|解支配|折扣回报|图\d+")
+    return (
+        F.when(status == "exact", "direct_textbook_evidence")
+        .when(status == "partial", "partial_or_boundary_variation")
+        .when(status == "concept_supported", "concept_supported_summary")
+        .when(support_terms > 0, "summary_with_term_support")
+        .when(crossing, "cross_paragraph_or_formula_fragment")
+        .otherwise("needs_manual_textbook_anchor")
+    )
+
+
+def card_class(kp_hit: Column, evidence_ok: Column, question_type: Column, question: Column) -> Column:
+    """AUD-09: classification of a card."""
+    teaching = question_type.isin(*V.TEACHING_TYPES) | T.any_word(question, V.TEACHING_WORDS)
+    return (
+        F.when(kp_hit & evidence_ok & teaching, "teaching_rewrite_supported")
+        .when(kp_hit, "needs_question_alias")
+        .otherwise("needs_textbook_anchor")
+    )
+
+
+def heading_score(heading: Column, text: Column) -> Column:
+    """AUD-09: score of a heading against a target text; bind from 0.42."""
+    options = T.heading_variants(heading)
+    keys = F.filter(
+        F.array_distinct(
+            F.flatten(F.transform(options, lambda o: F.array(T.compact_enrich(o), T.semantic_compact(o))))
+        ),
+        lambda k: k != "",
+    )
+    targets = F.filter(F.array_distinct(F.array(T.compact_enrich(text), T.semantic_compact(text))), lambda k: k != "")
+    wanted = F.array_distinct(T.terms(options, 1000, key=T.compact_enrich))
+    overlap = F.size(F.array_intersect(wanted, T.terms(F.array(text), 1_000_000, key=T.compact_enrich)))
+    inside = F.exists(keys, lambda k: F.exists(targets, lambda t: F.contains(t, k)))
+    around = F.exists(keys, lambda k: F.exists(targets, lambda t: F.contains(k, t) & (F.length(t) >= 4)))
+    ratio = F.coalesce(
+        F.array_max(F.flatten(F.transform(keys, lambda k: F.transform(targets, lambda t: T.bigram_ratio(k, t))))), F.lit(0.0)
+    )
+    return F.round(
+        F.when(inside, 1.0).otherwise(0.0)
+        + F.when(around, 0.7).otherwise(0.0)
+        + F.when(ratio >= 0.7, F.least(F.lit(0.6), ratio * 0.6)).otherwise(0.0)
+        + F.when(F.size(wanted) > 0, overlap / F.greatest(F.size(wanted), F.lit(1))).otherwise(0.0)
+        + F.least(F.lit(0.25), overlap * 0.04),
+        4,
+    )
+
+
+def boundary_review(chunks: DataFrame, windows: DataFrame, limit: int = BROADCAST_POSTINGS) -> DataFrame:
+    """AUD-08 / JOI-17: best paragraph window per chunk, its margin and the review status.
+
+    chunks(chunk_id, section_id, excerpt, summary, heading, classification);
+    windows(section_id, doc_id, line_start, line_end, text).  The sequence
+    matcher is the costly part, so every pair first gets a lower and an upper
+    bound without it; only pairs that can still reach the best two are matched.
+    """
+    asked = chunks.select(
+        "chunk_id", "section_id",
+        *[T.compact_boundary(c).alias(f"_{c}") for c in ("excerpt", "summary")],
+        T.compact_boundary(F.element_at(F.split("heading", ">"), -1)).alias("_heading"),
+        F.transform(
+            T.terms(F.array("excerpt", "summary", "heading"), 20), lambda t: T.compact_boundary(t)
+        ).alias("_terms"),
+    )
+    rows = windows.select(
+        "section_id", "doc_id", "line_start", "line_end", T.compact_boundary("text").alias("_text")
+    ).where("_text <> ''")
+    small = within(asked, limit // 1000)
+    pairs = rows.join(F.broadcast(asked) if small else asked, "section_id")
+    matched = F.size(F.filter("_terms", lambda t: F.contains(F.col("_text"), t)))
+    share = F.when(F.size("_terms") > 0, matched / F.size("_terms")).otherwise(0.0)
+
+    def total(measure) -> Column:
+        excerpt, summary, heading = (measure(F.col(c), F.col("_text")) for c in ("_excerpt", "_summary", "_heading"))
+        score = T.let(
+            F.struct(excerpt.alias("e"), summary.alias("s"), heading.alias("h")),
+            lambda m: F.least(
+                F.lit(1.0),
+                0.48 * m["e"] + 0.24 * m["s"] + 0.10 * m["h"] + 0.18 * F.col("_share")
+                + F.when(m["e"] >= 0.65, 0.10).when(m["s"] >= 0.65, 0.06).otherwise(0.0)
+                + F.when(F.col("_matched") >= 3, 0.04).otherwise(0.0),
+            ),
+        )
+        return score
+
+    def floor(left: Column, right: Column) -> Column:
+        return (
+            F.when((left == "") | (right == ""), F.lit(0.0))
+            .when(F.contains(right, left), F.lit(1.0))
+            .when(F.contains(left, right), F.length(right) / F.length(left))
+            .otherwise(0.55 * similarity.gram_jaccard(left, right))
+        )
+
+    bounded = pairs.select("*", matched.alias("_matched"), share.alias("_share")).select(
+        "*", total(floor).alias("_low"), total(similarity.similarity_bound).alias("_high")
+    )
+    position = [F.col("doc_id"), F.col("line_start"), F.col("line_end")]
+    second = top_k(bounded.select("chunk_id", "_low", *position), ["chunk_id"], [F.desc("_low"), *position], 2)
+    needed = second.groupBy("chunk_id").agg(
+        F.when(F.count(F.lit(1)) >= 2, F.min("_low")).otherwise(F.lit(0.0)).alias("_needed")
+    )
+    open_pairs = bounded.join(needed, "chunk_id").where("_high >= _needed")
+    measured = open_pairs.select(
+        "*",
+        *[similarity.text_similarity(F.col(f"_{c}"), F.col("_text")).alias(f"{c}_score") for c in ("excerpt", "summary", "heading")],
+    )
+    score = F.round(
+        F.least(
+            F.lit(1.0),
+            0.48 * F.col("excerpt_score") + 0.24 * F.col("summary_score") + 0.10 * F.col("heading_score") + 0.18 * F.col("_share")
+            + F.when(F.col("excerpt_score") >= 0.65, 0.10).when(F.col("summary_score") >= 0.65, 0.06).otherwise(0.0)
+            + F.when(F.col("_matched") >= 3, 0.04).otherwise(0.0),
+        ),
+        6,
+    )
+    scored = measured.select("chunk_id", "doc_id", "line_start", "line_end", score.alias("score")).where("score > 0")
+    order = [F.desc("score"), *position[:2], F.col("line_end")]
+    best = keep_first(scored, ["chunk_id"], order).select("chunk_id", "doc_id", "line_start", "line_end")
+    gaps = margin(scored, "chunk_id", "score", order)
+    result = chunks.select("chunk_id", "classification").join(best, "chunk_id", "left").join(gaps, "chunk_id", "left")
+    top, gap = F.coalesce("best_score", F.lit(0.0)), F.coalesce("score_margin", F.lit(0.0))
+    return result.select(
+        "chunk_id", "doc_id", "line_start", "line_end", top.alias("best_score"), F.round(gap, 6).alias("score_margin"),
+        review_status(F.col("classification"), top, gap).alias("review_status"),
+    )
+
+
+def review_status(classification: Column, score: Column, gap: Column) -> Column:
+    """AUD-08: the original class decides first, then score and margin."""
+    return (
+        F.when(classification == "summary_with_term_support", "term_supported_summary_review")
+        .when(classification == "cross_paragraph_or_formula_fragment", "boundary_fragment_review")
+        .when((score >= 0.46) & (gap >= 0.025), "candidate_anchor_review")
+        .otherwise("manual_anchor_required")
+    )
+
+
+def mapping_score(title: Column, definition: Column, excerpt: Column, share: Column, matched: Column) -> Column:
+    """AUD-07: combined score of a line window; all inputs in 0..1."""
+    support = (definition >= 0.20) | (excerpt >= 0.20) | (share >= 0.20)
+    return F.round(
+        F.least(
+            F.lit(1.0),
+            0.30 * title + 0.25 * definition + 0.25 * excerpt + 0.20 * share
+            + F.when((title >= 0.88) & support, 0.07).otherwise(0.0)
+            + F.when((title >= 0.76) & (matched >= 2), 0.04).otherwise(0.0),
+        ),
+        6,
+    )
+
+
+def mapping_status(score: Column, gap: Column, title: Column, definition: Column, excerpt: Column, size: Column, semantic: Column) -> Column:
+    """AUD-07: high, medium or manual."""
+    anchored = title >= 0.76
+    content = (definition >= 0.12) | (excerpt >= 0.12)
+    meaning = F.coalesce(semantic >= 0.72, F.lit(False))
+    high = (score >= 0.56) & (gap >= 0.045) & (size >= 24) & ((anchored & content) | (meaning & (anchored | content)))
+    return (
+        F.when(high, "high_confidence")
+        .when((score >= 0.43) & (anchored | (gap >= 0.045)), "medium_confidence")
+        .otherwise("manual_review")
+    )
+
+
+def title_score(variant: Column, first_line: Column, window: Column) -> Column:
+    """AUD-07: how a title stands to the first line and the window (compact texts)."""
+    return (
+        F.when((variant == "") | (window == ""), 0.0)
+        .when(variant == first_line, 1.0)
+        .when(F.contains(first_line, variant) | F.contains(variant, first_line), 0.88)
+        .when(F.contains(window, variant), 0.76)
+        .otherwise(0.6 * similarity.sequence_ratio(variant, first_line))
+    )
+
+
+def term_matrix(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """JOI-22 / AUD-12: for every term, how many texts of every kind hold it.
+
+    terms(term); texts(kind, doc_id, text).
+    """
+    rows = texts.select(F.struct("kind", "doc_id").alias("_id"), F.lower("text").alias("_text"))
+    needles = terms.select("term", F.lower("term").alias("_needle"))
+    found = contains_pairs(rows, "_id", "_text", needles, "term", "_needle").distinct()
+    return found.groupBy("term", F.col("_id.kind").alias("kind")).agg(F.count(F.lit(1)).alias("hits"))
+
+
+def frequent_terms(texts: DataFrame, known: DataFrame, pattern: str, limit: int = 160, shown: int = 40) -> DataFrame:
+    """AGG-12: frequent terms of the source that the knowledge base lacks.
+
+    The ``limit`` most frequent terms are taken first, then those occurring
+    twice and absent from every known text, of which the first ``shown`` count.
+    """
+    counted = (
+        texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), "term")
+        .limit(limit)
+        .where("n >= 2")
+    )
+    rows = known.select("doc_id", T.compact_spaces("text").alias("_text"))
+    needles = counted.select("term", T.compact_spaces("term").alias("_needle"))
+    held = contains_pairs(rows, "doc_id", "_text", needles, "term", "_needle").select("term").distinct()
+    return counted.join(held, "term", "left_anti").orderBy(F.desc("n"), "term").limit(shown)
