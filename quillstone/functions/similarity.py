@@ -13,8 +13,23 @@ from quillstone.functions.text import ngrams
 
 @F.pandas_udf("double")
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratio of matching blocks, junk heuristic included; the only Python in the scoring path."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)])
+    """Ratio of matching blocks, junk heuristic included; null where either side is null.
+
+    Spark evaluates a Python function for every row, also in the branches of a
+    CASE, so callers pass null where the ratio is not needed.
+    """
+    matcher, ratios = SequenceMatcher(None), []
+    last = None
+    for a, b in zip(left, right):
+        if a is None or b is None:
+            ratios.append(None)
+            continue
+        if b != last:  # the index of the second text is kept while it repeats
+            matcher.set_seq2(b)
+            last = b
+        matcher.set_seq1(a)
+        ratios.append(matcher.ratio())
+    return pd.Series(ratios, dtype="float64")
 
 
 def gram_jaccard(left: Column, right: Column, size: int = 3) -> Column:
@@ -25,27 +40,28 @@ def gram_jaccard(left: Column, right: Column, size: int = 3) -> Column:
 
 def text_similarity(left: Column, right: Column) -> Column:
     """TXT-17 on compact texts: containment first, else 0.45 sequence + 0.55 trigram Jaccard."""
+    plain = (left == "") | (right == "") | F.contains(right, left) | F.contains(left, right)
+    ratio = sequence_ratio(F.when(~plain, left), F.when(~plain, right))
     return (
         F.when((left == "") | (right == ""), F.lit(0.0))
         .when(F.contains(right, left), F.lit(1.0))
         .when(F.contains(left, right), F.length(right) / F.length(left))
-        .otherwise(0.45 * sequence_ratio(left, right) + 0.55 * gram_jaccard(left, right))
+        .otherwise(0.45 * ratio + 0.55 * gram_jaccard(left, right))
     )
 
 
-def similarity_bound(left: Column, right: Column) -> Column:
-    """Upper bound of ``text_similarity`` without the sequence matcher.
-
-    The matcher can match at most the characters of the shorter text, so its
-    ratio is at most twice that length over both lengths.
-    """
-    ratio = 2 * F.least(F.length(left), F.length(right)) / (F.length(left) + F.length(right))
+def settled(left: Column, right: Column) -> Column:
+    """Similarity where containment decides it, else null."""
     return (
         F.when((left == "") | (right == ""), F.lit(0.0))
         .when(F.contains(right, left), F.lit(1.0))
         .when(F.contains(left, right), F.length(right) / F.length(left))
-        .otherwise(0.45 * ratio + 0.55 * gram_jaccard(left, right))
     )
 
 
-__all__ = ["gram_jaccard", "sequence_ratio", "similarity_bound", "text_similarity"]
+def ratio_bound(left: Column, right: Column) -> Column:
+    """The matcher can match at most the characters of the shorter text."""
+    return 2 * F.least(F.length(left), F.length(right)) / (F.length(left) + F.length(right))
+
+
+__all__ = ["gram_jaccard", "ratio_bound", "sequence_ratio", "settled", "text_similarity"]

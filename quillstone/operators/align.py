@@ -81,8 +81,9 @@ def marker_slices(lines: DataFrame, markers: DataFrame) -> DataFrame:
     markers(section_id, order, doc_id, marker): a section starts at the first
     line holding its marker.  Starts are few per document, so they are joined back.
     """
+    lines = lines.select("doc_id", "ordinal", "text")
     found = (
-        lines.join(F.broadcast(markers), "doc_id")
+        lines.join(markers, "doc_id")
         .where(F.contains(T.compact_mapping("text"), T.compact_mapping("marker")))
         .groupBy("doc_id", "section_id", "order")
         .agg(F.min("ordinal").alias("start"))
@@ -191,6 +192,7 @@ def boundary_review(chunks: DataFrame, windows: DataFrame, limit: int = BROADCAS
     matcher is the costly part, so every pair first gets a lower and an upper
     bound without it; only pairs that can still reach the best two are matched.
     """
+    parts = ("excerpt", "summary", "heading")
     asked = chunks.select(
         "chunk_id", "section_id",
         *[T.compact_boundary(c).alias(f"_{c}") for c in ("excerpt", "summary")],
@@ -198,57 +200,63 @@ def boundary_review(chunks: DataFrame, windows: DataFrame, limit: int = BROADCAS
         F.transform(
             T.terms(F.array("excerpt", "summary", "heading"), 20), lambda t: T.compact_boundary(t)
         ).alias("_terms"),
-    )
+    ).select("*", *[T.ngrams(F.col(f"_{c}"), 3).alias(f"_{c}_grams") for c in parts])
     rows = windows.select(
         "section_id", "doc_id", "line_start", "line_end", T.compact_boundary("text").alias("_text")
-    ).where("_text <> ''")
+    ).where("_text <> ''").select("*", T.ngrams(F.col("_text"), 3).alias("_grams"))
     small = within(asked, limit // 1000)
     pairs = rows.join(F.broadcast(asked) if small else asked, "section_id")
     matched = F.size(F.filter("_terms", lambda t: F.contains(F.col("_text"), t)))
-    share = F.when(F.size("_terms") > 0, matched / F.size("_terms")).otherwise(0.0)
+
+    def shared(part: str) -> Column:
+        """Jaccard of the gram sets, from the size of the intersection alone."""
+        mine, theirs = F.col(f"_{part}_grams"), F.col("_grams")
+        both = F.size(F.array_intersect(mine, theirs))
+        return both / (F.size(mine) + F.size(theirs) - both)
+
+    facts = pairs.select(
+        "chunk_id", "doc_id", "line_start", "line_end", "_text", *[f"_{c}" for c in parts], F.size("_terms").alias("_asked"),
+        matched.alias("_matched"),
+        *[similarity.settled(F.col(f"_{c}"), F.col("_text")).alias(f"{c}_settled") for c in parts],
+        *[
+            F.when(similarity.settled(F.col(f"_{c}"), F.col("_text")).isNull(), shared(c)).alias(f"{c}_shared")
+            for c in parts
+        ],
+    )
+    share = F.when(F.col("_asked") > 0, F.col("_matched") / F.col("_asked")).otherwise(0.0)
 
     def total(measure) -> Column:
-        excerpt, summary, heading = (measure(F.col(c), F.col("_text")) for c in ("_excerpt", "_summary", "_heading"))
-        score = T.let(
-            F.struct(excerpt.alias("e"), summary.alias("s"), heading.alias("h")),
-            lambda m: F.least(
-                F.lit(1.0),
-                0.48 * m["e"] + 0.24 * m["s"] + 0.10 * m["h"] + 0.18 * F.col("_share")
-                + F.when(m["e"] >= 0.65, 0.10).when(m["s"] >= 0.65, 0.06).otherwise(0.0)
-                + F.when(F.col("_matched") >= 3, 0.04).otherwise(0.0),
-            ),
-        )
-        return score
-
-    def floor(left: Column, right: Column) -> Column:
-        return (
-            F.when((left == "") | (right == ""), F.lit(0.0))
-            .when(F.contains(right, left), F.lit(1.0))
-            .when(F.contains(left, right), F.length(right) / F.length(left))
-            .otherwise(0.55 * similarity.gram_jaccard(left, right))
+        excerpt, summary, heading = (measure(c) for c in parts)
+        return F.least(
+            F.lit(1.0),
+            0.48 * excerpt + 0.24 * summary + 0.10 * heading + 0.18 * share
+            + F.when(excerpt >= 0.65, 0.10).when(summary >= 0.65, 0.06).otherwise(0.0)
+            + F.when(F.col("_matched") >= 3, 0.04).otherwise(0.0),
         )
 
-    bounded = pairs.select("*", matched.alias("_matched"), share.alias("_share")).select(
-        "*", total(floor).alias("_low"), total(similarity.similarity_bound).alias("_high")
-    )
+    def floor(part: str) -> Column:
+        return F.coalesce(f"{part}_settled", 0.55 * F.col(f"{part}_shared"))
+
+    def ceiling(part: str) -> Column:
+        best = 0.45 * similarity.ratio_bound(F.col(f"_{part}"), F.col("_text")) + 0.55 * F.col(f"{part}_shared")
+        return F.coalesce(f"{part}_settled", best)
+
+    bounded = facts.select("*", total(floor).alias("_low"), total(ceiling).alias("_high"))
     position = [F.col("doc_id"), F.col("line_start"), F.col("line_end")]
     second = top_k(bounded.select("chunk_id", "_low", *position), ["chunk_id"], [F.desc("_low"), *position], 2)
     needed = second.groupBy("chunk_id").agg(
         F.when(F.count(F.lit(1)) >= 2, F.min("_low")).otherwise(F.lit(0.0)).alias("_needed")
     )
     open_pairs = bounded.join(needed, "chunk_id").where("_high >= _needed")
-    measured = open_pairs.select(
-        "*",
-        *[similarity.text_similarity(F.col(f"_{c}"), F.col("_text")).alias(f"{c}_score") for c in ("excerpt", "summary", "heading")],
-    )
+
+
+    def ratio(part: str) -> Column:
+        still_open = F.col(f"{part}_settled").isNull()
+        return similarity.sequence_ratio(F.when(still_open, F.col(f"_{part}")), F.when(still_open, F.col("_text")))
+
+    measured = open_pairs.select("*", *[ratio(c).alias(f"{c}_ratio") for c in parts])
     score = F.round(
-        F.least(
-            F.lit(1.0),
-            0.48 * F.col("excerpt_score") + 0.24 * F.col("summary_score") + 0.10 * F.col("heading_score") + 0.18 * F.col("_share")
-            + F.when(F.col("excerpt_score") >= 0.65, 0.10).when(F.col("summary_score") >= 0.65, 0.06).otherwise(0.0)
-            + F.when(F.col("_matched") >= 3, 0.04).otherwise(0.0),
-        ),
-        6,
+        total(lambda c: F.coalesce(f"{c}_settled", 0.45 * F.col(f"{c}_ratio") + 0.55 * F.col(f"{c}_shared"))), 6
     )
     scored = measured.select("chunk_id", "doc_id", "line_start", "line_end", score.alias("score")).where("score > 0")
     order = [F.desc("score"), *position[:2], F.col("line_end")]
@@ -301,12 +309,15 @@ def mapping_status(score: Column, gap: Column, title: Column, definition: Column
 
 def title_score(variant: Column, first_line: Column, window: Column) -> Column:
     """AUD-07: how a title stands to the first line and the window (compact texts)."""
+    open_ = (variant != "") & ~(
+        F.contains(first_line, variant) | F.contains(variant, first_line) | F.contains(window, variant)
+    )
     return (
         F.when((variant == "") | (window == ""), 0.0)
         .when(variant == first_line, 1.0)
         .when(F.contains(first_line, variant) | F.contains(variant, first_line), 0.88)
         .when(F.contains(window, variant), 0.76)
-        .otherwise(0.6 * similarity.sequence_ratio(variant, first_line))
+        .otherwise(0.6 * similarity.sequence_ratio(F.when(open_, variant), F.when(open_, first_line)))
     )
 
 

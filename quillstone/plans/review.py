@@ -44,11 +44,13 @@ def _(kb: KB) -> DataFrame:
 
 @register(
     "aud_06_alignment_status",
-    f"""with d as (select {gone('lower(text)', '')} as t from documents), b as (select item_id, text, {gone('lower(text)', '')} as s from benchmark)
-      select item_id as chunk_id, case when exists (select 1 from d where contains(t, s)) then 'exact'
+    f"""with d as (select {gone('lower(text)', '')} as t from documents), b as (select item_id, text, {gone('lower(text)', '')} as s from benchmark),
+      w as (select distinct item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}'))) as w from benchmark),
+      k as (select w from (select distinct w from w) where exists (select 1 from d where contains(t, w))),
+      n as (select item_id, count(*) as n from w join k using (w) group by 1)
+      select b.item_id as chunk_id, case when exists (select 1 from d where contains(t, s)) then 'exact'
         when length(s) >= 20 and exists (select 1 from d where contains(t, left(s, 40)) or contains(t, right(s, 40))) then 'partial'
-        when len([w for w in list_distinct([lower(x) for x in regexp_extract_all(text, '[A-Za-z]{{6,}}')])
-                  if list_bool_or([contains(x, w) for x in (select list(t) from d)])]) >= 2 then 'concept_supported' else 'missing' end as status from b""",
+        when n >= 2 then 'concept_supported' else 'missing' end as status from b left join n using (item_id)""",
 )
 def _(kb: KB) -> DataFrame:
     chunks = kb.raw("benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("excerpt"))
@@ -334,12 +336,13 @@ def _(kb: KB) -> DataFrame:
 @register(
     "etl_11_merge_patterns",
     sql(
-        """with inc as (select target_id as answer_id, trim(alias_or_question) as pattern from synonyms),
-        own as (select pattern, 'a' || min(o) as owner from (select unnest(student_question_patterns) as pattern, ordinal as o from cards) group by 1 having count(*) > 1),
-        allp as (select answer_id, unnest(student_question_patterns) as pattern, 0 as s from cards
-                 union all select answer_id, pattern, 1 from inc where answer_id in (select answer_id from cards) and pattern <> '')
-        select c.answer_id, count(distinct p.pattern) filter (o.owner is null or o.owner = c.answer_id) as patterns
-        from cards c left join allp p on p.answer_id = c.answer_id and p.pattern <> '' left join own o on o.pattern = p.pattern group by 1"""
+        """select c.answer_id, count(distinct p.pattern) filter (o.owner is null or o.owner = c.answer_id) as patterns
+        from cards c left join allp p on p.answer_id = c.answer_id and p.pattern <> '' left join own o on o.pattern = p.pattern group by 1""",
+        inc="select target_id as answer_id, trim(alias_or_question) as pattern from synonyms",
+        own="""select pattern, 'a' || min(o) as owner from (select unnest(student_question_patterns) as pattern, ordinal as o from cards)
+           group by 1 having count(*) > 1""",
+        allp="""select answer_id, unnest(student_question_patterns) as pattern, 0 as s from cards
+           union all select answer_id, pattern, 1 from inc where answer_id in (select answer_id from cards) and pattern <> ''""",
     ),
 )
 def _(kb: KB) -> DataFrame:
