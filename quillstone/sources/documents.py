@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -97,7 +98,7 @@ class _Labels(HTMLParser):
             self.found.setdefault(text)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def page_labels(html: pd.Series) -> pd.Series:
     """SRC-08: the first 60 distinct visible texts of 2..79 characters."""
 
@@ -123,7 +124,7 @@ def _json_end(text: str, start: int) -> int:
     return -1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def script_constant(html: pd.Series, name: pd.Series) -> pd.Series:
     """SRC-09: the JSON text of ``const NAME = ...`` in a page, null when absent."""
 
@@ -174,7 +175,7 @@ def pipe_table(lines: Column, reach: int = 12) -> Column:
     return F.transform(body, lambda r: F.map_from_arrays(columns, F.slice(r, F.lit(1), F.size(columns))))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def minimal_word_file(text: pd.Series) -> pd.Series:
     """A Word file with one paragraph per line; the writing side of ``read_word`` for tests."""
 
