@@ -105,22 +105,26 @@ def alignment_status(chunks: DataFrame, documents: DataFrame, terms: Column) ->
     rows = chunks.select("chunk_id", "excerpt", T.compact_spaces("excerpt").alias("sample"))
     residue = F.contains("excerpt", F.lit("<w:")) | F.contains("excerpt", F.lit("</w:"))
     texts = documents.select("doc_id", T.compact_spaces("text").alias("document"))
-    exact = contains_pairs(texts, "doc_id", "document", rows, "chunk_id", "sample").select("chunk_id").distinct()
-    partial = (
-        excerpt_hits(rows.select(F.col("chunk_id").alias("item_id"), "sample"), texts)
-        .select(F.col("item_id").alias("chunk_id"))
-        .distinct()
-    )
+    long = rows.where("length(sample) >= 20")
     words = rows.select("chunk_id", F.explode(F.array_distinct(terms)).alias("term")).select(
         "chunk_id", T.compact_spaces("term").alias("term")
     ).where("term <> ''").distinct()
-    known = contains_pairs(
-        texts, "doc_id", "document", words.select("term").distinct().withColumn("key", F.col("term")), "term", "key"
-    ).select("term").distinct()
+    # one pass over the documents answers all three questions
+    needle = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id")).alias("needle")
+    needles = (
+        rows.select(needle("exact", "chunk_id"), F.col("sample").alias("text"))
+        .unionByName(long.select(needle("partial", "chunk_id"), F.left("sample", F.lit(40)).alias("text")))
+        .unionByName(long.select(needle("partial", "chunk_id"), F.right("sample", F.lit(40)).alias("text")))
+        .unionByName(words.select("term").distinct().select(needle("term", "term"), F.col("term").alias("text")))
+    )
+    hits = contains_pairs(texts, "doc_id", "document", needles, "needle", "text").select("needle.*").distinct()
+    by_chunk = hits.where("kind <> 'term'").groupBy(F.col("id").alias("_id")).agg(
+        F.max(F.col("kind") == "exact").alias("_exact"), F.max(F.col("kind") == "partial").alias("_partial")
+    )
+    known = hits.where("kind = 'term'").select(F.col("id").alias("term"))
     support = words.join(known, "term", "left_semi").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("support_terms"))
     return (
-        rows.join(exact.withColumn("_exact", F.lit(True)), "chunk_id", "left")
-        .join(partial.withColumn("_partial", F.lit(True)), "chunk_id", "left")
+        rows.join(by_chunk, F.col("chunk_id").cast("string") == F.col("_id"), "left")
         .join(support, "chunk_id", "left")
         .select(
             "chunk_id",

@@ -308,11 +308,11 @@ def _text_evidence(q: DataFrame, cards: DataFrame, size: dict, small: bool) -> D
         .select(
             "answer_id",
             F.expr(
-                f"explode(concat(array(struct('c' as kind, {S.normalize('canonical_question')} as t)), "
+                f"posexplode(concat(array(struct('c' as kind, {S.normalize('canonical_question')} as t)), "
                 f"{entries('student_question_patterns', 'p')}, {entries('must_include', 'm')}))"
-            ).alias("_x"),
+            ).alias("n", "_x"),
         )
-        .select("answer_id", F.col("_x.kind").alias("kind"), F.col("_x.t").alias("t"))
+        .select("answer_id", "n", F.col("_x.kind").alias("kind"), F.col("_x.t").alias("t"))
     )
 
     def tag(prefix: str, keys: str) -> str:
@@ -332,11 +332,17 @@ def _text_evidence(q: DataFrame, cards: DataFrame, size: dict, small: bool) -> D
         f"concat({tag('n:', f'array_distinct(concat({inner}))')}, "
         f"array(concat('h:', {anchor_sql('q_norm')}), concat('k:', q_core)))"
     )
-    rows = texts.withColumn("key", F.explode(row_keys))
+    # only the keys are exploded: a long text is never copied once per key
+    rows = texts.select("answer_id", "n", F.explode(row_keys).alias("key"))
     postings = q.withColumn("key", F.explode(q_keys))
-    joined = posting_join(rows, postings, "key", "answer_id", small)
+    joined = (
+        posting_join(rows, postings, "key", "answer_id", small)
+        .groupBy("answer_id", "n", "question_id")
+        .agg(F.first("q_norm").alias("q_norm"), F.max(F.startswith("key", F.lit("k:"))).alias("same_core"))
+        .join(texts, ["answer_id", "n"])
+    )
     inside = F.contains("q_norm", F.col("t")) | ((F.col("kind") != "m") & F.contains("t", F.col("q_norm")))
-    joined = joined.where(F.startswith("key", F.lit("k:")) | inside)
+    joined = joined.where(F.col("same_core") | inside)
     level = F.when(F.col("t") == F.col("q_norm"), 3).when(inside, 2).otherwise(1)
     return joined.groupBy("answer_id", "question_id").agg(
         F.max(F.when(F.col("kind") == "c", level)).alias("canonical_level"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import grams
+from quillstone.functions import sqltext as S
 
 BROADCAST_POSTINGS = 4_000_000
 SALTS = 32
@@ -81,17 +81,6 @@ def anchor_sql(text: str) -> str:
     return f"substring({text}, 1, case {steps} else 1 end)"
 
 
-def anchor(text: Column) -> Column:
-    """The leading characters a text is looked up by."""
-    return F.substring(text, F.lit(1), anchor_length(text))
-
-
-def all_anchors(text: Column | str, lengths: tuple[int, ...] = ANCHOR_LENGTHS) -> Column:
-    """Every substring of ``text`` that could be the anchor of a text inside it."""
-    parts = [grams(text, length) for length in lengths]
-    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
-
-
 def needle_lengths(needles: DataFrame, text: Column) -> tuple[int, ...]:
     """Which anchor lengths the needles use (at most ``len(ANCHOR_LENGTHS)`` values)."""
     found = needles.where(F.length(text) > 0).select(anchor_length(text).alias("n")).distinct().collect()
@@ -112,13 +101,16 @@ def contains_pairs(
     Every needle is looked up by its leading characters among the substrings
     of the haystacks; the hit is then verified on the whole texts.
     """
-    needles = needles.where(F.length(needle_text) > 0)
-    lengths = needle_lengths(needles, F.col(needle_text))
-    rows = haystacks.select(haystack_id, F.col(haystack_text).alias("_hay"))
-    rows = rows.withColumn("_key", F.explode(all_anchors(F.col("_hay"), lengths)))
-    postings = needles.select(needle_id, F.col(needle_text).alias("_needle"), anchor(F.col(needle_text)).alias("_key"))
+    needles = needles.where(F.length(needle_text) > 0).select(needle_id, F.col(needle_text).alias("_needle"))
+    lengths = needle_lengths(needles, F.col("_needle"))
+    texts = haystacks.select(haystack_id, F.col(haystack_text).alias("_hay")).repartition(haystack_id)
+    found = ", ".join([S.NO_TEXTS, *[S.cuts("_hay", n) for n in lengths]])
+    # only the keys are exploded: a long text is never copied once per key
+    keys = texts.select(haystack_id, F.expr(f"explode(array_distinct(concat({found})))").alias("_key"))
+    postings = needles.select(needle_id, "_needle", F.expr(anchor_sql("_needle")).alias("_key"))
+    candidates = posting_join(keys, postings, "_key", haystack_id, within(postings, limit)).drop("_key")
     return (
-        posting_join(rows, postings, "_key", haystack_id, within(postings, limit))
+        candidates.join(texts, haystack_id)
         .where(F.contains("_hay", F.col("_needle")))
         .select(haystack_id, needle_id)
     )
