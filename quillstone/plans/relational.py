@@ -48,12 +48,12 @@ def _(kb: KB) -> DataFrame:
 
 @register(
     "joi_06_last_row_lookup",
-    """select o_orderkey, last_status from orders left join (select l_orderkey, arg_max(l_linestatus || l_returnflag, l_linenumber) as last_status
+    """select o_orderkey, last_status from orders left join (select l_orderkey, arg_max(l_linestatus || l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) as last_status
        from lineitem group by 1) on l_orderkey = o_orderkey""",
 )
 def _(kb: KB) -> DataFrame:
     table = kb.raw("lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("ordinal"),
+        F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ordinal"),
         F.concat("l_linestatus", "l_returnflag").alias("last_status"),
     )
     return R.lookup(kb.raw("orders").select("o_orderkey"), table, ["o_orderkey"])
