@@ -110,3 +110,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.urls import filter_urls
 
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, "page_id", "url")
+
+
+@register("op6_languages")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.language import fit_languages, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit_languages(docs))
+
+
+@register("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
