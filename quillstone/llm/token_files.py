@@ -36,6 +36,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -209,47 +210,93 @@ class TokenFileReader:
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words whose ids a Python worker remembers (about 100 bytes each).
-REMEMBERED = 300_000
-_known: dict[str, dict[str, bytes]] = {}
+#: Letters that normalisation leaves alone but for lower case (the dotted capital I is left to the library).
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Words whose ids a Python worker remembers: this many recent ones and as many before (about 200 bytes each).
+REMEMBERED = 400_000
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Ids of whole texts by the ``tokenizers`` library, asked once per new word.
 
-    return Tokenizer.from_file(path)
+    The tokenizer never joins characters across white space, so a text's ids are those of its words.  A word of Latin
+    letters is one piece after lower-casing, so the library's model is asked for it directly, its bytes spelled as the
+    library spells them; a full stop or comma after such letters is a piece of its own.  All other words take the library's whole way, many in one call, held apart by a
+    special token.
+    """
 
+    def __init__(self, path: str, joint: str = "<|startoftext|>"):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.joint, self.joint_id = joint, self.tokenizer.token_to_id(joint)
+        whole = "".join(map(chr, range(0x80, 0x800)))  # their UTF-8 has every byte but ASCII's that Latin letters need
+        spelled = "".join(p for p, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(whole))
+        self.letters = dict(zip(whole.encode(), spelled))
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _alone(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.recent[word] = np.array(found.ids, "<u4").tobytes()
+
+    def _whole_way(self, words: list[str]) -> None:
+        plain = [w for w in words if self.joint not in w]
+        self._alone([w for w in words if self.joint in w])
+        for lo in range(0, len(plain), 64):
+            some = plain[lo : lo + 64]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.joint_id)
+            if len(cuts) != len(some) - 1:  # a word made the special token by some other spelling
+                self._alone(some)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, cut in zip(some, [*cuts.tolist(), len(ids)]):
+                self.recent[word] = data[start : 4 * cut]
+                start = 4 * cut + 4
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.older = {}, self.recent
+        recent, older, tokenize, pack = self.recent, self.older, self.tokenizer.model.tokenize, struct.pack
+        rest, split, latin = set(), [], _LATIN.fullmatch
+        for word in [*filterfalse(recent.__contains__, words)]:
+            if (known := older.get(word)) is not None:
+                recent[word] = known
+                continue
+            stem = word[:-1] if word[-1] in ".," and latin(word[:-1]) else word
+            if stem is not word:
+                split.append((word, stem))
+                if stem in recent:
+                    continue
+            if latin(stem):
+                small = stem.lower()
+                ids = [t.id for t in tokenize(small if small.isascii() else small.encode().decode("latin-1").translate(self.letters))]
+                recent[stem] = pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.add(stem)
+        for _, stem in split:
+            rest.discard(stem) if stem in recent else None
+        self._whole_way(sorted(rest))
+        for word, stem in split:
+            recent[word] = recent[stem] + self._tail(word[-1])
+
+    def _tail(self, mark: str) -> bytes:
+        if mark not in self.recent:
+            self._alone([mark])
+        return self.recent[mark]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian 32-bit integers."""
+        parts = [_WORD.findall(t) for t in texts]
+        self._learn(set().union(*parts))
+        return [b"".join(map(self.recent.__getitem__, words)) for words in parts]
 
-def word_ids(path: str, texts: list[str], joint: str = "<|startoftext|>", joint_id: int = 49406) -> list[bytes]:
-    """Ids of every text as little-endian 32-bit integers.
 
-    The tokenizer never joins characters across white space, so it is asked once per new word; many words go in one
-    call, held apart by a special token.
-    """
-    known = _known.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    parts = [_WORD.findall(t) for t in texts]
-    fresh = [w for w in set().union(*parts) - known.keys()] if parts else []
-    plain = [w for w in fresh if joint not in w]
-    encode = _tokenizer(path).encode_batch_fast
-    for lo in range(0, len(plain), 64):
-        some = plain[lo : lo + 64]
-        ids = np.array(encode([joint.join(some)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == joint_id)
-        if len(cuts) != len(some) - 1:  # a word made the token itself, by some other spelling
-            for word in some:
-                known[word] = np.array(encode([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
-            continue
-        data, start = ids.tobytes(), 0
-        for word, cut in zip(some, [*cuts.tolist(), len(ids)]):
-            known[word] = data[start : 4 * cut]
-            start = 4 * cut + 4
-    for word in fresh:
-        if joint in word:
-            known[word] = np.array(encode([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in parts]
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One per Python worker."""
+    return WordEncoder(path)
 
 
 FILES = "shard int, path string, n_docs bigint, n_ids bigint"
@@ -263,13 +310,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder:
     folder = folder or shared_folder(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = struct.pack("<I", end_id)
+        end, encode = struct.pack("<I", end_id), encoder(vocabulary).encode
         shard, writer, path = TaskContext.get().partitionId(), None, ""
         for batch in batches:
             keys = batch["doc_id"].to_pylist()
-            for lo in range(0, len(keys), 256):
-                texts = [t or "" for t in batch["text"].slice(lo, 256).to_pylist()]
-                for key, data in zip(keys[lo : lo + 256], word_ids(vocabulary, texts)):
+            for lo in range(0, len(keys), 1000):
+                texts = [t or "" for t in batch["text"].slice(lo, 1000).to_pylist()]
+                for key, data in zip(keys[lo : lo + 1000], encode(texts)):
                     if writer is None:
                         path = new_file(folder, f"shard-{shard:05d}", ".s8b")
                         writer = TokenFileWriter(create(path))
