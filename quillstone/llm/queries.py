@@ -133,3 +133,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
