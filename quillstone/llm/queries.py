@@ -140,3 +140,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
+@register("op4_multi_index")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.multi_index import search
+
+    return search(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
