@@ -147,3 +147,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.multi_index import search
 
     return search(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
+@register("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
