@@ -124,21 +124,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
-#: Bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Lower case of A-Z, every other byte unchanged.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes other than ASCII white space)."""
-    inside = np.empty(len(data) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[data]
+#: Bytes of words: a-z and all other alphabets; with digits.
+LETTERS = np.zeros(256, bool)
+LETTERS[97:123] = True
+LETTERS[128:] = True
+LETTERS_AND_DIGITS = LETTERS.copy()
+LETTERS_AND_DIGITS[48:58] = True
+
+
+def word_hashes(text: str | None, member: np.ndarray) -> np.ndarray:
+    """Signed hashes of the words of a text (case folded runs of UTF-8 bytes that are ``member``), in order."""
+    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = member[data]
     step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return span_hashes(data, np.flatnonzero(step == 1), np.flatnonzero(step == -1)).view(np.int64)
 
 
 def seeded(column: Column, seed: int) -> Column:

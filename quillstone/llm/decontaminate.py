@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are ``PASSAGE`` words (runs of letters, case folded), each word once, weighted by its inverse document frequency
+Passages are ``PASSAGE`` words (runs of letters and digits, case folded), each word once, weighted by its inverse document frequency
 over the whole corpus (words hashed to ``TERMS`` slots).  The latent space is the randomised SVD of the benchmark's
 passages, computed by tasks that return partial products of fixed size; up to ``PIECES`` benchmark passages share a space
 of as many dimensions, so nothing of what is searched for is cut off (a larger benchmark is searched in blocks).
@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import fixed_schema, small_batches, stored
-from quillstone.llm.toxicity import words
+from quillstone.llm.common import LETTERS_AND_DIGITS, fixed_schema, small_batches, stored, word_hashes
 
 PASSAGE = 32
 TERMS = 1 << 18
@@ -37,6 +36,11 @@ ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 SHORTEST, ORDERED = 5, 8
 
 
+def words(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text, in order."""
+    return word_hashes(text, LETTERS_AND_DIGITS)
+
+
 def weights(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of every slot (one megabyte, whatever the corpus)."""
     small_batches(docs.sparkSession)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_rows, small_batches, span_hashes, stored
+from quillstone.llm.common import LETTERS, map_rows, small_batches, stored, word_hashes
 from quillstone.llm.language import held_out
 
 PRIOR = 500.0
@@ -41,20 +41,11 @@ K = 0.1
 BITMAP = 1 << 24
 #: Labels up to this many (16 bytes each) travel to every task; more meet the documents by a shuffle.
 SMALL_LABELS = 2_000_000
-#: Letters: a-z and all bytes of other alphabets.
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
-_LETTER[128:] = True
 
 
 def words(text: str | None) -> np.ndarray:
     """Hashes of the words (runs of letters, case folded) of a text, in order."""
-    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _LETTER[data]
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    return span_hashes(data, starts, ends).view(np.int64)
+    return word_hashes(text, LETTERS)
 
 
 def maximal_segments(at: list[int], score: list[float], gap: float) -> list[tuple[int, int, float]]:
