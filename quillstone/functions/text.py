@@ -165,8 +165,10 @@ def tokens(text: Column | str) -> Column:
     return F.array_distinct(F.concat(words, pieces))
 
 
-def terms(values: Column, limit: int, letters: str = "A-Za-z0-9_+.#/-", key: Callable = compact_boundary) -> Column:
-    """TXT-21: the first ``limit`` distinct Latin words or CJK runs of an array of texts."""
+def terms(
+    values: Column, limit: int | None, letters: str = "A-Za-z0-9_+.#/-", key: Callable = compact_boundary, stop: tuple[str, ...] = V.GENERIC_TERMS
+) -> Column:
+    """TXT-21: the first ``limit`` (all if None) distinct Latin words or CJK runs of an array of texts."""
     found = F.flatten(
         F.transform(
             values,
@@ -177,15 +179,21 @@ def terms(values: Column, limit: int, letters: str = "A-Za-z0-9_+.#/-", key: Cal
             ),
         )
     )
-    kept = F.filter(found, lambda t: (F.length(key(t)) >= 2) & ~t.isin(*V.GENERIC_TERMS))
-    keyed = F.transform(kept, lambda t: F.struct(key(t).alias("k"), t.alias("t")))
-    # keep the first spelling of every key
-    seen = F.aggregate(
-        keyed,
-        F.array().cast("array<struct<k:string,t:string>>"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: y["k"] == x["k"]), acc).otherwise(F.array_append(acc, x)),
-    )
-    return F.slice(F.transform(seen, lambda x: x["t"]), 1, limit)
+    kept = F.filter(found, lambda t: (F.length(key(t)) >= 2) & ~t.isin(*stop))
+    # the first spelling of every key: sort by key and place, keep where the key changes, sort by place again
+    keyed = F.array_sort(F.transform(kept, lambda t, i: F.struct(key(t).alias("k"), i.alias("i"), t.alias("t"))))
+    firsts = F.transform(
+        F.array(keyed), lambda s: F.filter(s, lambda x, i: (i == 0) | (x["k"] != F.get(s, F.greatest(i - 1, F.lit(0)))["k"]))
+    )[0]
+    ordered = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"))))
+    found = F.transform(ordered, lambda x: x["t"])
+    return found if limit is None else F.slice(found, 1, limit)
+
+
+def heading_terms(text: Column) -> Column:
+    """The words of a heading or its target as written, without the headings' own stop words."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9_+.#/-]{1,32}|[\x{4e00}-\x{9fff}]{2,12}"), F.lit(0))
+    return F.array_except(found, F.array(*[F.lit(w) for w in V.HEADING_STOP_TERMS]))
 
 
 def list_text(values: Column) -> Column:
@@ -328,19 +336,27 @@ def collapse_punctuation(text: Column | str) -> Column:
 
 
 def looks_like_formula(text: Column | str) -> Column:
-    """TXT-25: an operator, or four Latin letters and digits, in a short text."""
-    bare = F.replace(text_or_empty(text), F.lit(" "), F.lit(""))
+    """TXT-25: an operator, or four Latin letters and digits, in a short text without its number label."""
+    bare = F.regexp_replace(F.replace(text_or_empty(text), F.lit(" "), F.lit("")), "(?U)" + V.FORMULA_LABEL, "")
     operators = F.regexp_count(bare, F.lit(V.FORMULA_OPERATORS))
     symbols = F.regexp_count(bare, F.lit("[A-Za-zα-ωΑ-Ω0-9]"))
     return (F.length(bare) > 0) & (F.length(bare) <= 220) & ((operators >= 1) | (symbols >= 4))
 
 
+def formula_expression(text: Column | str) -> Column:
+    """TXT-25: looks like a formula and holds no word of running prose."""
+    return looks_like_formula(text) & ~any_word(text_or_empty(text), V.PROSE_FORMULA_MARKERS)
+
+
 def natural_key(text: Column | str) -> Column:
-    """TXT-26: digit runs padded so that text order is number order."""
+    """TXT-26: text order of the keys is number order of the digit runs, however long they are.
+
+    A run loses its leading zeros and gets its length, in as many digits as any length needs, in front.
+    """
     parts = F.regexp_extract_all(text_or_empty(text), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(
-        F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), ""
-    )
+    bare = lambda p: F.coalesce(F.nullif(F.ltrim(p, F.lit("0")), F.lit("")), F.lit("0"))
+    ranked = lambda p: F.concat(F.format_string("%010d", F.length(bare(p))), bare(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), ranked(p)).otherwise(p)), "")
 
 
 def clean_question(text: Column | str) -> Column:

@@ -196,3 +196,14 @@ FORMULA_OPERATORS = r"[=+\-*/×÷√∑ΣπΠ≤≥<>]"
 POLITE_PREFIX = r"^(请)?(简要说明|按条目回答|查看)?[：:]\s*"
 QUESTION_PREFIXES = ("什么是", "何为", "如何理解")
 QUESTION_SUFFIXES = ("是什么", "什么意思")
+
+# Words that say nothing in a heading.
+HEADING_STOP_TERMS = ("道路", "设计", "方法", "系统", "模型", "数据", "技术", "应用", "工程", "智能", "数字", "孪生")
+
+# The number label of a formula, and words that show running prose around one.
+FORMULA_LABEL = r"[（(]\s*\d+\s*[-－]\s*\d+\s*[）)]"
+PROSE_FORMULA_MARKERS = ("按式", "由式", "采用式", "计算公式如", "可按式", "则", "当", "式中", "其中", "符号")
+
+# Lines of an answer that students do not see: what they start with, what they name.
+HIDDEN_LINE_START = "教材依据："
+HIDDEN_LINE_WORDS = "Source_Chunks作为依据"

@@ -171,8 +171,8 @@ def heading_score(heading: Column, text: Column) -> Column:
         lambda k: k != "",
     )
     targets = F.filter(F.array_distinct(F.array(T.compact_enrich(text), T.semantic_compact(text))), lambda k: k != "")
-    wanted = F.array_distinct(T.terms(options, 1000, key=T.compact_enrich))
-    overlap = F.size(F.array_intersect(wanted, T.terms(F.array(text), 1_000_000, key=T.compact_enrich)))
+    wanted = F.array_distinct(F.flatten(F.transform(options, T.heading_terms)))
+    overlap = F.size(F.array_intersect(wanted, T.heading_terms(text)))
     inside = F.exists(keys, lambda k: F.exists(targets, lambda t: F.contains(t, k)))
     around = F.exists(keys, lambda k: F.exists(targets, lambda t: F.contains(k, t) & (F.length(t) >= 4)))
     ratio = F.coalesce(

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import values as V
-from quillstone.operators.topk import keep_first
+from quillstone.operators.topk import keep_first, numbered
 
 EMPTY = "array<string>"
+#: Ordinals that are numbered together.
+STRETCH = 65_536
+#: Parts into which the rows of one knowledge point are dealt.
+SALTS = 16
 
 
 def first_text(*columns: Column) -> Column:
@@ -58,17 +62,16 @@ def refresh(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str])
 
 
 def unique_ids(rows: DataFrame, object_id: str, prefix: str, ordinal: str = "ordinal") -> DataFrame:
-    """WIN-04: empty ids get prefix and number, repeated ids get a suffix _dup02, _dup03 ..
+    """WIN-04: empty ids get prefix and number, repeated ids get a suffix _dup02, _dup03 .. _dup100 ..
 
-    Only the repeated ids are numbered, so unique ids are never sorted.
+    An id that very many rows share is numbered in stretches of the ordinal, so no task sorts all of it.
     """
     raw = F.trim(T.text_or_empty(object_id))
     base = F.when(raw != "", raw).otherwise(F.concat(F.lit(prefix + "_"), F.format_string("%04d", F.col(ordinal))))
     keyed = rows.withColumn("_base", base)
-    window = Window.partitionBy("_base").orderBy(ordinal)
-    numbered = keyed.withColumn("_n", F.row_number().over(window))
-    suffix = F.when(F.col("_n") > 1, F.concat(F.lit("_dup"), F.lpad(F.col("_n").cast("string"), 2, "0"))).otherwise("")
-    return numbered.withColumn(object_id, F.concat("_base", suffix)).drop("_base", "_n")
+    counted = numbered(keyed, ["_base"], [F.floor(F.col(ordinal) / F.lit(STRETCH))], [F.col(ordinal)], "_n")
+    suffix = F.when(F.col("_n") > 1, F.concat(F.lit("_dup"), F.format_string("%02d", F.col("_n")))).otherwise("")
+    return counted.withColumn(object_id, F.concat("_base", suffix)).drop("_base", "_n")
 
 
 def scope_duplicates(cards: DataFrame) -> DataFrame:
@@ -194,17 +197,23 @@ def apply_aliases(targets: DataFrame, aliases: DataFrame, key: str, column: str)
     return targets.join(grouped, key, "left").withColumn(column, ordered_union(F.col(column), F.col("_a"))).drop("_a")
 
 
-def recommended_by_points(cards: DataFrame, resources: DataFrame, limit: int = 3) -> DataFrame:
-    """ETL-16: resources that share a knowledge point with a card, in resource order."""
-    from quillstone.operators.topk import top_k
+def recommended_by_points(cards: DataFrame, resources: DataFrame, kind: str = "interactive_html", salts: int = SALTS) -> DataFrame:
+    """ETL-16: a card's recommended resources, then every further resource of ``kind`` that shares a knowledge point.
 
-    pairs = (
-        cards.select("answer_id", F.explode("related_kps").alias("kp"))
-        .join(resources.select("resource_id", "ordinal", F.explode("related_kps").alias("kp")), "kp")
-        .select("answer_id", "resource_id", "ordinal")
-        .distinct()
+    A knowledge point that very many cards hold is dealt to ``salts`` parts; the resources go to each of them.
+    """
+    own = cards.select("answer_id", F.posexplode("recommended_resources").alias("place", "resource_id")).withColumn("source", F.lit(0))
+    dealt = F.pmod(F.xxhash64("answer_id"), F.lit(salts)).cast("int")
+    wanted = cards.select("answer_id", F.explode(F.array_distinct("related_kps")).alias("kp"), dealt.alias("salt"))
+    offered = resources.where((F.col("resource_type") == kind) & (T.text_or_empty("resource_id") != "")).select(
+        "resource_id", F.col("ordinal").alias("place"), F.explode(F.array_distinct("related_kps")).alias("kp")
     )
-    return top_k(pairs, ["answer_id"], [F.col("ordinal")], limit).select("answer_id", "rank", "resource_id")
+    offered = offered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    shared = wanted.join(offered, ["kp", "salt"]).groupBy("answer_id", "resource_id").agg(F.min("place").alias("place"))
+    new = shared.join(own, ["answer_id", "resource_id"], "left_anti").withColumn("source", F.lit(1))
+    rows = own.unionByName(new)
+    window = Window.partitionBy("answer_id").orderBy("source", "place", "resource_id")
+    return rows.withColumn("rank", F.row_number().over(window)).select("answer_id", "rank", "resource_id")
 
 
 def question_category(question: Column) -> Column:
@@ -232,12 +241,13 @@ def question_bank(candidates: DataFrame) -> DataFrame:
 
 
 def numbered_bank(bank: DataFrame, categories: tuple[str, ...]) -> DataFrame:
-    """Sort key and running number per chapter (chapters are the bank's natural pages)."""
+    """Sort key and running number per chapter, counted in stretches of the sort key."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")), F.lit(0)), F.lit(99))
-    window = Window.partitionBy("chapter_id").orderBy(F.desc("pinned"), place, T.natural_key("question"), "priority")
-    numbered = bank.withColumn("_n", F.row_number().over(window))
+    keyed = bank.withColumns({"_place": place, "_key": T.natural_key("question")})
+    bucket = [~F.coalesce(F.col("pinned"), F.lit(False)), F.col("_place"), F.left("_key", F.lit(12))]
+    ranked = numbered(keyed, ["chapter_id"], bucket, [F.col("_key"), F.col("priority")], "_n").drop("_place", "_key")
     number = F.when(F.col("_n") < 1000, F.lpad(F.col("_n").cast("string"), 3, "0")).otherwise(F.col("_n").cast("string"))
-    return numbered.withColumn("id", F.concat("chapter_id", F.lit("_qb_"), number)).drop("_n")
+    return ranked.withColumn("id", F.concat("chapter_id", F.lit("_qb_"), number)).drop("_n")
 
 
 def repair_texts(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.functions import values as V
 from quillstone.operators.topk import keep_first, last_wins, top_k
 
 
@@ -79,5 +80,8 @@ def operation_support(cards: DataFrame, task_hits: DataFrame, kp_hits: DataFrame
 
 
 def student_visible(text: Column) -> Column:
-    """REN-05: internal wording removed from texts shown to students."""
-    return T.collapse_spaces(F.regexp_replace(text, r"Answer_Cards?|Source_Chunks?|no_direct_output", ""))
+    """REN-05: the lines of an answer that students see; evidence lines go, all other line breaks stay."""
+    lines = F.split(T.text_or_empty(text), r"\r?\n")
+    blank = r"(?U)^\s+|\s+$"
+    hidden = lambda x: F.regexp_replace(x, blank, "").startswith(V.HIDDEN_LINE_START) | F.contains(x, F.lit(V.HIDDEN_LINE_WORDS))
+    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~hidden(x)), "\n"), blank, "")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import similarity, text as T
 from quillstone.functions import values as V
-from quillstone.plans.kb import KB, compact, norm, sql, toks
+from quillstone.operators import relations as R
+from quillstone.plans.kb import KB, compact, lines, norm, sql, toks
 from quillstone.plans.registry import register
 
 SP = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{3000}"
@@ -253,16 +254,62 @@ over(
     "pages", "page_id", "html",
 )
 over("txt_24_collapse_punctuation", digest(T.collapse_punctuation), "md5({x})")
-over(
-    "txt_25_formula_test", lambda c: T.looks_like_formula(F.split(c, "\n")[0]),
-    r"(select length(b) > 0 and length(b) <= 220 and (len(regexp_extract_all(b, '[=+\-*/×÷√∑ΣπΠ≤≥<>]')) >= 1 or "
-    r"len(regexp_extract_all(b, '[A-Za-zα-ωΑ-Ω0-9]')) >= 4) from (select replace(split_part({x}, chr(10), 1), ' ', '') as b))",
+FORMULA = r"""length(b) > 0 and length(b) <= 220 and (len(regexp_extract_all(b, '[=+\-*/×÷√∑ΣπΠ≤≥<>]')) >= 1 or
+    len(regexp_extract_all(b, '[A-Za-zα-ωΑ-Ω0-9]')) >= 4)"""
+
+
+def formula_text(line, place):
+    """A line as it stands, as a bare label with its first letters, inside prose, or as a labelled equation."""
+    label = F.concat(F.lit("（"), place, F.lit(" - 12）"))
+    return (
+        F.when(place % 4 == 0, line).when(place % 4 == 1, F.concat(label, F.left(line, F.lit(3))))
+        .when(place % 4 == 2, F.concat(F.lit("其中"), line)).otherwise(F.concat(F.lit("y = "), F.left(line, F.lit(20)), label))
+    )
+
+
+@register(
+    "txt_25_formula_test",
+    sql(
+        f"""select doc_id, i as ordinal, formula, formula and not (contains(t, '则') or contains(t, '其中')) as expression from (select doc_id, i, t, {FORMULA} as formula
+        from (select *, regexp_replace(replace(t, ' ', ''), '[（(]\\s*\\d+\\s*[-－]\\s*\\d+\\s*[）)]', '', 'g') as b from (
+          select doc_id, i, case i % 4 when 0 then x when 1 then '（' || i || ' - 12）' || left(x, 3) when 2 then '其中' || x
+            else 'y = ' || left(x, 20) || '（' || i || ' - 12）' end as t
+          from (select doc_id, unnest(ls) as x, generate_subscripts(ls, 1) as i from doc_lines))))"""
+    ),
 )
-over(
-    "txt_26_natural_key", T.natural_key,
-    r"array_to_string([case when regexp_matches(p, '^\d') then lpad(p, 20, '0') else p end for p in regexp_extract_all({x}, '\d+|\D+')], '')",
-    "pages", "page_id", "url",
+def _(kb: KB) -> DataFrame:
+    rows = kb.raw("documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("ordinal", "line")).withColumn("ordinal", F.col("ordinal") + 1)
+    text = formula_text(F.col("line"), F.col("ordinal"))
+    return rows.select("doc_id", "ordinal", T.looks_like_formula(text).alias("formula"), T.formula_expression(text).alias("expression"))
+
+
+def natural(x: str) -> str:
+    """SQL of the natural key."""
+    bare = "case when ltrim(p, '0') = '' then '0' else ltrim(p, '0') end"
+    return (
+        rf"array_to_string([case when regexp_matches(p, '^\d') then lpad(length({bare})::varchar, 10, '0') || {bare} else p end "
+        rf"for p in regexp_extract_all({x}, '\d+|\D+')], '')"
+    )
+
+
+over("txt_26_natural_key", T.natural_key, natural("{x}"), "pages", "page_id", "url")
+ANSWER_LINE = "教材依据：", "Source_Chunks作为依据"
+
+
+@register(
+    "ren_05_student_text",
+    sql(
+        """select answer_id, md5(regexp_replace(array_to_string([x for x in xs if not starts_with(trim(x), '教材依据：') and not contains(x, 'Source_Chunks作为依据')], chr(10)),
+          '^\\s+|\\s+$', '', 'g')) as result
+        from (select answer_id, list_concat([canonical_question, ' 教材依据：' || section_id], answer_points, ['以Source_Chunks作为依据。', '']) as xs from cards)"""
+    ),
 )
+def _(kb: KB) -> DataFrame:
+    evidence = F.concat(F.lit(" " + ANSWER_LINE[0]), "section_id")
+    parts = F.concat(F.array("canonical_question", evidence), "answer_points", F.array(F.lit(f"以{ANSWER_LINE[1]}。"), F.lit("")))
+    return kb.cards.select("answer_id", F.md5(R.student_visible(F.array_join(parts, "\n"))).alias("result"))
+
+
 over("txt_27_routing_key", digest(T.routing_key), f"md5({norm('{x}')})", "benchmark", "item_id")
 over(
     "txt_28_hashes", lambda c: F.concat(T.surrogate_id("id_", c), F.lit(":"), F.sha2(c, 256)),

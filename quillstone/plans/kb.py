@@ -51,7 +51,7 @@ class KB:
             F.col("source").alias("section_id"),
             F.coalesce(F.try_element_at("ls", F.lit(1)), F.lit("")).alias("canonical_question"),
             F.slice("ls", 2, 1).alias("student_question_patterns"),
-            F.slice("ls", 3, 1_000_000).alias("answer_points"),
+            F.slice("ls", F.lit(3), F.size("ls")).alias("answer_points"),
             F.when(F.size("ls") > 2, F.slice("ls", -1, 1))
             .otherwise(F.array().cast("array<string>"))
             .alias("must_include"),

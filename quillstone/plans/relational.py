@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators import merge as M
@@ -243,7 +243,8 @@ def _(kb: KB) -> DataFrame:
 )
 def _(kb: KB) -> DataFrame:
     rows = kb.steps.withColumn("_no", O.step_number(F.col("step_no")))
-    return top_k(rows, ["task_id"], [F.col("_no"), F.col("step_id")], 1_000, "n").select("step_id", "n")
+    ordered = Window.partitionBy("task_id").orderBy("_no", "step_id")
+    return rows.withColumn("n", F.row_number().over(ordered)).select("step_id", "n")
 
 
 @register(

@@ -10,7 +10,7 @@ from quillstone.functions import values as V
 from quillstone.operators import align as A
 from quillstone.operators import merge as M
 from quillstone.operators import review as R
-from quillstone.plans.functions import gone
+from quillstone.plans.functions import gone, natural
 from quillstone.plans.kb import KB, sql
 from quillstone.plans.quality import ITEMS
 from quillstone.plans.registry import register
@@ -128,11 +128,28 @@ def _(kb: KB) -> DataFrame:
     return rows.select("doc_id", A.chunk_class(status, support, F.col("text")).alias("result"))
 
 
-@register("aud_09_heading_scores")
+HEADING_KEYS = f"""select answer_id, h, t, lower({gone('h', V.ENRICH_PUNCTUATION)}) as hk, lower({gone('t', V.ENRICH_PUNCTUATION)}) as tk,
+    list_distinct(regexp_extract_all(h, '[A-Za-z][A-Za-z0-9_+.#/-]{{1,32}}')) as hw, list_distinct(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_+.#/-]{{1,32}}')) as tw
+    from (select answer_id, canonical_question as h, array_to_string(answer_points, chr(10)) as t from cards)"""
+HEADING_PARTS = """select answer_id, hk, tk, hk <> '' and contains(tk, hk) as inside, tk <> '' and contains(hk, tk) and length(tk) >= 4 as around,
+    len(list_intersect(hw, tw)) as common, len(hw) as wanted, case when length(hk) < 4 or length(tk) < 4 then 0.0 else
+      len(list_intersect(list_distinct([substr(hk, i, 2) for i in range(1, length(hk))]), list_distinct([substr(tk, i, 2) for i in range(1, length(tk))])))
+      / len(list_distinct([substr(hk, i, 2) for i in range(1, length(hk))])) end as ratio from hd"""
+
+
+@register(
+    "aud_09_heading_scores",
+    sql(
+        """select answer_id, score, score >= 0.42 as auto_apply from (select answer_id, round(case when inside then 1.0::double else 0 end
+          + case when around then 0.7::double else 0 end + case when ratio >= 0.7 then least(0.6::double, ratio * 0.6) else 0 end
+          + case when wanted > 0 then common::double / wanted else 0 end + least(0.25::double, common * 0.04), 4) as score from parts)""",
+        hd=HEADING_KEYS,
+        parts=HEADING_PARTS,
+    ),
+)
 def _(kb: KB) -> DataFrame:
-    """Second line of a card as heading against its canonical question."""
-    heading = F.coalesce(F.get("student_question_patterns", F.lit(0)), F.lit(""))
-    score = A.heading_score(heading, F.col("canonical_question"))
+    """The canonical question as heading against all points of the card."""
+    score = A.heading_score(F.col("canonical_question"), F.array_join("answer_points", "\n"))
     return kb.cards.select("answer_id", score.alias("score"), (score >= 0.42).alias("auto_apply"))
 
 
@@ -413,8 +430,10 @@ def _(kb: KB) -> DataFrame:
 @register(
     "etl_16_recommended_by_points",
     sql(
-        """select answer_id, rank, resource_id from (select answer_id, resource_id, row_number() over (partition by answer_id order by r.ordinal) as rank
-        from cards c join resources r on len(list_intersect(c.related_kps, r.related_kps)) > 0) where rank <= 3"""
+        """select answer_id, row_number() over (partition by answer_id order by source, place, resource_id) as rank, resource_id from (
+          select answer_id, 0 as source, 0 as place, unnest(recommended_resources) as resource_id from cards
+          union all select answer_id, 1, r.ordinal, resource_id from cards c join resources r
+            on len(list_intersect(c.related_kps, r.related_kps)) > 0 and resource_type = 'interactive_html' and not list_contains(recommended_resources, resource_id))"""
     ),
 )
 def _(kb: KB) -> DataFrame:
@@ -431,7 +450,7 @@ BANK = f"""select answer_id, chapter_id, ordinal, trim(replace(trim(canonical_qu
         """select chapter_id, target_id, category, id from (select chapter_id, answer_id as target_id, '核心概念' as category,
         chapter_id || '_qb_' || case when n < 1000 then lpad(n::varchar, 3, '0') else n::varchar end as id from (
           select *, row_number() over (partition by chapter_id order by
-            array_to_string([case when regexp_matches(p, '^\\d') then lpad(p, 20, '0') else p end for p in regexp_extract_all(question, '\\d+|\\D+')], ''), ordinal) as n
+            """ + natural("question") + """, ordinal) as n
           from (select *, row_number() over (partition by chapter_id, k order by ordinal) as once from bank where question <> '') where once = 1))""",
         bank=BANK,
     ),
@@ -447,18 +466,14 @@ def _(kb: KB) -> DataFrame:
 
 @register(
     "win_04_unique_ids",
-    """select l_orderkey as ordinal0, count(*) as n, max(id) as last_id from (select l_orderkey,
-       'o' || (l_orderkey % 1000) || case when r > 1 then '_dup' || case when r < 10 then '0' || r else r::varchar end else '' end as id
-       from (select *, row_number() over (partition by l_orderkey % 1000 order by l_orderkey * 10 + l_linenumber) as r from lineitem)
-       where r < 100) group by 1""",
+    """select ordinal, 'o' || (l_orderkey % 1000) || case when r > 1 then '_dup' || case when r < 10 then '0' || r else r::varchar end else '' end as id
+       from (select *, l_orderkey * 10 + l_linenumber as ordinal, row_number() over (partition by l_orderkey % 1000 order by l_orderkey * 10 + l_linenumber) as r from lineitem)""",
 )
 def _(kb: KB) -> DataFrame:
     rows = kb.raw("lineitem").select(
-        "l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
-        F.concat(F.lit("o"), F.col("l_orderkey") % 1000).alias("id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.concat(F.lit("o"), F.col("l_orderkey") % 1000).alias("id")
     )
-    named = M.unique_ids(rows, "id", "row").where(~F.col("id").rlike("_dup[0-9]{3,}$"))
-    return named.groupBy(F.col("l_orderkey").alias("ordinal0")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
+    return M.unique_ids(rows, "id", "row").select("ordinal", "id")
 
 
 # --- review --------------------------------------------------------------

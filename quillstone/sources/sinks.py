@@ -17,12 +17,19 @@ def export_tables(tables: dict[str, DataFrame], folder: str, file_format: str =
     return spark.createDataFrame(counts, "table_name string, rows bigint")
 
 
-def replace_version(rows: DataFrame, path: str) -> None:
+def replace_version(rows: DataFrame, path: str, *versions: str) -> None:
     """SNK-03: a version's rows replace the same version's rows and leave all other versions alone.
 
-    Dynamic partition overwrite swaps whole ``version_id`` partitions in one commit.
+    Dynamic partition overwrite swaps whole ``version_id`` partitions in one commit.  ``versions`` names the versions
+    that ``rows`` stands for: one without a row becomes empty.
     """
+    spark = rows.sparkSession
+    gone = [v for v in versions if rows.where(F.col("version_id") == v).isEmpty()]
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_id").parquet(path)
+    for version in gone:
+        escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(version)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version_id={escaped}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
@@ -46,10 +53,13 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def markdown_table(rows: DataFrame, limit: int = 100) -> str:
-    """SNK-09: a small aggregate as a Markdown table, formatted on the driver."""
+    """SNK-09: a small aggregate as a Markdown table, formatted on the driver; says how many rows it leaves out."""
     found = rows.limit(limit).collect()
+    total = rows.count() if len(found) == limit else len(found)
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in found]
+    if total > len(found):
+        lines += ["", f"{total - len(found)} further rows are not shown."]
     return "\n".join(lines)
 
 
