@@ -17,7 +17,12 @@ from quillstone.functions import sqltext as S
 
 BROADCAST_POSTINGS = 4_000_000
 SALTS = 32
+#: Lengths of the leading characters by which short texts are looked up.
 ANCHOR_LENGTHS = (1, 2, 4, 8, 16)
+#: Needle texts of at most this many bytes in all travel to every task.
+BROADCAST_BYTES = 64 << 20
+#: (gram size, distance of the places where a haystack is cut, least length of a needle)
+GRAMS = ((1, 1, 1), (2, 1, 2), (2, 2, 3), (4, 4, 7), (8, 8, 15), (16, 16, 31))
 
 
 def within(df: DataFrame, limit: int) -> bool:
@@ -76,15 +81,23 @@ def anchor_length(text: Column) -> Column:
 
 
 def anchor_sql(text: str) -> str:
-    """SQL text of ``anchor``."""
+    """SQL text of the leading characters."""
     steps = " ".join(f"when length({text}) >= {n} then {n}" for n in reversed(ANCHOR_LENGTHS))
     return f"substring({text}, 1, case {steps} else 1 end)"
 
 
-def needle_lengths(needles: DataFrame, text: Column) -> tuple[int, ...]:
-    """Which anchor lengths the needles use (at most ``len(ANCHOR_LENGTHS)`` values)."""
-    found = needles.where(F.length(text) > 0).select(anchor_length(text).alias("n")).distinct().collect()
-    return tuple(sorted(row["n"] for row in found))
+def gram_class(text: str) -> str:
+    """SQL: position in ``GRAMS`` of the class of a needle."""
+    steps = " ".join(f"when length({text}) >= {least} then {i}" for i, (_, _, least) in reversed(list(enumerate(GRAMS))))
+    return f"case {steps} else 0 end"
+
+
+def needle_keys(text: str) -> str:
+    """SQL: the grams by which a needle is found, one for every offset at which a haystack may have been cut."""
+    cases = " ".join(
+        f"when {i} then transform(sequence(0, {step - 1}), o{i} -> substring({text}, o{i} + 1, {size}))" for i, (size, step, _) in enumerate(GRAMS)
+    )
+    return f"array_distinct(case {gram_class(text)} {cases} end)"
 
 
 def contains_pairs(
@@ -95,22 +108,27 @@ def contains_pairs(
     needle_id: str,
     needle_text: str,
     limit: int = BROADCAST_POSTINGS,
+    text_limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(haystack id, needle id) where the needle text lies in the haystack text.
 
-    Every needle is looked up by its leading characters among the substrings
-    of the haystacks; the hit is then verified on the whole texts.
+    Haystacks are cut into grams of *n* characters at every *n*-th place only; a needle of 2n - 1 characters or more
+    covers a whole such gram wherever it lies, so it is looked up by its grams at the first *n* offsets.  Hits are
+    verified on the whole texts.  Only keys and ids are exploded and sent around, never texts; needle texts join the
+    hits, broadcast where their summed bytes are known to be few.
     """
-    needles = needles.where(F.length(needle_text) > 0).select(needle_id, F.col(needle_text).alias("_needle"))
-    lengths = needle_lengths(needles, F.col("_needle"))
+    named = needles.where(F.length(needle_text) > 0).select(needle_id, F.col(needle_text).alias("_needle")).withColumn("_pin", F.md5("_needle"))
+    pins = named.select("_pin", "_needle").dropDuplicates(["_pin"])  # equal texts are searched once
+    facts = pins.agg(
+        F.coalesce(F.sum(F.size(F.expr(needle_keys("_needle")))), F.lit(0)).alias("keys"),
+        F.coalesce(F.sum(F.octet_length("_needle")), F.lit(0)).alias("bytes"),
+        F.collect_set(F.expr(gram_class("_needle"))).alias("kinds"),  # at most len(GRAMS) values
+    ).first()
     texts = haystacks.select(haystack_id, F.col(haystack_text).alias("_hay")).repartition(haystack_id)
-    found = ", ".join([S.NO_TEXTS, *[S.cuts("_hay", n) for n in lengths]])
-    # only the keys are exploded: a long text is never copied once per key
+    found = ", ".join([S.NO_TEXTS, *[S.cuts("_hay", *GRAMS[i][:2]) for i in sorted(facts["kinds"])]])
     keys = texts.select(haystack_id, F.expr(f"explode(array_distinct(concat({found})))").alias("_key"))
-    postings = needles.select(needle_id, "_needle", F.expr(anchor_sql("_needle")).alias("_key"))
-    candidates = posting_join(keys, postings, "_key", haystack_id, within(postings, limit)).drop("_key")
-    return (
-        candidates.join(texts, haystack_id)
-        .where(F.contains("_hay", F.col("_needle")))
-        .select(haystack_id, needle_id)
-    )
+    postings = pins.select("_pin", F.explode(F.expr(needle_keys("_needle"))).alias("_key"))
+    hits = posting_join(keys, postings, "_key", haystack_id, facts["keys"] <= limit).select(haystack_id, "_pin").distinct()
+    hits = hits.join(F.broadcast(pins) if facts["bytes"] <= text_limit else pins, "_pin")
+    held = hits.join(texts, haystack_id).where(F.contains("_hay", F.col("_needle"))).select(haystack_id, "_pin")
+    return held.join(named.select("_pin", needle_id), "_pin").select(haystack_id, needle_id)

@@ -90,6 +90,20 @@ def test_contains_pairs_equals_brute_force(spark):
     pins = spark.createDataFrame(list(enumerate(needles)), "n int, s string")
     want = {(i, j) for i, t in enumerate(texts) for j, s in enumerate(needles) if s in t}
     for limit in (10_000, 0):
+        rows = matching.contains_pairs(hay, "h", "t", pins, "n", "s", limit, 0 if limit else 1 << 20).distinct().collect()
+        assert {(r.h, r.n) for r in rows} == want
+
+
+def test_contains_pairs_around_the_gram_lengths(spark):
+    """Needle lengths around 2n - 1, at every offset, with an id that has several texts."""
+    rnd = random.Random(3)
+    text = "".join(rnd.choices("abcdefgh", k=900))
+    texts = [text[i:] for i in (0, 5, 11, 300)] + ["".join(rnd.choices("abcdefgh", k=400)), "ab", "a", ""]
+    needles = [text[s : s + n] for n in (1, 2, 3, 4, 6, 7, 8, 14, 15, 16, 17, 30, 31, 32, 33, 63, 64) for s in range(280, 300)] + ["zz", "abz"]
+    hay = spark.createDataFrame(list(enumerate(texts)), "h int, t string")
+    pins = spark.createDataFrame([(j // 2, s) for j, s in enumerate(needles)], "n int, s string")
+    want = {(i, j // 2) for i, t in enumerate(texts) for j, s in enumerate(needles) if s in t}
+    for limit in (1_000_000, 0):
         rows = matching.contains_pairs(hay, "h", "t", pins, "n", "s", limit).distinct().collect()
         assert {(r.h, r.n) for r in rows} == want
 
