@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators import answers as A
+from quillstone.operators import evaluate as E
 from quillstone.operators import operations as O
 from quillstone.operators import render, resources as R
 from quillstone.operators.keyword import keyword_scores
-from quillstone.plans.kb import KB, norm, sql, toks
+from quillstone.plans.kb import ASKED, KB, norm, sql, toks
 from quillstone.plans.registry import register
 from quillstone.plans.resources import REC_CTES, RES_CTES, WORDS
 from quillstone.plans.retrieval import keyword_ctes
@@ -68,33 +69,72 @@ ARBITRATION = """coalesce(r.score >= 180 and r.tr = 120 or r.intent >= 1 and r.s
    or r.intent >= 1 and r.score >= 90 and coalesce(k.score, 0) < 110 or k.score is null and r.score >= 45, false)"""
 
 
+ASSEMBLED = f"""select question_id, case when byop then coalesce(card_id, 'operation:' || task_id) when byres then 'resource:' || resource_id
+      else answer_id end as answer_id,
+      case when byop then 'operation' when byres then 'resource' when answer_id is null then 'none' else 'card' end as branch,
+      case when byop then 'high' when byres then case when rscore >= 110 then 'high' else 'medium' end
+           when answer_id is not null then case when kscore >= 110 then 'high' when kscore >= 70 then 'medium' else 'low' end end as confidence,
+      case when byop then ointent when byres then 'resource_guidance' else top_mode end as answer_mode,
+      round(case when byop then oscore when byres then rscore else kscore end, 3) as selected_score from (
+      select q.question_id, k.answer_id, k.score as kscore, r.resource_id, r.score as rscore, o.task_id, o.card_id, o.score as oscore,
+        o.intent as ointent, c.answer_mode as top_mode,
+        coalesce(o.card_id = k1.answer_id, false) or coalesce(c1.related_task = o.task_id, false) or coalesce(o.score >= 120, false)
+          or (o.task_id is not null and coalesce(r.suppress_recommendation, false)) as byop,
+        {ARBITRATION} as byres
+      from questions q left join kfirst k1 on k1.question_id = q.question_id left join cards c1 on c1.answer_id = k1.answer_id
+      left join ktop k on k.question_id = q.question_id left join cards c on c.answer_id = k.answer_id
+      left join (select * from rtop where rank = 1) r on r.question_id = q.question_id
+      left join oc o on o.question_id = q.question_id)"""
+#: The best five hits; the card whose own question is asked; the first hit after it has moved to the top.
+DIRECT = {
+    "kfive": """select * from (select question_id, answer_id, score, row_number() over (partition by question_id
+       order by score desc, ordinal) as rank from kscored where score > 0) where rank <= 5""",
+    "kfirst": "select question_id, answer_id, score from kfive where rank = 1",
+    "dmatch": f"""select {norm('canonical_question')} as key, answer_id, ordinal, 120.0 as priority, 0 as position from cards
+       union all select {norm('x')}, answer_id, ordinal, 180.0, i from (select answer_id, ordinal, unnest(student_question_patterns) as x,
+         generate_subscripts(student_question_patterns, 1) as i from cards)""",
+    "dbest": f"""select * from (select question_id, answer_id, priority, row_number() over (partition by question_id order by priority desc, ordinal, position) as n
+       from questions join dmatch on key = {norm('question')} and key <> '') where n = 1""",
+    "ktop": """select q.question_id, coalesce(d.answer_id, f.answer_id) as answer_id,
+       case when d.answer_id is not null then greatest(coalesce(k.score, 0), d.priority + 220) else f.score end as score
+       from questions q left join kfirst f on f.question_id = q.question_id left join dbest d on d.question_id = q.question_id
+       left join kfive k on k.question_id = d.question_id and k.answer_id = d.answer_id
+       where coalesce(d.answer_id, f.answer_id) is not null""",
+}
+ASSEMBLY_CTES = {**keyword_ctes("questions"), **DIRECT, **RES_CTES, **OP_CTES}
+
+
+def assembled(kb: KB, questions: DataFrame, found: DataFrame) -> DataFrame:
+    hits = keyword_scores(questions, kb.cards, kb.synonyms, kb.rag, 5)
+    operations = O.card_for_task(O.match_tasks(questions, kb.tasks, OP_WORDS), kb.cards)
+    return A.assemble(questions, hits, found, operations, R.question_flags(questions, WORDS), kb.cards)
+
+
+@register("ret_17_answer_assembly", sql(ASSEMBLED, **{**ASSEMBLY_CTES, "questions": ASKED}))
+def _(kb: KB) -> DataFrame:
+    return assembled(kb, kb.asked, R.search_resources(kb.asked, kb.resources, None, 1, WORDS))
+
+
 @register(
-    "ret_17_answer_assembly",
+    "eva_03_resource_cases",
     sql(
-        f"""select question_id, case when byop then coalesce(card_id, 'operation:' || task_id) when byres then 'resource:' || resource_id
-          else answer_id end as answer_id,
-          case when byop then 'operation' when byres then 'resource' when answer_id is null then 'none' else 'card' end as branch,
-          case when byop then 'high' when byres then case when rscore >= 110 then 'high' else 'medium' end
-               when answer_id is not null then case when kscore >= 110 then 'high' when kscore >= 70 then 'medium' else 'low' end end as confidence,
-          case when byop then ointent when byres then 'resource_guidance' else top_mode end as answer_mode,
-          round(case when byop then oscore when byres then rscore else kscore end, 3) as selected_score from (
-          select q.question_id, k.answer_id, k.score as kscore, r.resource_id, r.score as rscore, o.task_id, o.card_id, o.score as oscore,
-            o.intent as ointent, c.answer_mode as top_mode,
-            coalesce(o.card_id = k.answer_id, false) or coalesce(c.related_task = o.task_id, false) or coalesce(o.score >= 120, false)
-              or (o.task_id is not null and coalesce(r.suppress_recommendation, false)) as byop,
-            {ARBITRATION} as byres
-          from questions q left join ktop k on k.question_id = q.question_id left join cards c on c.answer_id = k.answer_id
-          left join (select * from rtop where rank = 1) r on r.question_id = q.question_id
-          left join oc o on o.question_id = q.question_id)""",
-        **{**keyword_ctes("questions"), "ktop": KW_TOP, **RES_CTES, **OP_CTES},
+        """select item_id as test_id, expected_resource_id, actual as actual_resource_id, actual = expected_resource_id as top1,
+        actual = expected_resource_id as passed from (
+          select item_id, 'r' || (item_id * 3) as expected_resource_id, case when a.branch = 'resource' then substr(a.answer_id, 10) else '' end as actual
+          from questions q left join assembled a on a.question_id = q.question_id)""",
+        **{**ASSEMBLY_CTES, "assembled": ASSEMBLED, "questions": ASKED},
     ),
 )
 def _(kb: KB) -> DataFrame:
-    hits = keyword_scores(kb.questions, kb.cards, kb.synonyms, kb.rag, 1)
-    found = R.search_resources(kb.questions, kb.resources, None, 1, WORDS)
-    operations = O.card_for_task(O.match_tasks(kb.questions, kb.tasks, OP_WORDS), kb.cards)
-    flags = R.question_flags(kb.questions, WORDS)
-    return A.assemble(kb.questions, hits, found, operations, flags, kb.cards)
+    """Every question goes through the whole assembly before its resource is judged."""
+    found = R.search_resources(kb.asked, kb.resources, None, 3, WORDS)
+    cases = kb.asked.select(
+        F.col("item_id").alias("test_id"), "question_id", F.concat(F.lit("r"), F.col("item_id") * 3).alias("expected_resource_id"),
+        F.lit("any").alias("expected_resource_type"),
+    )
+    return E.evaluate_resources(cases, assembled(kb, kb.asked, found), found).select(
+        "test_id", "expected_resource_id", "actual_resource_id", "top1", "passed"
+    )
 
 
 @register(
@@ -137,9 +177,9 @@ ROUTE_CTES = {
         case when len(chs) = 1 and chs[1] = preferred then 'keep_direct_match' when len(chs) = 1 then 'switch_direct_match'
              else 'keep_direct_match_tie' end as decision
         from rreq join dms on key = {norm('question')} where len(chs) = 1 or list_contains(chs, preferred)""",
-    "cs": """select question_id, chapter_id, score from (select k.question_id, c.chapter_id, k.score,
-        row_number() over (partition by k.question_id, c.chapter_id order by k.score desc, k.ordinal) as r
-        from kscored k join cards c on c.answer_id = k.answer_id where k.score > 0) where r = 1""",
+    "cs": """select question_id, chapter_id, max(score) as score from (
+        select k.question_id, c.chapter_id, k.score from kscored k join cards c on c.answer_id = k.answer_id where k.score > 0
+        union all select question_id, chapter_id, score from rtop where intent > 0) group by 1, 2""",
     "bs": "select question_id, arg_max(chapter_id, (score, -ascii(chapter_id) * 1000 - ascii(substr(chapter_id, 2)))) as bc, max(score) as bs from cs group by 1",
 }
 
@@ -155,17 +195,20 @@ ROUTE_CTES = {
               from rreq r left join bs b using (question_id)
               left join cs c on c.question_id = r.question_id and c.chapter_id = r.preferred) q
         left join dr d on d.question_id = q.question_id and d.preferred = q.preferred""",
-        **{**keyword_ctes("questions"), **ROUTE_CTES},
+        **{**keyword_ctes("questions"), **RES_CTES, **ROUTE_CTES},
     ),
 )
 def _(kb: KB) -> DataFrame:
-    """Every question asked from every chapter (JOI-11, AUD-13's cross product)."""
-    chapters = F.array(*[F.lit(c) for c in sorted(r[0] for r in kb.cards.select("chapter_id").distinct().collect())])
-    requests = kb.questions.select("question_id", "question", F.explode(chapters).alias("preferred"))
-    scores = keyword_scores(kb.questions, kb.cards, kb.synonyms, kb.rag, 1, scope="chapter_id").select(
-        "question_id", F.col("scope").alias("chapter_id"), "score"
-    )
-    return A.route(requests, kb.cards, scores).select("question_id", "preferred", "resolved", "decision")
+    return routed(kb, kb.questions).select("question_id", "preferred", "resolved", "decision")
+
+
+def routed(kb: KB, questions: DataFrame) -> DataFrame:
+    """Every question asked from every chapter (JOI-11): chapters are few and join as a frame."""
+    chapters = kb.raw("documents").select(F.col("lang").alias("preferred")).distinct().withColumn("_all", F.lit(1))
+    requests = questions.withColumn("_all", F.lit(1)).join(chapters, "_all").drop("_all")
+    answers = keyword_scores(questions, kb.cards, kb.synonyms, kb.rag, 1, scope="chapter_id").withColumnRenamed("scope", "chapter_id")
+    found = R.search_resources(questions, kb.resources, None, 1, WORDS, scope="chapter_id").withColumnRenamed("scope", "chapter_id")
+    return A.route(requests, kb.cards, A.chapter_scores(answers, found, R.question_flags(questions, WORDS)))
 
 
 @register(

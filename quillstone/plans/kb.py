@@ -72,6 +72,14 @@ class KB:
             F.concat(F.lit("q"), "item_id").alias("question_id"), F.col("item_id"), F.col("text").alias("question")
         )
 
+    @property
+    def asked(self) -> DataFrame:
+        """The benchmark's questions, every other one in the words of a card's own question."""
+        own = self.cards.select(F.col("ordinal").alias("item_id"), F.col("canonical_question").alias("_own"))
+        rows = self.questions.join(own, "item_id", "left")
+        text = F.when((F.col("item_id") % 2 == 0) & F.col("_own").isNotNull(), F.col("_own")).otherwise(F.col("question"))
+        return rows.select("question_id", "item_id", text.alias("question"))
+
     @property
     def turns(self) -> DataFrame:
         """Every user turn as a question."""
@@ -208,6 +216,9 @@ def compact(x: str) -> str:
     return COMPACT.format(x)
 
 
+ASKED = """select 'q' || item_id as question_id, item_id,
+         case when item_id % 2 = 0 and ordinal is not null then canonical_question else text end as question
+  from benchmark left join cards on ordinal = item_id"""
 PRELUDE_CTES = {
     "doc_lines": """
   select d.*, [trim(x) for x in string_split(text, chr(10)) if trim(x) <> ''] as ls from documents d""",

@@ -322,32 +322,6 @@ def _(kb: KB) -> DataFrame:
     return E.summarize(eval_rows(kb), "required_response_mode")
 
 
-@register(
-    "eva_03_resource_cases",
-    sql(
-        """select item_id as test_id, expected_resource_id, coalesce(r.resource_id, '') as actual_resource_id,
-        coalesce(r.resource_id, '') = expected_resource_id as top1,
-        coalesce(r.resource_id, '') = expected_resource_id as passed
-        from (select *, 'r' || (item_id * 3) as expected_resource_id from questions) q
-        left join (select * from rtop where rank = 1) r on r.question_id = q.question_id""",
-        **RES_CTES,
-    ),
-)
-def _(kb: KB) -> DataFrame:
-    """Every question is answered by its best resource here, so the verdict is the identity of that resource."""
-    found = R.search_resources(kb.questions, kb.resources, None, 3, WORDS)
-    assembled = found.where("rank = 1").select(
-        "question_id", F.concat(F.lit("resource:"), "resource_id").alias("answer_id"), F.lit("resource_guidance").alias("answer_mode")
-    )
-    cases = kb.questions.select(
-        F.col("item_id").alias("test_id"), "question_id", F.concat(F.lit("r"), F.col("item_id") * 3).alias("expected_resource_id"),
-        F.lit("any").alias("expected_resource_type"),
-    )
-    return E.evaluate_resources(cases, assembled, found).select(
-        "test_id", "expected_resource_id", "actual_resource_id", "top1", "passed"
-    )
-
-
 @register(
     "eva_04_latest_runs",
     """select user_id as run_id, arg_max(event_type, (ts, event_id)) as status, max(ts) as last_ts from events group by 1""",
