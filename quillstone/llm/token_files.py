@@ -209,9 +209,9 @@ class TokenFileReader:
             doc += 1
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Letters that normalisation leaves alone but for lower case (the dotted capital I is left to the library).
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: A word of lower-case Latin letters, which normalisation leaves alone, and a stop or comma at most.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+[.,]?")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 #: Words whose ids a Python worker remembers: this many recent ones and as many before (about 200 bytes each).
 REMEMBERED = 400_000
 
@@ -238,7 +238,7 @@ class WordEncoder:
 
     def _alone(self, words: list[str]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.recent[word] = np.array(found.ids, "<u4").tobytes()
+            self.recent[word.encode()] = np.array(found.ids, "<u4").tobytes()
 
     def _whole_way(self, words: list[str]) -> None:
         plain = [w for w in words if self.joint not in w]
@@ -252,43 +252,49 @@ class WordEncoder:
                 continue
             data, start = ids.tobytes(), 0
             for word, cut in zip(some, [*cuts.tolist(), len(ids)]):
-                self.recent[word] = data[start : 4 * cut]
+                self.recent[word.encode()] = data[start : 4 * cut]
                 start = 4 * cut + 4
 
-    def _learn(self, words: set[str]) -> None:
+    def _piece(self, small: str) -> bytes:
+        """Ids of one lower-case piece of Latin letters."""
+        spelled = small if small.isascii() else small.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
         if len(self.recent) > REMEMBERED:
             self.recent, self.older = {}, self.recent
-        recent, older, tokenize, pack = self.recent, self.older, self.tokenizer.model.tokenize, struct.pack
-        rest, split, latin = set(), [], _LATIN.fullmatch
-        for word in [*filterfalse(recent.__contains__, words)]:
-            if (known := older.get(word)) is not None:
-                recent[word] = known
+        recent, older, latin = self.recent, self.older, _LATIN.fullmatch
+        fresh = [*filterfalse(recent.__contains__, words)]
+        for word in filter(older.__contains__, fresh):
+            recent[word] = older[word]
+        fresh = [*filterfalse(recent.__contains__, fresh)]
+        text, rest = b"\n".join(fresh).decode(), []
+        for word, plain, small in zip(fresh, text.split("\n"), text.lower().split("\n")):
+            if not latin(small):
+                rest.append(plain)
+                continue
+            tail = b""
+            if small[-1] in ".,":
+                small, tail = small[:-1], self._tail(word[-1:])
+            elif small == plain:
+                recent[word] = self._piece(small)
                 continue
-            stem = word[:-1] if word[-1] in ".," and latin(word[:-1]) else word
-            if stem is not word:
-                split.append((word, stem))
-                if stem in recent:
-                    continue
-            if latin(stem):
-                small = stem.lower()
-                ids = [t.id for t in tokenize(small if small.isascii() else small.encode().decode("latin-1").translate(self.letters))]
-                recent[stem] = pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.add(stem)
-        for _, stem in split:
-            rest.discard(stem) if stem in recent else None
-        self._whole_way(sorted(rest))
-        for word, stem in split:
-            recent[word] = recent[stem] + self._tail(word[-1])
-
-    def _tail(self, mark: str) -> bytes:
+            stem = small.encode()
+            ids = recent.get(stem) or older.get(stem)
+            if ids is None:
+                ids = recent[stem] = self._piece(small)
+            recent[word] = ids + tail
+        self._whole_way(rest)
+
+    def _tail(self, mark: bytes) -> bytes:
         if mark not in self.recent:
-            self._alone([mark])
+            self._alone([mark.decode()])
         return self.recent[mark]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian 32-bit integers."""
-        parts = [_WORD.findall(t) for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of every text (UTF-8) as little-endian 32-bit integers."""
+        parts = [t.split() for t in texts]  # at ASCII white space
         self._learn(set().union(*parts))
         return [b"".join(map(self.recent.__getitem__, words)) for words in parts]
 
@@ -315,7 +321,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder:
         for batch in batches:
             keys = batch["doc_id"].to_pylist()
             for lo in range(0, len(keys), 1000):
-                texts = [t or "" for t in batch["text"].slice(lo, 1000).to_pylist()]
+                texts = [t or b"" for t in batch["text"].slice(lo, 1000).cast(pa.binary()).to_pylist()]
                 for key, data in zip(keys[lo : lo + 1000], encode(texts)):
                     if writer is None:
                         path = new_file(folder, f"shard-{shard:05d}", ".s8b")
