@@ -207,3 +207,23 @@ PROSE_FORMULA_MARKERS = ("按式", "由式", "采用式", "计算公式如", "
 # Lines of an answer that students do not see: what they start with, what they name.
 HIDDEN_LINE_START = "教材依据："
 HIDDEN_LINE_WORDS = "Source_Chunks作为依据"
+
+# Evidence profiles by alignment status: class, confidence, boundary, verification, review state.
+EVIDENCE_PROFILE_FIELDS = ("classification", "evidence_confidence", "evidence_boundary_type", "word_verification", "review_status")
+EVIDENCE_PROFILES = {
+    "exact": ("direct_text_evidence", "high", "direct_text_or_heading", "auto_direct_text_supported", "auto_evidence_graded"),
+    "partial": ("partial_text_evidence", "medium", "partial_text_or_heading", "auto_partial_text_supported", "auto_evidence_graded"),
+    "concept_supported": (
+        "concept_or_operation_anchor", "medium", "concept_supported_summary", "auto_concept_operation_supported", "auto_evidence_graded",
+    ),
+}
+OPERATION_SUMMARY_WITH_TERMS = (
+    "operation_summary_with_term_support", "medium", "operation_teaching_summary", "auto_operation_summary_not_direct_quote", "auto_evidence_graded",
+)
+OPERATION_SUMMARY = (
+    "operation_summary_not_verbatim", "low", "operation_teaching_summary", "auto_operation_summary_not_direct_quote", "auto_evidence_downgraded",
+)
+
+# Words of comparing questions, and what separates the sides of a comparison.
+COMPARISON_WORDS = ("区别", "比较")
+COMPARISON_SPLIT = "与|和|/|、|vs|VS"

@@ -139,3 +139,9 @@ def graded_evidence(chunks: DataFrame, reviews: DataFrame, approvals: DataFrame)
         F.col("review_status").isNotNull(), "review"
     ).otherwise("none")
     return rows.select("chunk_id", grade.alias("grade"), origin.alias("origin"))
+
+
+def with_scenes(items: DataFrame, scenes: DataFrame) -> DataFrame:
+    """JOI-21: scene metadata by chapter and chunk; an item without a decision is open."""
+    decision = F.trim(T.text_or_empty("decision"))
+    return items.join(scenes, ["chapter_id", "chunk_id"], "left").withColumn("decision", decision).withColumn("is_open", F.col("decision") == "")

@@ -54,7 +54,7 @@ def test_nystrom_is_the_kernel_machine():
     texts = [invented(lang, i, 20) for lang in STEMS for i in range(30)]
     labels = [lang for lang in STEMS for _ in range(30)]
     rows = presence(texts)
-    model = KernelModel.fit(rows, labels)
+    model = KernelModel.fit(np.packbits(rows.astype(bool), axis=1), labels)
     unit = rows / np.sqrt(rows.sum(1, keepdims=True))
     kernel = unit @ unit.T  # all rows are landmarks here
     goal = np.where(np.array(labels)[:, None] == np.array(sorted(STEMS)), 1.0, -1.0)
