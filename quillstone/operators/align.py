@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import similarity
 from quillstone.functions import text as T
 from quillstone.functions import values as V
-from quillstone.operators.matching import BROADCAST_POSTINGS, contains_pairs, within
+from quillstone.operators.matching import BROADCAST_POSTINGS, contains_pairs, salted_join, within
 from quillstone.operators.topk import keep_first, margin, top_k
 
 EMPTY = "array<string>"
@@ -209,7 +209,7 @@ def boundary_review(chunks: DataFrame, windows: DataFrame, limit: int = BROADCAS
         "section_id", "doc_id", "line_start", "line_end", T.compact_boundary("text").alias("_text")
     ).where("_text <> ''").select("*", T.ngrams(F.col("_text"), 3).alias("_grams"))
     small = within(asked, limit // 1000)
-    pairs = rows.join(F.broadcast(asked) if small else asked, "section_id")
+    pairs = rows.join(F.broadcast(asked), "section_id") if small else salted_join(rows, asked, ["section_id"], "doc_id")
     matched = F.size(F.filter("_terms", lambda t: F.contains(F.col("_text"), t)))
 
     def shared(part: str) -> Column:

@@ -51,6 +51,17 @@ def posting_join(
     return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
+def salted_join(rows: DataFrame, others: DataFrame, keys: list[str], spread: str, salts: int = SALTS) -> DataFrame:
+    """Inner equi-join for keys that may hold a large part of all ``rows``.
+
+    The rows of a key are dealt to ``salts`` parts by the hash of ``spread``;
+    ``others``, the smaller side, goes to every part.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = others.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def overlap_counts(
     corpus: DataFrame,
     corpus_id: str,

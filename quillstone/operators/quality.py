@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions import values as V
 
+#: Repetitions of one id that one row stands for at most.
+STRETCH = 10_000
 FINDING = ("severity", "rule", "object_id")
 
 
@@ -36,13 +38,15 @@ def missing_fields(rows: DataFrame, required: tuple[str, ...], rule: str, object
 
 
 def duplicate_ids(rows: DataFrame, object_id: str, rule: str) -> DataFrame:
-    """Every repetition of an id is one finding; counted with a map-side combine."""
+    """Every repetition of an id is one finding; counted with a map-side combine.
+
+    The findings of an id that very many rows share are written in stretches, each a row of its own to deal out.
+    """
     key = T.text_or_empty(object_id)
     counted = rows.groupBy(key.alias("object_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return counted.select(
-        F.lit("error").alias("severity"), F.lit(rule).alias("rule"), "object_id",
-        F.explode(F.sequence(F.lit(2), F.col("_n").cast("int"))).alias("_again"),
-    ).drop("_again")
+    stretches = counted.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n - 2) div {STRETCH})"))).repartition("object_id", "_part")
+    again = F.explode(F.expr(f"sequence(_part * {STRETCH} + 2, least(_n, (_part + 1) * {STRETCH} + 1))"))
+    return stretches.select(F.lit("error").alias("severity"), F.lit(rule).alias("rule"), "object_id", again.alias("_again")).drop("_again")
 
 
 def orphans(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import sqltext as S
-from quillstone.operators.matching import BROADCAST_POSTINGS, posting_join, within
+from quillstone.operators.matching import BROADCAST_POSTINGS, posting_join, salted_join, within
 from quillstone.operators.topk import top_k
 from quillstone.operators.vector import vector_top_k
 
@@ -34,16 +36,26 @@ def similar_pairs(
 ) -> DataFrame:
     """(text_id, question_id, sim) for pairs with similarity of at least ``threshold``.
 
-    Two sets can only be that similar when their sizes are close, which removes
-    most pairs inside the join, before anything is counted.
+    Two sets can only be that similar when their sizes are close: sizes fall
+    into buckets a factor of 1 / threshold wide, the bucket is part of the join
+    key, and texts that no question is close to are not even exploded.
     """
     rows = texts.select("text_id", "text").repartition("text_id").select("text_id", trigrams("text").alias("_set"))
-    rows = rows.select("text_id", F.size("_set").alias("_n"), F.explode("_set").alias("_item"))
-    asked = questions.select("question_id", trigrams("question").alias("_set"))
-    asked = asked.select("question_id", F.size("_set").alias("_m"), F.explode("_set").alias("_item"))
+    bucket = lambda size: F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-math.log(threshold))).cast("int")
+    asked = questions.select("question_id", trigrams("question").alias("_set")).withColumn("_m", F.size("_set"))
+    facts = asked.agg(F.min("_m").alias("least"), F.max("_m").alias("most"), F.sum("_m").alias("postings")).first()
+    rows = rows.withColumn("_n", F.size("_set")).where(F.col("_n").between((facts["least"] or 0) * threshold, (facts["most"] or 0) / threshold))
+    rows = rows.select("text_id", "_n", F.explode("_set").alias("_gram")).select(
+        "text_id", "_n", F.struct("_gram", bucket(F.col("_n")).alias("_bucket")).alias("_item")
+    )
+    asked = (
+        asked.withColumn("_bucket", F.explode(F.array(*[bucket(F.col("_m")) + i for i in (-1, 0, 1)])))
+        .select("question_id", "_m", "_bucket", F.explode("_set").alias("_gram"))
+        .select("question_id", "_m", F.struct("_gram", "_bucket").alias("_item"))
+    )
     near = (F.col("_n") >= threshold * F.col("_m")) & (F.col("_m") >= threshold * F.col("_n"))
     shared = (
-        posting_join(rows, asked, "_item", "text_id", within(asked, limit))
+        posting_join(rows, asked, "_item", "text_id", 3 * (facts["postings"] or 0) <= limit)
         .where(near)
         .groupBy("text_id", "question_id", "_n", "_m")
         .agg(F.count(F.lit(1)).alias("_shared"))
@@ -147,14 +159,14 @@ def card_first_search(
 def evidence_lookup(chunks: DataFrame, requests: DataFrame, k: int) -> DataFrame:
     """SQL-02: chunks of the asked section by trigram similarity.
 
-    requests(question_id, section_id, question).  The section join is spread by
-    Spark's skew handling; each pair is scored in place and pruned to ``k``.
+    requests(question_id, section_id, question).  A section's chunks are dealt
+    to many parts; each pair is scored in place and pruned to ``k``.
     """
     allowed = chunks.where("usable_for_answer = 'no_direct_output'").select(
         "chunk_id", "section_id", trigrams("source_excerpt").alias("_set")
     )
     asked = requests.select("question_id", "section_id", trigrams("question").alias("_asked"))
-    scored = allowed.join(asked, "section_id").select(
+    scored = salted_join(allowed, asked, ["section_id"], "chunk_id").select(
         "question_id", "chunk_id", "section_id", similarity(F.col("_set"), F.col("_asked")).alias("score")
     )
     return top_k(scored, ["question_id", "section_id"], [F.desc("score"), F.col("chunk_id")], k)
@@ -170,7 +182,7 @@ def recommend_by_knowledge_points(cards: DataFrame, resources: DataFrame, k: int
     ).join(resources.select("resource_id"), "resource_id", "left_semi")
     card_kps = cards.select("answer_id", F.explode("related_kps").alias("kp"))
     resource_kps = resources.select("resource_id", F.explode(F.array_distinct("related_kps")).alias("kp"))
-    points = card_kps.join(resource_kps, "kp").select("answer_id", "resource_id", F.lit(25).alias("points"))
+    points = salted_join(card_kps, resource_kps, ["kp"], "answer_id").select("answer_id", "resource_id", F.lit(25).alias("points"))
     points = points.unionByName(explicit.select("answer_id", "resource_id", F.lit(100).alias("points")))
     scored = points.groupBy("answer_id", "resource_id").agg(F.sum("points").alias("score")).where("score > 0")
     return top_k(scored, ["answer_id"], [F.desc("score"), F.col("resource_id")], k)

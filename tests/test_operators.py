@@ -5,9 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators import enrich, matching, normalize, quality
 from quillstone.operators import merge as M
 from quillstone.operators import relations as R
 from quillstone.operators.topk import numbered
+from quillstone.operators.trigram import similar_pairs
 from quillstone.sources import sinks
 
 
@@ -89,3 +91,63 @@ def test_report_says_what_it_leaves_out(spark):
     text = sinks.markdown_table(spark.range(7), 5)
     assert text.count("\n") == 8 and text.endswith("2 further rows are not shown.")
     assert "further" not in sinks.markdown_table(spark.range(5), 5)
+
+
+def test_a_key_of_a_third_of_all_rows(spark):
+    left = [("hot" if i % 3 == 0 else f"k{i % 11}", i) for i in range(600)]
+    right = [("hot", 1), ("hot", 2), ("k3", 3), ("k99", 4)]
+    rows, others = spark.createDataFrame(left, "k string, i int"), spark.createDataFrame(right, "k string, j int")
+    got = sorted((r["i"], r["j"]) for r in matching.salted_join(rows, others, ["k"], "i").collect())
+    assert got == sorted((i, j) for k, i in left for m, j in right if k == m)
+
+
+def test_findings_of_an_id_that_repeats_often(spark, monkeypatch):
+    monkeypatch.setattr(quality, "STRETCH", 7)
+    ids = [None] * 30 + ["a"] * 8 + ["b"] * 9 + ["c", "d", "d"]
+    got = [r["object_id"] for r in quality.duplicate_ids(spark.createDataFrame([(x,) for x in ids], "id string"), "id", "twice").collect()]
+    assert sorted(got) == [""] * 29 + ["a"] * 7 + ["b"] * 8 + ["d"]
+
+
+def test_similar_pairs_of_all_sizes(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcde") for _ in range(r.randrange(1, 6))) for _ in range(25)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 40))) for _ in range(120)]
+
+    def grams(text):
+        return {f"  {w} "[i : i + 3] for w in text.split() for i in range(len(w) + 1)}
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    asked = spark.createDataFrame(list(enumerate(texts[::2])), "question_id int, question string")
+    want = {}
+    for i, t in enumerate(texts):
+        for j, q in enumerate(texts[::2]):
+            a, b = grams(t), grams(q)
+            if a and b and len(a & b) / len(a | b) >= 0.3:
+                want[i, j] = len(a & b) / len(a | b)
+    for limit in (1_000_000, 0):
+        got = {(x["text_id"], x["question_id"]): x["sim"] for x in similar_pairs(rows, asked, 0.3, limit).collect()}
+        assert got == want
+
+
+def test_evidence_profile_and_support(spark):
+    rows = spark.createDataFrame([("exact", False), (" partial", True), ("missing", True), (None, None)], "s string, t boolean")
+    got = [tuple(r[0])[:2] + (tuple(r[0])[-1],) for r in rows.select(enrich.evidence_profile(F.col("s"), F.col("t"))).collect()]
+    assert got == [
+        ("direct_text_evidence", "high", False), ("partial_text_evidence", "medium", False),
+        ("operation_summary_with_term_support", "medium", False), ("operation_summary_not_verbatim", "low", True),
+    ]
+
+
+def test_formula_occurrences(spark):
+    lines = ["前文说明", "V = 3.6 L（5-1）以上", "（5-2）", "S = V t", "当 x = 1 时见式（5-3）", "其中 k 为系数", "a = b", "式中（5－3）ab = cd（5-4）"]
+    frame = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id int, ordinal int, text string")
+    got = {(r["ordinal"], r["label_key"]): r["expression"] for r in enrich.formula_occurrences(frame).collect()}
+    assert got == {(1, "5-1"): "V = 3.6 L", (2, "5-2"): "S = V t", (4, "5-3"): "a = b", (7, "5-3"): "a = b", (7, "5-4"): "a = b"}
+    best = {r["label_key"]: (r["ordinal"], r["occurrences"]) for r in enrich.best_occurrences(enrich.formula_occurrences(frame)).collect()}
+    assert best["5-3"] == (4, 2)
+
+
+def test_drifting_fields(spark):
+    rows = spark.createDataFrame([(" ", ["x ", " "], None, "a；b;a"), ("own", None, "z", None)], "alias string, question array<string>, text string, tags string")
+    got = rows.select(normalize.first_text_of(rows, "alias", "absent", "question", "text").alias("a"), normalize.list_of(rows, "none", "tags", "question").alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [("x", ["a", "b"]), ("own", [])]
