@@ -5,8 +5,8 @@ divided by the root of both counts.  N-grams are hashed to fixed ranges.  ``LAND
 the Nyström feature map; one ridge regression per language (one versus rest) is fitted in it.  As the kernel is linear
 in presence, landmarks, map and regressions multiply out to one matrix, and a batch of texts is scored by one product.
 
-The model is fitted on a bounded sample: the ``PER_LANGUAGE`` training rows of smallest hash of each language (their
-presence vectors travel to the driver, 2 KB each, never texts).  Whole texts are read when predicting.
+The model is fitted on a bounded sample: of each language the training rows whose hash lies in the lowest part that holds
+``PER_LANGUAGE`` distinct ones on average (their presence vectors travel to the driver, 2 KB each, never texts).  Whole texts are read when predicting.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is everything when there is nothing to
 learn from; a null id counts as an empty one for the fold; repeated rows are predicted alike; an empty table gives no rows.
@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import map_rows, small_batches
@@ -65,25 +64,29 @@ class KernelModel:
         self.languages, self.weights, self.offset = languages, weights.astype(np.float32), offset.astype(np.float32)
 
     @classmethod
-    def fit(cls, rows: np.ndarray, labels: list[str]) -> KernelModel | None:
+    def fit(cls, bits: np.ndarray, labels: list[str]) -> KernelModel | None:
+        """``bits``: packed presence vectors, a row per text; they are unpacked a slice at a time."""
         languages = sorted(set(labels))
         if not languages:
             return None
         code = np.array([languages.index(x) for x in labels])
-        size = np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
-        unit = (rows / size).astype(np.float64)
-        marks = np.concatenate([np.flatnonzero(code == k)[:LANDMARKS] for k in range(len(languages))])
-        values, vectors = np.linalg.eigh(unit[marks] @ unit[marks].T)
-        good = values > 1e-8 * values.max() if values.max() > 0 else np.zeros(len(values), bool)
+
+        def unit(rows: np.ndarray) -> np.ndarray:
+            some = np.unpackbits(bits[rows], axis=1)[:, :WIDTH].astype(np.float32)
+            return some / np.sqrt(np.maximum(some.sum(1, keepdims=True), 1))
+
+        marks = unit(np.concatenate([np.flatnonzero(code == k)[:LANDMARKS] for k in range(len(languages))]))
+        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        good = values > 1e-6 * values.max() if values.max() > 0 else np.zeros(len(values), bool)
         back = vectors[:, good] / np.sqrt(values[good])  # kernel to landmarks -> Nyström features
-        features = (unit @ unit[marks].T) @ back
+        features = np.concatenate([(unit(np.arange(lo, min(lo + 256, len(code)))) @ marks.T) @ back for lo in range(0, len(code), 256)])
         goal = np.where(code[:, None] == np.arange(len(languages)), 1.0, -1.0)
         weight = (1.0 / np.bincount(code, minlength=len(languages)))[code][:, None] * len(code) / len(languages)
         middle = (weight * features).sum(0) / weight.sum()
         mean = (weight * goal).sum(0) / weight.sum()
         f, g = features - middle, goal - mean
         solved = np.linalg.solve((weight * f).T @ f + RIDGE * np.eye(f.shape[1]), (weight * f).T @ g)
-        return cls(languages, unit[marks].T @ (back @ solved), mean - middle @ solved)
+        return cls(languages, marks.T @ (back @ solved), mean - middle @ solved)
 
     def outputs(self, rows: np.ndarray) -> np.ndarray:
         size = np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
@@ -107,10 +110,10 @@ def fit_languages(docs: DataFrame) -> KernelModel | None:
     small_batches(docs.sparkSession)
     pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     pool = pool.select("text", "lang", F.xxhash64(F.lit(5), "doc_id", "text").alias("hash"))
-    order = W.partitionBy("lang").orderBy("hash")
-    limits = pool.select("lang", "hash").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE)
-    limits = limits.groupBy(F.col("lang").alias("l")).agg(F.max("hash").alias("most"))  # a row per language
-    chosen = pool.join(F.broadcast(limits), (F.col("lang") == F.col("l")) & (F.col("hash") <= F.col("most"))).dropDuplicates(["lang", "hash"])
+    share = F.least(F.lit(1.0), F.lit(float(PER_LANGUAGE)) / F.greatest(F.approx_count_distinct("hash"), F.lit(1)))
+    limits = pool.groupBy(F.col("lang").alias("l")).agg(share.alias("share"))  # a row per language
+    place = F.col("hash").cast("double") / F.lit(2.0**64) + 0.5
+    chosen = pool.join(F.broadcast(limits), (F.col("lang") == F.col("l")) & (place < F.col("share"))).dropDuplicates(["lang", "hash"])
 
     def work(batch: pa.RecordBatch):
         texts = batch["text"].to_pylist()
@@ -121,8 +124,7 @@ def fit_languages(docs: DataFrame) -> KernelModel | None:
     sample.sort(key=lambda r: (r["lang"], r["hash"]))
     if not sample:
         return None
-    rows = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:WIDTH] for r in sample]).astype(np.float32)
-    return KernelModel.fit(rows, [r["lang"] for r in sample])
+    return KernelModel.fit(np.stack([np.frombuffer(r["bits"], np.uint8) for r in sample]), [r["lang"] for r in sample])
 
 
 PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double"
