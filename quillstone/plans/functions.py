@@ -38,6 +38,33 @@ def gone(x: str, characters: str) -> str:
     return f"regexp_replace({x}, '[{SP}{cls(characters)}]+', '', 'g')"
 
 
+#: Frequent words of the sample texts and the phrase that stands for each, so that rules for such phrases meet whole texts.
+HAN = (
+    (" the ", "的"), (" of ", "流程"), (" und ", "示意"), (" de ", "图"), (" and ", "请简要说明"), (" la ", "是什么"), (" der ", "有哪些要点"),
+    (" is ", "包括哪些"), (" que ", "。。。"), (" in ", "，，"), (" es ", "；；"), (" on ", "．．"), (" die ", "缓和曲线"),
+)
+
+
+def han(text):
+    """A text in which frequent words stand as phrases."""
+    for word, phrase in HAN:
+        text = F.replace(text, F.lit(word), F.lit(phrase))
+    return text
+
+
+def without(x: str, *phrases: str, by: str = "") -> str:
+    """SQL: ``x`` with every phrase replaced, one after the other."""
+    for phrase in phrases:
+        x = f"replace({x}, '{phrase}', '{by}')"
+    return x
+
+
+def han_sql(x: str) -> str:
+    for word, phrase in HAN:
+        x = without(x, word, by=phrase)
+    return x
+
+
 over("txt_01_normalize", digest(T.normalize), f"md5({norm('{x}')})")
 over("txt_02_compact", digest(T.compact_text), f"md5({compact('{x}')})")
 over("txt_03a_compact_spaces", digest(T.compact_spaces), f"md5(lower({gone('{x}', '')}))")
@@ -45,11 +72,16 @@ over("txt_03b_compact_enrich", digest(T.compact_enrich), f"md5(lower({gone('{x}'
 over("txt_03c_compact_mapping", digest(T.compact_mapping), f"md5(lower({gone('{x}', V.MAPPING_PUNCTUATION)}))")
 over("txt_03d_compact_verify", digest(T.compact_verify), f"md5({gone('{x}', V.VERIFY_PUNCTUATION)})")
 over("txt_03e_question_key", digest(T.bank_key), f"md5({gone('lower({x})', V.BANK_PUNCTUATION)})")
-over("txt_04_semantic_compact", digest(T.semantic_compact), f"md5(lower({gone('{x}', V.ENRICH_PUNCTUATION)}))")
+over(
+    "txt_04_semantic_compact", lambda c: F.md5(T.semantic_compact(han(c))),
+    f"md5({without(f'lower({gone(han_sql("{x}"), V.ENRICH_PUNCTUATION)})', *V.SEMANTIC_NOISE)})",
+)
 over(
     "txt_05_tokens",
-    lambda c: F.md5(F.array_join(F.array_sort(T.tokens(c)), " ")),
-    f"md5(array_to_string(list_sort({toks('{x}')}), ' '))",
+    lambda c: F.md5(F.array_join(F.array_sort(T.tokens(han(c))), " ")),
+    f"""(select md5(array_to_string(list_sort(list_distinct(list_concat({toks('h')}, flatten([case when length(r) = 1 then [r] else list_concat(
+        [substr(r, i, 2) for i in range(1, length(r))], [substr(r, i, 3) for i in range(1, length(r) - 1)], [substr(r, i, 4) for i in range(1, length(r) - 2)],
+        case when length(r) <= 10 then [r] else [] end) end for r in regexp_extract_all(h, '[\\x{{{{4e00}}}}-\\x{{{{9fff}}}}]+')])))), ' ')) from (select {han_sql('{x}')} as h))""".replace("{{", "{").replace("}}", "}"),
 )
 @register(
     "txt_06_ngrams",
@@ -83,7 +115,7 @@ over(
     "when contains(lower({x}), 'low') or contains(lower({x}), 'p3') then 40 else 50 end",
     "orders", "o_orderkey", "o_orderpriority",
 )
-over("txt_10_intent_core", lambda c: F.md5(T.intent_core(T.normalize(c))), f"md5({norm('{x}')})")
+over("txt_10_intent_core", lambda c: F.md5(T.intent_core(T.normalize(han(c)))), f"md5({without(norm(han_sql('{x}')), *V.FILLER_PHRASES)})")
 
 PHRASE = r"""(select case when qc = '' or pc = '' then false else
   (strpos(qc, pc) > 0 and not (regexp_matches(pc, '\p{N}$') and regexp_matches(substr(qc, strpos(qc, pc) + length(pc), 1), '^\p{N}$')))
@@ -117,16 +149,20 @@ def _(kb: KB) -> DataFrame:
 
 @register(
     "txt_13_label_references",
-    """select page_id, concat_ws('-', nullif(regexp_extract(url, '/([a-z]+)/(\\d+)', 1), ''),
-       nullif(regexp_extract(url, '/([a-z]+)/(\\d+)', 2), '')) as result from pages""",
+    """select page_id, case when page_id % 3 = 2 then null else (page_id % 7 + 1) || '-' || (length(html) % 30) end as result from pages""",
 )
 def _(kb: KB) -> DataFrame:
-    """The label pattern machinery with the URL's own two-part label."""
-    label = r"/([a-z]+)/(\d+)"
-    first, second = F.regexp_extract("url", label, 1), F.regexp_extract("url", label, 2)
-    return kb.raw("pages").select(
-        "page_id", F.concat_ws("-", F.nullif(first, F.lit("")), F.nullif(second, F.lit(""))).alias("result")
+    """Figure numbers of ids in both spellings, and none in an id of another kind."""
+    from quillstone.operators.resources import label_numbers
+
+    key, size = F.col("page_id"), F.length("html")
+    first, second = (key % 7 + 1).cast("string"), (size % 30).cast("string")
+    named = (
+        F.when(key % 3 == 0, F.concat(F.lit("ch05_fig_"), first, F.lit("_"), second))
+        .when(key % 3 == 1, F.concat(F.lit("fig-"), first, F.lit("-"), second))
+        .otherwise(F.concat(F.lit("ch05_table_"), first, F.lit("_"), second))
     )
+    return kb.raw("pages").select("page_id", label_numbers(named, "fig").alias("result"))
 
 
 COVERAGE = f"""case when len(pts) = 0 then 1.0 else len([p for p in pts if p <> '' and (contains(ans, p) or
@@ -253,7 +289,10 @@ over(
     f"md5(coalesce(nullif(trim(regexp_replace(regexp_replace({{x}}, '<[^>]*>', ' ', 'g'), '[{SP}]+', ' ', 'g')), ''), '-'))",
     "pages", "page_id", "html",
 )
-over("txt_24_collapse_punctuation", digest(T.collapse_punctuation), "md5({x})")
+over(
+    "txt_24_collapse_punctuation", lambda c: F.md5(T.collapse_punctuation(han(c))),
+    "md5(" + "regexp_replace(" * 3 + without(han_sql("{x}"), "．．", by="。") + "".join(f", '{m}{{2,}}', '{m}', 'g')" for m in "。，；") + ")",
+)
 FORMULA = r"""length(b) > 0 and length(b) <= 220 and (len(regexp_extract_all(b, '[=+\-*/×÷√∑ΣπΠ≤≥<>]')) >= 1 or
     len(regexp_extract_all(b, '[A-Za-zα-ωΑ-Ω0-9]')) >= 4)"""
 
@@ -310,7 +349,26 @@ def _(kb: KB) -> DataFrame:
     return kb.cards.select("answer_id", F.md5(R.student_visible(F.array_join(parts, "\n"))).alias("result"))
 
 
-over("txt_27_routing_key", digest(T.routing_key), f"md5({norm('{x}')})", "benchmark", "item_id")
+WRAPPED = "case item_id % 5 when 0 then '什么是' || {x} when 1 then {x} || '是什么' when 2 then '如何理解' || {x} || '什么意思？' when 3 then '何为？' else {x} end"
+
+
+@register(
+    "txt_27_routing_key",
+    f"""select item_id, case when k = '' then n else k end as result from (select item_id, n, regexp_replace(regexp_replace(n, '^(?:什么是|何为|如何理解)', ''), '(?:是什么|什么意思)$', '') as k
+        from (select item_id, {norm(WRAPPED.replace('{x}', 'text'))} as n from benchmark))""",
+)
+def _(kb: KB) -> DataFrame:
+    kind, text = F.col("item_id") % 5, F.col("text")
+    asked = (
+        F.when(kind == 0, F.concat(F.lit("什么是"), text)).when(kind == 1, F.concat(text, F.lit("是什么")))
+        .when(kind == 2, F.concat(F.lit("如何理解"), text, F.lit("什么意思？"))).when(kind == 3, F.lit("何为？")).otherwise(text)
+    )
+    return kb.raw("benchmark").select("item_id", T.routing_key(asked).alias("result"))
+
+
+over(
+    "txt_27_clean_question", lambda c: T.clean_question(F.concat(F.lit(" 请简要说明： "), c, F.lit("请查看"))), "trim({x})", "benchmark", "item_id",
+)
 over(
     "txt_28_hashes", lambda c: F.concat(T.surrogate_id("id_", c), F.lit(":"), F.sha2(c, 256)),
     "'id_' || substr(sha1({x}), 1, 10) || ':' || sha256({x})",
