@@ -95,21 +95,28 @@ def marker_slices(lines: DataFrame, markers: DataFrame) -> DataFrame:
     return rows.select("doc_id", "section_id", "ordinal", "text")
 
 
+def chapter_hits(needles: DataFrame, documents: DataFrame) -> DataFrame:
+    """(needle, chapter_id) for every needle text that lies in a document of the chapter, once per pair.
+
+    needles(needle, text); documents(doc_id, chapter_id, text), whose text is compared without blanks.
+    """
+    texts = documents.select(F.struct("doc_id", "chapter_id").alias("_id"), T.compact_spaces("text").alias("document"))
+    return contains_pairs(texts, "_id", "document", needles, "needle", "text").select("needle", F.col("_id.chapter_id").alias("chapter_id")).distinct()
+
+
 def alignment_status(chunks: DataFrame, documents: DataFrame, terms: Column) -> DataFrame:
-    """AUD-06: xml_residue, exact, partial, concept_supported or missing per chunk.
+    """AUD-06: xml_residue, exact, partial, concept_supported or missing per chunk, against the texts of its own chapter.
 
-    chunks(chunk_id, excerpt); documents(doc_id, text).  ``terms`` are the
-    significant terms of an excerpt; two of them anywhere in the documents
-    support the concept.  Every step is an anchored substring join.
+    chunks(chunk_id, chapter_id, excerpt); documents(doc_id, chapter_id,
+    text).  ``terms`` are the significant terms of an excerpt; two of them
+    anywhere in the chapter support the concept.  One substring join answers all.
     """
-    rows = chunks.select("chunk_id", "excerpt", T.compact_spaces("excerpt").alias("sample"))
+    rows = chunks.select("chunk_id", "chapter_id", "excerpt", T.compact_spaces("excerpt").alias("sample"))
     residue = F.contains("excerpt", F.lit("<w:")) | F.contains("excerpt", F.lit("</w:"))
-    texts = documents.select("doc_id", T.compact_spaces("text").alias("document"))
     long = rows.where("length(sample) >= 20")
-    words = rows.select("chunk_id", F.explode(F.array_distinct(terms)).alias("term")).select(
-        "chunk_id", T.compact_spaces("term").alias("term")
+    words = rows.select("chunk_id", "chapter_id", F.explode(F.array_distinct(terms)).alias("term")).select(
+        "chunk_id", "chapter_id", T.compact_spaces("term").alias("term")
     ).where("term <> ''").distinct()
-    # one pass over the documents answers all three questions
     needle = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id")).alias("needle")
     needles = (
         rows.select(needle("exact", "chunk_id"), F.col("sample").alias("text"))
@@ -117,14 +124,15 @@ def alignment_status(chunks: DataFrame, documents: DataFrame, terms: Column) ->
         .unionByName(long.select(needle("partial", "chunk_id"), F.right("sample", F.lit(40)).alias("text")))
         .unionByName(words.select("term").distinct().select(needle("term", "term"), F.col("term").alias("text")))
     )
-    hits = contains_pairs(texts, "doc_id", "document", needles, "needle", "text").select("needle.*").distinct()
-    by_chunk = hits.where("kind <> 'term'").groupBy(F.col("id").alias("_id")).agg(
+    hits = chapter_hits(needles, documents).select("needle.*", F.col("chapter_id").alias("_chapter"))
+    by_chunk = hits.where("kind <> 'term'").groupBy(F.col("id").alias("_id"), "_chapter").agg(
         F.max(F.col("kind") == "exact").alias("_exact"), F.max(F.col("kind") == "partial").alias("_partial")
     )
-    known = hits.where("kind = 'term'").select(F.col("id").alias("term"))
-    support = words.join(known, "term", "left_semi").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("support_terms"))
+    known = hits.where("kind = 'term'").select(F.col("id").alias("term"), F.col("_chapter").alias("chapter_id"))
+    support = words.join(known, ["term", "chapter_id"], "left_semi").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("support_terms"))
+    own = (F.col("chunk_id").cast("string") == F.col("_id")) & (F.col("chapter_id") == F.col("_chapter"))
     return (
-        rows.join(by_chunk, F.col("chunk_id").cast("string") == F.col("_id"), "left")
+        rows.join(by_chunk, own, "left")
         .join(support, "chunk_id", "left")
         .select(
             "chunk_id",
@@ -138,6 +146,32 @@ def alignment_status(chunks: DataFrame, documents: DataFrame, terms: Column) ->
     )
 
 
+def term_hits(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """AUD-06: whether a knowledge point, task or card occurs in its chapter's text, and by which of its terms.
+
+    items(kind, item_id, chapter_id, terms); the first term of two compact
+    characters or more that occurs counts.
+    """
+    placed = items.select("kind", "item_id", "chapter_id", F.posexplode("terms").alias("place", "term"))
+    placed = placed.withColumn("needle", T.compact_spaces("term")).where("length(needle) >= 2")
+    found = chapter_hits(placed.select("needle", F.col("needle").alias("text")).distinct(), documents)
+    first = placed.join(found, ["needle", "chapter_id"]).groupBy("kind", "item_id", "chapter_id").agg(F.min_by("term", "place").alias("matched_term"))
+    rows = items.select("kind", "item_id", "chapter_id").join(first, ["kind", "item_id", "chapter_id"], "left")
+    return rows.select("kind", "item_id", F.col("matched_term").isNotNull().alias("word_hit"), F.coalesce("matched_term", F.lit("")).alias("matched_term"))
+
+
+def heading_coverage(headings: DataFrame, known: DataFrame) -> DataFrame:
+    """AUD-06: distinct headings of a chapter and whether the chapter's knowledge base holds them.
+
+    headings(chapter_id, ordinal, heading); known(doc_id, chapter_id, text).
+    """
+    keyed = headings.withColumn("needle", T.compact_spaces("heading"))
+    keyed = keyed.where((F.trim("heading") != "") & (F.length("heading") <= 80) & (F.col("needle") != ""))
+    first = keyed.groupBy("chapter_id", "needle").agg(F.min_by("heading", "ordinal").alias("heading"))
+    found = chapter_hits(first.select("needle", F.col("needle").alias("text")).distinct(), known).withColumn("_hit", F.lit(True))
+    return first.join(found, ["needle", "chapter_id"], "left").select("chapter_id", "heading", F.coalesce("_hit", F.lit(False)).alias("kb_hit"))
+
+
 def chunk_class(status: Column, support_terms: Column, preview: Column) -> Column:
     """AUD-09: classification of a chunk from its alignment status."""
     crossing = preview.rlike(r"（\d+）|\(\d+\)|^\d+\.|如下|公式|目标|解支配|折扣回报|图\d+")

@@ -44,18 +44,72 @@ def _(kb: KB) -> DataFrame:
 
 @register(
     "aud_06_alignment_status",
-    f"""with d as (select {gone('lower(text)', '')} as t from documents), b as (select item_id, text, {gone('lower(text)', '')} as s from benchmark),
-      w as (select distinct item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}'))) as w from benchmark),
-      k as (select w from (select distinct w from w) where exists (select 1 from d where contains(t, w))),
-      n as (select item_id, count(*) as n from w join k using (w) group by 1)
-      select b.item_id as chunk_id, case when exists (select 1 from d where contains(t, s)) then 'exact'
-        when length(s) >= 20 and exists (select 1 from d where contains(t, left(s, 40)) or contains(t, right(s, 40))) then 'partial'
+    f"""with d as (select lang, {gone('lower(text)', '')} as t from documents),
+      b as (select item_id, ['en', 'fr', 'de', 'es'][(item_id % 4 + 1)::int] as ch, text, {gone('lower(text)', '')} as s from benchmark),
+      w as (select distinct item_id, ch, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}'))) as w from b),
+      k as (select w, ch from (select distinct w, ch from w) where exists (select 1 from d where lang = ch and contains(t, w))),
+      n as (select item_id, count(*) as n from w join k using (w, ch) group by 1)
+      select b.item_id as chunk_id, case when exists (select 1 from d where lang = ch and contains(t, s)) then 'exact'
+        when length(s) >= 20 and exists (select 1 from d where lang = ch and (contains(t, left(s, 40)) or contains(t, right(s, 40)))) then 'partial'
         when n >= 2 then 'concept_supported' else 'missing' end as status from b left join n using (item_id)""",
 )
 def _(kb: KB) -> DataFrame:
-    chunks = kb.raw("benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("excerpt"))
+    chunks = kb.raw("benchmark").select(F.col("item_id").alias("chunk_id"), chapter_of(F.col("item_id")).alias("chapter_id"), F.col("text").alias("excerpt"))
     words = F.regexp_extract_all("excerpt", F.lit("[A-Za-z]{6,}"), F.lit(0))
-    return A.alignment_status(chunks, kb.raw("documents"), words)
+    return A.alignment_status(chunks, chapters(kb), words)
+
+
+def chapter_of(key):
+    return F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (key % 4 + 1).cast("int"))
+
+
+def chapters(kb: KB) -> DataFrame:
+    return kb.raw("documents").select("doc_id", F.col("lang").alias("chapter_id"), "text")
+
+
+@register(
+    "aud_06_term_hits",
+    sql(
+        f"""select kind, item_id, coalesce(m, '') <> '' as word_hit, coalesce(m, '') as matched_term from items left join (
+          select kind, item_id, arg_min(t, i) as m from (select kind, item_id, ch, unnest(ts) as t, generate_subscripts(ts, 1) as i from items) x
+          where length({gone('lower(t)', '')}) >= 2 and exists (select 1 from d where lang = ch and contains(txt, {gone('lower(t)', '')})) group by 1, 2) using (kind, item_id)""",
+        d=f"select lang, {gone('lower(text)', '')} as txt from documents",
+        items="""select 'task' as kind, 't' || ordinal as item_id, ['en', 'fr', 'de', 'es'][(ordinal % 4 + 1)::int] as ch, [task_name, task_goal] as ts from (
+            select ordinal, task_name, left(task_goal, 80) as task_goal from tasks)
+          union all select 'point', 'p' || p_partkey, ['en', 'fr', 'de', 'es'][(p_partkey % 4 + 1)::int], string_split(p_name, ' ') from part
+          union all select 'card', 'q' || item_id, ['en', 'fr', 'de', 'es'][(item_id % 4 + 1)::int], [left(text, 80), split_part(text, '.', 1), right(text, 40)] from benchmark""",
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    """Tasks by name and goal, points by the words of a name, cards by parts of their text."""
+    kind = lambda name: F.lit(name).alias("kind")
+    tasks = kb.tasks.select(kind("task"), F.concat(F.lit("t"), "ordinal").alias("item_id"), chapter_of(F.col("ordinal")).alias("chapter_id"), F.array("task_name", F.left("task_goal", F.lit(80))).alias("terms"))
+    points = kb.raw("part").select(kind("point"), F.concat(F.lit("p"), "p_partkey").alias("item_id"), chapter_of(F.col("p_partkey")).alias("chapter_id"), F.split("p_name", " ").alias("terms"))
+    text = F.col("text")
+    cards = kb.raw("benchmark").select(
+        kind("card"), F.concat(F.lit("q"), "item_id").alias("item_id"), chapter_of(F.col("item_id")).alias("chapter_id"),
+        F.array(F.left(text, F.lit(80)), F.split(text, "[.]")[0], F.right(text, F.lit(40))).alias("terms"),
+    )
+    return A.term_hits(tasks.unionByName(points).unionByName(cards), chapters(kb))
+
+
+@register(
+    "aud_06_heading_coverage",
+    sql(
+        f"""select chapter_id, heading, exists (select 1 from kb where ch = chapter_id and contains(txt, needle)) as kb_hit from (
+          select lang as chapter_id, {gone('lower(x)', '')} as needle, arg_min(x, doc_id * 100000 + i) as heading from (select doc_id, lang, unnest(ls) as x, generate_subscripts(ls, 1) as i from doc_lines)
+          where length(x) <= 80 and {gone('lower(x)', '')} <> '' group by 1, 2)""",
+        kb=f"select ['en', 'fr', 'de', 'es'][(item_id % 4 + 1)::int] as ch, {gone('lower(text)', '')} as txt from benchmark",
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    """Every short line is a heading; the benchmark's passages are the knowledge base of four chapters."""
+    from quillstone.plans.kb import lines
+
+    rows = kb.raw("documents").select("doc_id", F.col("lang").alias("chapter_id"), F.posexplode(lines(F.col("text"))).alias("i", "heading"))
+    headings = rows.select("chapter_id", (F.col("doc_id") * 100000 + F.col("i")).alias("ordinal"), "heading")
+    known = kb.raw("benchmark").select(F.col("item_id").alias("doc_id"), chapter_of(F.col("item_id")).alias("chapter_id"), "text")
+    return A.heading_coverage(headings, known)
 
 
 @register("aud_08_boundary_review")
