@@ -82,20 +82,12 @@ def _(kb: KB) -> DataFrame:
 @register(
     "val_02_ambiguous_questions",
     sql(
-        f"""select {norm('canonical_question')} as normalized_question, count(*) as cards, min(answer_id) as first_card
-        from cards where {norm('canonical_question')} <> '' group by 1 having count(*) > 1"""
+        f"""select 'warning' as severity, 'ambiguous_question' as rule, {norm('canonical_question')} as object_id
+        from cards where {norm('canonical_question')} <> '' group by 3 having count(distinct answer_id) > 1"""
     ),
 )
 def _(kb: KB) -> DataFrame:
-    from quillstone.functions.text import normalize
-
-    keyed = kb.cards.select(normalize("canonical_question").alias("normalized_question"), "answer_id")
-    return (
-        keyed.where("normalized_question <> ''")
-        .groupBy("normalized_question")
-        .agg(F.count(F.lit(1)).alias("cards"), F.min("answer_id").alias("first_card"))
-        .where("cards > 1")
-    )
+    return Q.ambiguous(kb.cards, "canonical_question", "answer_id", "warning", "ambiguous_question")
 
 
 DECISIONS = """select o_orderkey as k, case o_orderstatus when 'O' then 'ch10' when 'F' then 'ch11' else '' end as chapter_id,
@@ -324,28 +316,13 @@ def _(kb: KB) -> DataFrame:
 
 @register(
     "eva_04_latest_runs",
-    """select user_id as run_id, arg_max(event_type, (ts, event_id)) as status, max(ts) as last_ts from events group by 1""",
+    """select user_id as run_id, arg_max(event_type, (ts, event_id)) as version_id, arg_max(props, (ts, event_id)) as metrics, arg_max(value > 50, (ts, event_id)) as finished
+       from events group by 1""",
 )
 def _(kb: KB) -> DataFrame:
-    """The latest event of every run (WIN-09)."""
-    return kb.raw("events").groupBy(F.col("user_id").alias("run_id")).agg(
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("last_ts")
+    """The latest row of every run (WIN-09); events stand for run rows."""
+    runs = kb.raw("events").select(
+        F.col("user_id").alias("run_id"), F.col("event_type").alias("version_id"), F.col("props").alias("metrics"), (F.col("value") > 50).alias("finished"),
+        F.struct("ts", "event_id").alias("written_at"),
     )
-
-
-@register(
-    "eva_05_hybrid_report",
-    sql(
-        """select question_id, (select string_agg(answer_id, ',' order by rank) from khits h where h.question_id = q.question_id) as keyword_top,
-        (select string_agg(source_id, ',' order by r) from vtop v where v.question_id = q.question_id) as vector_top from questions q""",
-        **keyword_ctes("questions"),
-        khits=CASES["khits"],
-        vtop="""select * from (select question_id, source_id, row_number() over (partition by question_id
-             order by list_cosine_similarity(q.embedding, v.embedding) desc, ordinal) as r
-             from question_vectors q cross join vectors v where source_type = 'answer_card') where r <= 3""",
-    ),
-)
-def _(kb: KB) -> DataFrame:
-    keyword = keyword_scores(kb.questions, kb.cards, kb.synonyms, kb.rag, 3)
-    vector = vector_top_k(kb.question_vectors, kb.vectors.where("source_type = 'answer_card'"), 3)
-    return E.comparison_report(keyword, vector, keyword, 3).select("question_id", "keyword_top", "vector_top")
+    return E.latest_runs(runs)
