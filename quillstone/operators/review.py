@@ -25,15 +25,16 @@ def excerpt_role(status: Column) -> Column:
     return result
 
 
-def priority_group(chapter: Column, status: Column) -> Column:
-    """REV-01: order in which review items are worked on."""
+def priority_group(chapter: Column, status: Column, first: str = "ch10", second: str = "ch11") -> Column:
+    """REV-01: order in which review items are worked on: the ``first`` chapter's, then all others as the ``second``'s."""
+    quick, manual = status == "candidate_anchor_review", status == "manual_anchor_required"
     return (
-        F.when((chapter == "ch10") & (status == "candidate_anchor_review"), "P1_ch10_quick_confirm")
-        .when((chapter == "ch10") & (status == "manual_anchor_required"), "P1_ch10_formula_gap")
-        .when(chapter == "ch10", "P2_ch10_boundary_summary")
-        .when((chapter == "ch11") & (status == "candidate_anchor_review"), "P2_ch11_quick_confirm")
-        .when((chapter == "ch11") & (status == "manual_anchor_required"), "P3_ch11_application_scene_manual")
-        .otherwise("P4_ch11_boundary_summary")
+        F.when((chapter == first) & quick, f"P1_{first}_quick_confirm")
+        .when((chapter == first) & manual, f"P1_{first}_formula_gap")
+        .when(chapter == first, f"P2_{first}_boundary_summary")
+        .when((chapter == second) & quick, f"P2_{second}_quick_confirm")
+        .when((chapter == second) & manual, f"P3_{second}_application_scene_manual")
+        .otherwise(f"P4_{second}_boundary_summary")
     )
 
 

@@ -331,9 +331,18 @@ def _(kb: KB) -> DataFrame:
     return D.read_word(files, "doc_id").select("doc_id", "ordinal", F.md5("text").alias("text"))
 
 
-@register("src_08_page_labels")
+LABELS = rf"""select page_id, [x for x in [trim(regexp_replace(replace(replace(p, '&nbsp;', ' '), '&amp;', '&'), '[{SP}]+', ' ', 'g'))
+      for p in regexp_split_to_array(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '<>', 'g'), '<[^>]*>')]
+    if length(x) between 2 and 79 and not regexp_full_match(x, '[{{}}();,.:#\-\s0-9%pxrem/]+')] as xs from pages"""
+
+
+@register(
+    "src_08_page_labels",
+    f"""select page_id, len(ls) as labels, md5(array_to_string(ls, '|')) as digest from (
+        select page_id, [xs[i] for i in range(1, len(xs) + 1) if list_position(xs, xs[i]) = i][1:60] as ls from ({LABELS}))""",
+)
 def _(kb: KB) -> DataFrame:
-    """Visible labels of every page; the parser's tolerance for broken markup has no SQL form."""
+    """Visible labels of every page."""
     labels = D.page_labels("html")
     return kb.raw("pages").select("page_id", F.size(labels).alias("labels"), F.md5(F.array_join(labels, "|")).alias("digest"))
 

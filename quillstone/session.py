@@ -1,10 +1,8 @@
-"""Session helpers: defaults for local runs and the shared checkpoint folder."""
+"""A session with defaults for local runs."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -22,25 +20,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints.
-
-    A cluster names its shared folder in ``spark.checkpoint.dir``.  Only when
-    nothing is set (tests on one machine) a temporary folder is chosen.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstone-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

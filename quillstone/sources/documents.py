@@ -6,13 +6,14 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType
+
+from quillstone.functions import text as T
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -66,48 +67,34 @@ def read_word(files: DataFrame, key: str = "path", tables: bool = True) -> DataF
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for name, content in zip(frame[key], frame["content"]):
+            for name, content in zip(frame[key], frame["content"]):  # the blocks of one file at a time
                 kept = [b for b in word_blocks(bytes(content)) if tables or (b[0] == "paragraph" and b[2])]
-                rows += [(name, i, *block) for i, block in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "kind", "style", "text", "pictures"])
+                rows = [(name, i, *block) for i, block in enumerate(kept)]
+                yield pd.DataFrame(rows, columns=[key, "ordinal", "kind", "style", "text", "pictures"])
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, "content").mapInPandas(parse, f"{key} {kind}, {BLOCKS}")
 
 
-NOT_A_LABEL = re.compile(r"[{}();,.:#\-\s0-9%pxrem/]+")
-
-
-class _Labels(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.hidden: set[str] = set()
-        self.found: dict[str, None] = {}
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.hidden.add(tag)
-
-    def handle_endtag(self, tag):
-        self.hidden.discard(tag)
-
-    def handle_data(self, data):
-        text = _spaces(data)
-        if not self.hidden and 1 < len(text) < 80 and not NOT_A_LABEL.fullmatch(text):
-            self.found.setdefault(text)
+#: A piece of text made of numbers, units and punctuation only.
+NOT_A_LABEL = r"^[{}();,.:#\-\s0-9%pxrem/]+$"
+HIDDEN_PARTS = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)"
+#: Character references that are read; others stay as written.
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def page_labels(html: pd.Series) -> pd.Series:
-    """SRC-08: the first 60 distinct visible texts of 2..79 characters."""
+def page_labels(html: Column | str, limit: int = 60) -> Column:
+    """SRC-08: the first ``limit`` distinct visible texts of 2..79 characters, in page order."""
+    visible = F.regexp_replace(T.text_or_empty(html), HIDDEN_PARTS, "<>")
+    pieces = F.split(visible, r"<[^>]*>")
 
-    def labels(page: str | None) -> list[str]:
-        parser = _Labels()
-        parser.feed(page or "")
-        return list(parser.found)[:60]
+    def read(piece: Column) -> Column:
+        for name, character in REFERENCES:
+            piece = F.replace(piece, F.lit(name), F.lit(character))
+        return T.collapse_spaces(piece)
 
-    return html.map(labels)
+    texts = F.filter(F.transform(pieces, read), lambda x: F.length(x).between(2, 79) & ~x.rlike(NOT_A_LABEL))
+    return F.slice(F.array_distinct(texts), 1, limit)
 
 
 def _json_end(text: str, start: int) -> int:
