@@ -213,7 +213,7 @@ class TokenFileReader:
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+[.,]?")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 #: Words whose ids a Python worker remembers: this many recent ones and as many before (about 200 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class WordEncoder:
