@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import similarity
@@ -75,22 +75,23 @@ def backward_first(reach: int) -> list[int]:
     return [0] + [o for d in range(1, reach + 1) for o in (-d, d)]
 
 
-def marker_slices(lines: DataFrame, markers: DataFrame) -> DataFrame:
-    """JOI-18 / WIN-07: lines between a section's first marker and the next section's.
+def marker_slices(lines: DataFrame, markers: DataFrame, last: bool = False) -> DataFrame:
+    """JOI-18 / WIN-07: lines between a section's marker and the next section's.
 
     markers(section_id, order, doc_id, marker): a section starts at the first
-    line holding its marker.  Starts are few per document, so they are joined back.
+    (with ``last`` the last) line holding its marker.  Starts are few per
+    document: each looks at the next larger one, and lines join them back.
     """
     lines = lines.select("doc_id", "ordinal", "text")
+    pick = F.max if last else F.min
     found = (
         lines.join(markers, "doc_id")
         .where(F.contains(T.compact_mapping("text"), T.compact_mapping("marker")))
         .groupBy("doc_id", "section_id", "order")
-        .agg(F.min("ordinal").alias("start"))
+        .agg(pick("ordinal").alias("start"))
     )
-    following = found.alias("a").join(found.alias("b"), "doc_id").where("b.start > a.start")
-    ends = following.groupBy("doc_id", F.col("a.section_id").alias("section_id")).agg(F.min("b.start").alias("end"))
-    spans = found.join(ends, ["doc_id", "section_id"], "left")
+    later = Window.partitionBy("doc_id").orderBy("start").rangeBetween(1, Window.unboundedFollowing)
+    spans = found.withColumn("end", F.min("start").over(later))
     rows = lines.join(spans, "doc_id").where("ordinal >= start and (end is null or ordinal < end)")
     return rows.select("doc_id", "section_id", "ordinal", "text")
 

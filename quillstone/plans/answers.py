@@ -9,6 +9,7 @@ from quillstone.operators import answers as A
 from quillstone.operators import evaluate as E
 from quillstone.operators import operations as O
 from quillstone.operators import render, resources as R
+from quillstone.operators.hybrid import direct_matches, direct_override
 from quillstone.operators.keyword import keyword_scores
 from quillstone.plans.kb import ASKED, KB, norm, sql, toks
 from quillstone.plans.registry import register
@@ -110,6 +111,23 @@ def assembled(kb: KB, questions: DataFrame, found: DataFrame) -> DataFrame:
     return A.assemble(questions, hits, found, operations, R.question_flags(questions, WORDS), kb.cards)
 
 
+@register(
+    "ret_06_direct_override",
+    sql(
+        """select question_id, answer_id, row_number() over (partition by question_id order by place) as rank, round(score, 6) as score from (
+          select coalesce(k.question_id, d.question_id) as question_id, coalesce(k.answer_id, d.answer_id) as answer_id,
+            case when d.answer_id is not null then 0 else k.rank end as place, case when d.answer_id is not null then greatest(coalesce(k.score, 0), d.priority + 220) else k.score end as score
+          from kfive k full join dbest d on k.question_id = d.question_id and k.answer_id = d.answer_id)""",
+        **{**keyword_ctes("questions"), "kfive": DIRECT["kfive"], "dmatch": DIRECT["dmatch"], "dbest": DIRECT["dbest"], "questions": ASKED},
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    """A card whose own question is asked moves to the top of the real hits."""
+    hits = keyword_scores(kb.asked, kb.cards, kb.synonyms, kb.rag, 5)
+    moved = direct_override(kb.asked, hits, direct_matches(kb.cards))
+    return moved.select("question_id", "answer_id", "rank", F.round("score", 6).alias("score"))
+
+
 @register("ret_17_answer_assembly", sql(ASSEMBLED, **{**ASSEMBLY_CTES, "questions": ASKED}))
 def _(kb: KB) -> DataFrame:
     return assembled(kb, kb.asked, R.search_resources(kb.asked, kb.resources, None, 1, WORDS))

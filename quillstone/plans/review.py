@@ -293,35 +293,50 @@ def _(kb: KB) -> DataFrame:
     )
 
 
-MARKED = {
-    "ls": LINES,
-    "starts": f"""select doc_id, section_id, min(ordinal) as start from (select ls.doc_id, s.section_id, ls.ordinal from ls
-       join (values ('s1', 'the'), ('s2', 'ing')) s(section_id, marker) on contains(lower({gone('ls.text', V.MAPPING_PUNCTUATION)}), marker))
-       where doc_id in (select item_id from benchmark) group by 1, 2""",
-    "spans": """select *, (select min(start) from starts b where b.doc_id = a.doc_id and b.start > a.start) as stop from starts a""",
-}
+def marked(pick: str) -> dict[str, str]:
+    return {
+        "ls": LINES,
+        "starts": f"""select doc_id, section_id, {pick}(ordinal) as start from (select ls.doc_id, s.section_id, ls.ordinal from ls
+           join (values ('s1', 'the'), ('s2', 'ing')) s(section_id, marker) on contains(lower({gone('ls.text', V.MAPPING_PUNCTUATION)}), marker)) group by 1, 2""",
+        "spans": """select *, (select min(start) from starts b where b.doc_id = a.doc_id and b.start > a.start) as stop from starts a""",
+    }
+
+
+SLICES = """select m.doc_id, m.section_id, l.ordinal from spans m join ls l on l.doc_id = m.doc_id
+   and l.ordinal >= m.start and (m.stop is null or l.ordinal < m.stop)"""
+
+
+def sliced(kb: KB, last: bool) -> DataFrame:
+    """Two markers in every document."""
+    pairs = [F.struct(F.lit(s).alias("section_id"), F.lit(i).alias("order"), F.lit(m).alias("marker")) for i, (s, m) in enumerate((("s1", "the"), ("s2", "ing")))]
+    markers = kb.raw("documents").select("doc_id", F.explode(F.array(*pairs)).alias("m")).select("doc_id", "m.*")
+    return A.marker_slices(doc_lines(kb), markers, last).select("doc_id", "section_id", "ordinal")
+
+
+@register("joi_18_marker_slices", sql(SLICES, **marked("min")))
+def _(kb: KB) -> DataFrame:
+    return sliced(kb, False)
+
+
+@register("win_07_last_markers", sql(SLICES, **marked("max")))
+def _(kb: KB) -> DataFrame:
+    return sliced(kb, True)
 
 
 @register(
-    "joi_18_marker_slices",
+    "joi_20_context_after",
     sql(
-        """select m.doc_id, m.section_id, l.ordinal from spans m join ls l on l.doc_id = m.doc_id
-           and l.ordinal >= m.start and (m.stop is null or l.ordinal < m.stop)""",
-        **MARKED,
+        """select doc_id, ordinal, text, off as "offset" from (select a.doc_id, a.ordinal, md5(b.text) as text, b.ordinal - a.ordinal as off,
+        row_number() over (partition by a.doc_id, a.ordinal order by b.ordinal) as r
+        from ls a join ls b on b.doc_id = a.doc_id and b.ordinal between a.ordinal + 1 and a.ordinal + 7
+        where length(a.text) < 60 and length(b.text) >= 60) where r = 1""",
+        ls=LINES,
     ),
 )
 def _(kb: KB) -> DataFrame:
-    """Two markers per document numbered like a passage."""
-    markers = kb.raw("benchmark").select(
-        F.col("item_id").alias("doc_id"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("s1").alias("section_id"), F.lit(1).alias("order"), F.lit("the").alias("marker")),
-                F.struct(F.lit("s2").alias("section_id"), F.lit(2).alias("order"), F.lit("ing").alias("marker")),
-            )
-        ).alias("m"),
-    ).select("doc_id", "m.*")
-    return A.marker_slices(doc_lines(kb), markers).select("doc_id", "section_id", "ordinal")
+    """The nearest of seven long lines after a short one."""
+    rows = doc_lines(kb)
+    return A.nearest_row(rows.where("length(text) < 60"), rows.where("length(text) >= 60"), list(range(1, 8)), "text").withColumn("text", F.md5("text"))
 
 
 # --- merging -------------------------------------------------------------

@@ -5,12 +5,12 @@ import random
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import enrich, matching, normalize, quality
+from quillstone.operators import enrich, matching, normalize, quality, review
 from quillstone.operators import merge as M
 from quillstone.operators import relations as R
 from quillstone.operators.topk import numbered
 from quillstone.operators.trigram import similar_pairs
-from quillstone.sources import sinks
+from quillstone.sources import packages, sinks
 
 
 def test_a_thousand_equal_ids(spark, monkeypatch):
@@ -151,3 +151,29 @@ def test_drifting_fields(spark):
     rows = spark.createDataFrame([(" ", ["x ", " "], None, "a；b;a"), ("own", None, "z", None)], "alias string, question array<string>, text string, tags string")
     got = rows.select(normalize.first_text_of(rows, "alias", "absent", "question", "text").alias("a"), normalize.list_of(rows, "none", "tags", "question").alias("b")).collect()
     assert [(r["a"], r["b"]) for r in got] == [("x", ["a", "b"]), ("own", [])]
+
+
+def test_promotion_of_a_draft(spark):
+    items = spark.createDataFrame([("ch10", "c1", "manual_anchor_required")], "chapter_id string, chunk_id string, review_status string")
+    columns = "chapter_id string, chunk_id string, decision string, approved_paragraph_start string, approved_paragraph_end string, reviewer_notes string"
+    draft = spark.createDataFrame([("ch10", "c1", "", "1", "2", "n")], columns)
+    wrong = spark.createDataFrame([("ch10", "c1", "no such decision", "1", "2", "n")], columns)
+    assert review.promotion_blockers(draft, items, False, True, False, False) == ["dry_run"]
+    assert review.promotion_blockers(wrong, items, True, False, True, False) == ["not_confirmed", "draft_invalid", "formal_exists"]
+    assert review.promotion_blockers(draft, items, True, True, True, True) == []
+
+
+def test_file_listing(spark, tmp_path):
+    for name, text in (("a/x.html", "same"), ("a/b/y.html", "same"), ("z.txt", "other")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files = packages.list_files(spark, str(tmp_path), "*.html")
+    assert sorted((r["stem"], r["length"]) for r in files.collect()) == [("x", 4), ("y", 4)]
+    assert [r["files"] for r in packages.duplicate_files(files).collect()] == [2]
+
+
+def test_relations_stand_in(spark):
+    some, none = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([], "x int")
+    other = spark.createDataFrame([(2,)], "x int")
+    assert [r["x"] for r in M.relations_if_empty(some, other).collect()] == [1]
+    assert [r["x"] for r in M.relations_if_empty(none, other).collect()] == [2]
