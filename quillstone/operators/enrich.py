@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import values as V
+from quillstone.operators.align import backward_first, nearest_row
 from quillstone.operators.matching import contains_pairs
 
 REACH = 3
@@ -138,3 +139,24 @@ def source_quality(rows: DataFrame, evidence_chapters: list[str]) -> DataFrame:
         F.coalesce(blank(F.col("profile.review_status")), blank(F.col("review_status")), F.lit("missing")).alias("review_status"),
         needs.alias("needs_textbook_anchor_review"),
     )
+
+
+def bind_figures(blocks: DataFrame, resources: DataFrame, reach: int = 8) -> DataFrame:
+    """ETL-15: image resources bound to the first picture whose nearest figure label is theirs.
+
+    blocks(doc_id, ordinal, text, picture), picture null or the picture's name; resources(resource_id, label_key, status,
+    reference_aliases).  A label is looked for on the picture's own block, then alternately before and after it.
+    """
+    pattern = r"图\s*(\d+)\s*[-－—]\s*(\d+)"
+    label = F.concat_ws("-", F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")), F.nullif(F.regexp_extract("text", pattern, 2), F.lit("")))
+    labelled = blocks.where(F.col("text").rlike(pattern)).select("doc_id", "ordinal", label.alias("label_key"))
+    near = nearest_row(blocks.where("picture is not null"), labelled, backward_first(reach), "label_key")
+    named = near.join(blocks.select("doc_id", "ordinal", "picture"), ["doc_id", "ordinal"])
+    first = named.groupBy("label_key").agg(F.min_by(F.struct("doc_id", "ordinal", "picture", "offset"), F.struct("doc_id", "ordinal")).alias("f"))
+    bound = F.col("f").isNotNull()
+    aliases = F.array(F.concat(F.lit("图"), "label_key"), F.concat(F.lit("图 "), "label_key"), F.col("label_key"))
+    return resources.join(first, "label_key", "left").select(
+        "resource_id", "label_key", F.when(bound, F.col("f.picture")).alias("file_path"), F.when(bound, "bound").otherwise(F.col("status")).alias("status"),
+        F.when(bound, F.array_distinct(F.concat("reference_aliases", aliases))).otherwise(F.col("reference_aliases")).alias("reference_aliases"),
+        F.abs(F.col("f.offset")).alias("distance"),
+    )

@@ -192,9 +192,52 @@ def merge_patterns(cards: DataFrame, incoming: DataFrame, owners: DataFrame) ->
 
 
 def apply_aliases(targets: DataFrame, aliases: DataFrame, key: str, column: str) -> DataFrame:
-    """ETL-12: accepted heading aliases join the target's alias list."""
-    grouped = aliases.select(key, "alias").distinct().groupBy(key).agg(F.sort_array(F.collect_list("alias")).alias("_a"))
-    return targets.join(grouped, key, "left").withColumn(column, ordered_union(F.col(column), F.col("_a"))).drop("_a")
+    """ETL-12: accepted heading aliases join the target's alias list, in the order in which they are offered.
+
+    aliases(key, alias, ordinal).
+    """
+    first = aliases.groupBy(key, "alias").agg(F.min("ordinal").alias("ordinal"))
+    grouped = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "alias"))).alias("_a"))
+    added = F.transform("_a", lambda x: x["alias"])
+    return targets.join(grouped, key, "left").withColumn(column, ordered_union(F.col(column), added)).drop("_a")
+
+
+def aliases_in_rag(rag: DataFrame, aliases: DataFrame) -> DataFrame:
+    """ETL-12: the aliases of an object also join its keywords and its index text.
+
+    rag(object_id, retrieval_keywords, index_text); aliases(object_id, alias, ordinal).
+    """
+    rows = apply_aliases(rag.withColumn("_texts", F.array(T.text_or_empty("index_text"))), aliases, "object_id", "retrieval_keywords")
+    rows = apply_aliases(rows, aliases, "object_id", "_texts")
+    return rows.withColumn("index_text", F.array_join(F.filter("_texts", lambda x: x != ""), "；")).drop("_texts")
+
+
+def alias_synonyms(synonyms: DataFrame, aliases: DataFrame, chapter: str) -> DataFrame:
+    """ETL-12: a synonym row for every alias that its target does not have yet, numbered after the existing rows.
+
+    synonyms(target_id, alias_or_question); aliases(target_id, alias, ordinal), ordinals from 1.
+    """
+    known = synonyms.select("target_id", F.col("alias_or_question").alias("alias")).distinct()
+    fresh = aliases.groupBy("target_id", "alias").agg(F.min("ordinal").alias("ordinal")).join(known, ["target_id", "alias"], "left_anti")
+    counted = numbered(fresh.withColumn("_all", F.lit(1)), ["_all"], [F.floor(F.col("ordinal") / F.lit(STRETCH))], [F.col("ordinal")], "_n")
+    existing = synonyms.agg(F.count(F.lit(1)).alias("_existing"), F.lit(1).alias("_all"))
+    place = F.col("_existing") + F.col("_n") - 1 + F.col("ordinal")
+    return counted.join(existing, "_all").select(
+        F.concat(F.lit(f"{chapter}_word_heading_"), F.format_string("%04d", place)).alias("synonym_id"), "target_id", F.col("alias").alias("alias_or_question"),
+        F.lit("word_heading_alias").alias("type"), F.lit(2).alias("priority"),
+    )
+
+
+def search_rows(cards: DataFrame) -> DataFrame:
+    """ETL-13: the index text, keywords and embedding text by which a card is found, to upsert with its patch."""
+    question = T.text_or_empty("canonical_question")
+    patterns, points = (F.coalesce(c, F.array().cast(EMPTY)) for c in ("student_question_patterns", "answer_points"))
+    index = F.concat_ws("。", question, F.array_join(patterns, "；"), F.array_join(points, "；"))
+    return cards.select(
+        F.concat(F.lit("rag_"), "answer_id").alias("config_id"), F.col("answer_id").alias("object_id"), index.alias("index_text"),
+        F.array_join(F.concat(F.array(question), patterns, points), ";").alias("retrieval_keywords"),
+        F.concat(question, F.lit("。"), F.array_join(patterns, "；"), F.lit("。要点："), F.array_join(points, ";")).alias("embedding_text"),
+    )
 
 
 def recommended_by_points(cards: DataFrame, resources: DataFrame, kind: str = "interactive_html", salts: int = SALTS) -> DataFrame:

@@ -190,6 +190,34 @@ def _(kb: KB) -> DataFrame:
     return E.enrich_formulas(asked, E.formula_occurrences(texts))
 
 
+@register(
+    "etl_15_figure_binding",
+    sql(
+        """select resource_id, k as label_key, fp as file_path, case when fp is not null then 'bound' else status end as status,
+        array_to_string(case when fp is not null and k <> reference_aliases[1] then list_concat(reference_aliases, ['图' || k, '图 ' || k, k]) else reference_aliases end, '|') as aliases, distance
+        from (select *, (ordinal % 25) || '-' || (ordinal % 9) as k from resources)
+        left join (select label_key, arg_min(picture, (doc_id, p)) as fp, arg_min(d, (doc_id, p)) as distance from nearest group by 1) on label_key = k""",
+        bl="""select doc_id, i as ordinal, case when i % 6 = 3 then '见图 ' || i || ' - ' || (length(x) % 9) else x end as text, case when i % 6 = 1 then 'p' || doc_id || '_' || i end as picture
+            from (select doc_id, unnest(ls) as x, generate_subscripts(ls, 1) as i from doc_lines)""",
+        lb="select doc_id, ordinal, regexp_extract(text, '图\\s*(\\d+)\\s*[-－—]\\s*(\\d+)', 1) || '-' || regexp_extract(text, '图\\s*(\\d+)\\s*[-－—]\\s*(\\d+)', 2) as label_key from bl where regexp_matches(text, '图\\s*\\d+\\s*[-－—]\\s*\\d+')",
+        nearest="""select doc_id, p, picture, arg_min(label_key, (d, s)) as label_key, min(d) as d from (
+            select a.doc_id, a.ordinal as p, a.picture, l.label_key, abs(l.ordinal - a.ordinal) as d, l.ordinal > a.ordinal as s from bl a join lb l on l.doc_id = a.doc_id and abs(l.ordinal - a.ordinal) <= 8
+            where a.picture is not null) group by 1, 2, 3""",
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    """Every sixth line stands for a picture, every sixth for a figure label."""
+    rows = kb.raw("documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("i", "line")).withColumn("ordinal", F.col("i") + 1)
+    named = F.concat(F.lit("见图 "), "ordinal", F.lit(" - "), F.length("line") % 9)
+    blocks = rows.select(
+        "doc_id", "ordinal", F.when(F.col("ordinal") % 6 == 3, named).otherwise(F.col("line")).alias("text"),
+        F.when(F.col("ordinal") % 6 == 1, F.concat(F.lit("p"), "doc_id", F.lit("_"), "ordinal")).alias("picture"),
+    )
+    asked = kb.resources.select("resource_id", F.concat_ws("-", F.col("ordinal") % 25, F.col("ordinal") % 9).alias("label_key"), "status", "reference_aliases")
+    found = E.bind_figures(blocks, asked)
+    return found.select("resource_id", "label_key", "file_path", "status", F.array_join("reference_aliases", "|").alias("aliases"), "distance")
+
+
 # --- evidence ------------------------------------------------------------
 
 

@@ -263,14 +263,62 @@ def _(kb: KB) -> DataFrame:
 @register(
     "etl_12_heading_aliases",
     sql(
-        """select answer_id, array_to_string(list_sort(list_distinct(list_concat(student_question_patterns, coalesce(a, [])))), '|') as patterns
-        from cards left join (select 'a' || (item_id * 5) as answer_id, [split_part(text, ' ', 1)] as a from benchmark) using (answer_id)"""
+        """select answer_id, array_to_string([ps[i] for i in range(1, len(ps) + 1) if list_position(ps, ps[i]) = i], '|') as patterns from (
+          select answer_id, list_concat(student_question_patterns, coalesce(a, [])) as ps from cards left join (
+            select 'a' || (item_id % 30 * 5) as answer_id, list(split_part(text, ' ', 1) order by item_id) as a from benchmark group by 1) using (answer_id))"""
     ),
 )
 def _(kb: KB) -> DataFrame:
-    aliases = kb.raw("benchmark").select(F.concat(F.lit("a"), F.col("item_id") * 5).alias("answer_id"), F.split("text", " ")[0].alias("alias"))
-    merged = M.apply_aliases(kb.cards, aliases, "answer_id", "student_question_patterns")
-    return merged.select("answer_id", F.array_join(F.sort_array("student_question_patterns"), "|").alias("patterns"))
+    merged = M.apply_aliases(kb.cards, heading_aliases(kb).withColumnRenamed("target_id", "answer_id"), "answer_id", "student_question_patterns")
+    return merged.select("answer_id", F.array_join("student_question_patterns", "|").alias("patterns"))
+
+
+def heading_aliases(kb: KB) -> DataFrame:
+    """The first word of every passage is offered to one of thirty cards."""
+    return kb.raw("benchmark").select(
+        F.concat(F.lit("a"), F.col("item_id") % 30 * 5).alias("target_id"), F.split("text", " ")[0].alias("alias"), (F.col("item_id") + 1).alias("ordinal")
+    )
+
+
+@register(
+    "etl_12_aliases_in_rag",
+    sql(
+        """select object_id, array_to_string([ks[i] for i in range(1, len(ks) + 1) if list_position(ks, ks[i]) = i], '|') as retrieval_keywords,
+        array_to_string([xs[i] for i in range(1, len(xs) + 1) if list_position(xs, xs[i]) = i and xs[i] <> ''], '；') as index_text from (
+          select object_id, list_concat(['p' || retrieval_priority], coalesce(a, [])) as ks, list_concat([case when primary_output then 'the' else '' end], coalesce(a, [])) as xs from rag
+          left join (select 'a' || (item_id % 30 * 5) as object_id, list(split_part(text, ' ', 1) order by item_id) as a from benchmark group by 1) using (object_id))"""
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    rag = kb.rag.select("object_id", F.array(F.concat(F.lit("p"), "retrieval_priority")).alias("retrieval_keywords"), F.when(F.col("primary_output"), "the").otherwise("").alias("index_text"))
+    found = M.aliases_in_rag(rag, heading_aliases(kb).withColumnRenamed("target_id", "object_id"))
+    return found.select("object_id", F.array_join("retrieval_keywords", "|").alias("retrieval_keywords"), "index_text")
+
+
+@register(
+    "etl_12_alias_synonyms",
+    sql(
+        """select 'ch05_word_heading_' || case when place < 1000 then lpad(place::varchar, 4, '0') else place::varchar end as synonym_id, target_id, alias as alias_or_question from (
+          select target_id, alias, (select count(*) from conversations where role = 'user') + row_number() over (order by o) - 1 + o as place from (
+            select 'a' || (item_id % 30 * 5) as target_id, split_part(text, ' ', 1) as alias, min(item_id + 1) as o from benchmark group by 1, 2) f
+          where not exists (select 1 from synonyms s where s.target_id = f.target_id and split_part(s.alias_or_question, ' ', 1) = f.alias))"""
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    known = kb.synonyms.select("target_id", F.split("alias_or_question", " ")[0].alias("alias_or_question"))
+    return M.alias_synonyms(known, heading_aliases(kb), "ch05").select("synonym_id", "target_id", "alias_or_question")
+
+
+@register(
+    "etl_13_search_rows",
+    sql(
+        """select 'rag_' || answer_id as config_id, md5(concat_ws('。', canonical_question, array_to_string(student_question_patterns, '；'), array_to_string(answer_points, '；'))) as index_text,
+        md5(array_to_string(list_concat([canonical_question], student_question_patterns, answer_points), ';')) as retrieval_keywords,
+        md5(canonical_question || '。' || array_to_string(student_question_patterns, '；') || '。要点：' || array_to_string(answer_points, ';')) as embedding_text from cards"""
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    return M.search_rows(kb.cards).select("config_id", *[F.md5(c).alias(c) for c in ("index_text", "retrieval_keywords", "embedding_text")])
 
 
 @register(
