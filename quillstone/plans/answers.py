@@ -11,7 +11,7 @@ from quillstone.operators import operations as O
 from quillstone.operators import render, resources as R
 from quillstone.operators.hybrid import direct_matches, direct_override
 from quillstone.operators.keyword import keyword_scores
-from quillstone.plans.kb import ASKED, KB, norm, sql, toks
+from quillstone.plans.kb import ASKED, KB, PRELUDE_CTES, norm, sql, toks
 from quillstone.plans.registry import register
 from quillstone.plans.resources import REC_CTES, RES_CTES, WORDS
 from quillstone.plans.retrieval import keyword_ctes
@@ -133,24 +133,31 @@ def _(kb: KB) -> DataFrame:
     return assembled(kb, kb.asked, R.search_resources(kb.asked, kb.resources, None, 1, WORDS))
 
 
+#: Every other question is the title of the resource that is expected for it.
+TITLED = """select 'q' || item_id as question_id, item_id, case when item_id % 2 = 0 and ordinal is not null then title else text end as question
+    from benchmark left join resources on ordinal = item_id"""
+
+
 @register(
     "eva_03_resource_cases",
     sql(
         """select item_id as test_id, expected_resource_id, actual as actual_resource_id, actual = expected_resource_id as top1,
         actual = expected_resource_id as passed from (
-          select item_id, 'r' || (item_id * 3) as expected_resource_id, case when a.branch = 'resource' then substr(a.answer_id, 10) else '' end as actual
+          select item_id, 'r' || item_id as expected_resource_id, case when a.branch = 'resource' then substr(a.answer_id, 10) else '' end as actual
           from questions q left join assembled a on a.question_id = q.question_id)""",
-        **{**ASSEMBLY_CTES, "assembled": ASSEMBLED, "questions": ASKED},
+        **{
+            **ASSEMBLY_CTES, "assembled": ASSEMBLED, "questions": TITLED.replace("resources", f"({PRELUDE_CTES['resources']})"),
+        },
     ),
 )
 def _(kb: KB) -> DataFrame:
     """Every question goes through the whole assembly before its resource is judged."""
-    found = R.search_resources(kb.asked, kb.resources, None, 3, WORDS)
-    cases = kb.asked.select(
-        F.col("item_id").alias("test_id"), "question_id", F.concat(F.lit("r"), F.col("item_id") * 3).alias("expected_resource_id"),
-        F.lit("any").alias("expected_resource_type"),
-    )
-    return E.evaluate_resources(cases, assembled(kb, kb.asked, found), found).select(
+    own = kb.resources.select(F.col("ordinal").alias("item_id"), "title")
+    text = F.when((F.col("item_id") % 2 == 0) & F.col("title").isNotNull(), F.col("title")).otherwise(F.col("question"))
+    asked = kb.questions.join(own, "item_id", "left").select("question_id", "item_id", text.alias("question"))
+    found = R.search_resources(asked, kb.resources, None, 3, WORDS)
+    cases = asked.select(F.col("item_id").alias("test_id"), "question_id", F.concat(F.lit("r"), "item_id").alias("expected_resource_id"), F.lit("any").alias("expected_resource_type"))
+    return E.evaluate_resources(cases, assembled(kb, asked, found), found).select(
         "test_id", "expected_resource_id", "actual_resource_id", "top1", "passed"
     )
 
