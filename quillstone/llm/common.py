@@ -44,6 +44,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_of(df: DataFrame, wanted: int, hashed: Column) -> Column:
+    """A condition that about ``wanted`` rows meet: their hash lies in the lowest part.  Nothing is sorted or collected."""
+    return hashed.cast("double") / F.lit(2.0**64) + 0.5 < F.lit(wanted / max(1, df.count()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,6 +1,6 @@
 """Nearest neighbours by an inverted multi-index.
 
-Vectors are cut into two halves, each quantised by its own ``CENTROIDS`` centroids (fitted on a bounded sample); a cell is
+Vectors are cut into two halves, each quantised by its own ``CENTROIDS`` centroids (fitted on a sample of about ``SAMPLE`` entries); a cell is
 a pair of centroids.  A query walks cells by increasing sum of both half distances with a heap over the two sorted
 centroid lists, until the cells hold ``SHARE`` of all entries (``LEAST`` at least), and reranks their entries by exact
 distance in double precision.  Every vector is indexed.  In 64 dimensions of little structure neighbours are spread
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_rows, stored
+from quillstone.llm.common import map_rows, share_of, stored
 
 CENTROIDS = 32
 SAMPLE = 20_000
@@ -102,7 +102,7 @@ def search(vectors: DataFrame, queries: str, k: int = 10, key: str = "vec_id", v
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     rows = _usable(vectors, key, vector)
     entries = stored(_distinct(rows, k + 1).withColumn("hash", F.xxhash64("v")), "entries")
-    sample = entries.select("v").orderBy("hash").limit(SAMPLE).toArrow().column("v")
+    sample = entries.filter(share_of(entries, SAMPLE, F.col("hash"))).select("v").toArrow().column("v")  # entries are distinct
     if not len(sample):
         return spark.createDataFrame([], empty)
     points = np.array(sample.to_pylist())

@@ -162,7 +162,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> SegmentModel:
     odds = F.log(up) - F.log(n1 + PRIOR - up) - F.log(down) + F.log(n0 + PRIOR - down)
     z = odds / F.sqrt(1 / up + 1 / down)
     best = both.filter("h is not null").select("h", odds.alias("odds"), z.alias("z"), (down / (n0 + PRIOR)).alias("p")).filter(F.col("z") >= LEAST_Z)
-    rows = best.orderBy(F.desc("z"), "h").limit(MAX_WORDS).collect()
+    rows = stored(best.orderBy(F.desc("z"), "h").limit(MAX_WORDS), "model").collect()  # the choice is made by a task
     return SegmentModel(np.array([r["h"] for r in rows], np.int64), np.array([r["odds"] for r in rows]), np.array([r["p"] for r in rows]))
 
 

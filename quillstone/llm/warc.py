@@ -1,7 +1,7 @@
 """WARC archives with a Zstandard dictionary: one leading skippable frame, then one frame per record.
 
-A dictionary of at most ``DICTIONARY_BYTES`` is trained on a bounded sample of records (``SAMPLE`` rows of smallest
-hash, ``SAMPLE_BYTES`` of each payload; it only affects sizes) and stored in front of every archive, so an archive can be read
+A dictionary of at most ``DICTIONARY_BYTES`` is trained on a bounded sample of records (about ``SAMPLE`` rows, those
+with the lowest hashes, ``SAMPLE_BYTES`` of each payload; it only affects sizes) and stored in front of every archive, so an archive can be read
 without any other file and every record can be decompressed on its own.
 
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes, that with the smallest id is a response and the others
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import fixed_schema, shared_folder, small_batches, stored
+from quillstone.llm.common import fixed_schema, share_of, shared_folder, small_batches, stored
 from quillstone.llm.files import create, new_file, open_stream
 
 SKIPPABLE = 0x184D2A5D
@@ -112,8 +112,10 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     small_batches(spark)
     folder = folder or shared_folder(spark)
     start = F.substring(F.col(html).cast("string"), 1, SAMPLE_BYTES).alias("s")
-    picked = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), start, F.xxhash64(F.col(key), F.col(url)).alias("h"))
-    records = [(r["k"], r["u"], (r["s"] or "").encode()) for r in picked.orderBy("h", "s").limit(SAMPLE).collect()]
+    hashed = F.xxhash64(F.col(key), F.col(url))
+    picked = pages.filter(share_of(pages, SAMPLE, hashed)).select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), start)
+    picked = picked.dropDuplicates(["k", "u"]).limit(4 * SAMPLE)  # repeated rows share a hash
+    records = sorted((r["k"] or 0, r["u"] or "", (r["s"] or "").encode()) for r in picked.collect())
     samples = [build_record(k, u, p, hashlib.sha256(p).hexdigest(), None, date) for k, u, p in records]
     dictionary = spark.sparkContext.broadcast(train(samples))
 
