@@ -45,7 +45,7 @@ CROWDED = 512
 #: Offset ranges of the levels of crowded anchors; the last one has a single offset.
 WIDTHS = (29, 5, 1)
 BITMAP = 1 << 25
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8_192
 _PIECE = 1 << 19
 
 
@@ -139,7 +139,7 @@ def _hits(docs: DataFrame, repeated: np.ndarray, differing: np.ndarray) -> DataF
                 for a, c, p, x, b in zip(first[hit].tolist(), count[hit].tolist(), q[hit].tolist(), h[hit].tolist(), body):
                     part = text[a : a + c + LENGTH - 1]
                     out.append((key, a, c, p - a, x, _signed(xxh3_64_intdigest(part)), part if b else None))
-                if len(out) > 10_000:
+                if len(out) > 4_000:
                     yield list(zip(*out))
                     out = []
         if out:
