@@ -22,7 +22,7 @@ ANCHOR_LENGTHS = (1, 2, 4, 8, 16)
 #: Needle texts of at most this many bytes in all travel to every task.
 BROADCAST_BYTES = 64 << 20
 #: (gram size, distance of the places where a haystack is cut, least length of a needle)
-GRAMS = ((1, 1, 1), (2, 1, 2), (2, 2, 3), (4, 4, 7), (8, 8, 15), (16, 16, 31))
+GRAMS = ((1, 1, 1), (2, 1, 2), (2, 2, 3), (4, 2, 5), (6, 4, 9), (8, 8, 15), (16, 16, 31))
 
 
 def within(df: DataFrame, limit: int) -> bool:
@@ -123,8 +123,8 @@ def contains_pairs(
 ) -> DataFrame:
     """(haystack id, needle id) where the needle text lies in the haystack text.
 
-    Haystacks are cut into grams of *n* characters at every *n*-th place only; a needle of 2n - 1 characters or more
-    covers a whole such gram wherever it lies, so it is looked up by its grams at the first *n* offsets.  Hits are
+    Haystacks are cut into grams of *n* characters at every *s*-th place only; a needle of n + s - 1 characters or more
+    covers a whole such gram wherever it lies, so it is looked up by its grams at the first *s* offsets.  Hits are
     verified on the whole texts.  Only keys and ids are exploded and sent around, never texts; needle texts join the
     hits, broadcast where their summed bytes are known to be few.
     """
