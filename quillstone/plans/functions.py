@@ -138,13 +138,14 @@ def _(kb: KB) -> DataFrame:
 @register(
     "txt_12_phrase_matches",
     sql(
-        f"""select answer_id, {PHRASE} as result from (select answer_id, {compact('canonical_question')} as qc,
-        {compact('coalesce(must_include[1], answer_points[1], canonical_question)')} as pc from cards)"""
+        f"""select answer_id, place, {PHRASE} as result from (select answer_id, place, {compact('canonical_question')} as qc, {compact('p')} as pc
+        from (select answer_id, canonical_question, unnest(answer_points) as p, generate_subscripts(answer_points, 1) as place from cards))"""
     ),
 )
 def _(kb: KB) -> DataFrame:
-    other = F.coalesce(F.get("must_include", F.lit(0)), F.get("answer_points", F.lit(0)), F.col("canonical_question"))
-    return kb.cards.select("answer_id", T.phrase_matches(F.col("canonical_question"), other).alias("result"))
+    """The question of a card against each of its points."""
+    rows = kb.cards.select("answer_id", "canonical_question", F.posexplode("answer_points").alias("place", "p"))
+    return rows.select("answer_id", (F.col("place") + 1).alias("place"), T.phrase_matches(F.col("canonical_question"), F.col("p")).alias("result"))
 
 
 @register(
@@ -174,27 +175,29 @@ COVERAGE = f"""case when len(pts) = 0 then 1.0 else len([p for p in pts if p <>
     "txt_14_coverage",
     sql(
         f"""select answer_id, round({COVERAGE}, 6) as result from (select answer_id,
-        {norm("canonical_question || array_to_string(answer_points[1:4], ' ')")} as ans,
+        {norm("canonical_question || array_to_string([answer_points[i] for i in range(1, len(answer_points) + 1) if i % 2 = 1], ' ')")} as ans,
         [{norm('p')} for p in answer_points] as pts from cards)"""
     ),
 )
 def _(kb: KB) -> DataFrame:
-    """Coverage of all points by an answer made of the question and the first four points (TXT-15 inside)."""
-    answer = F.concat("canonical_question", T.list_text(F.slice("answer_points", 1, 4)))
-    return kb.cards.select("answer_id", F.round(T.coverage(F.col("answer_points"), answer), 6).alias("result"))
+    """Coverage of all points by an answer made of the question and every other point (TXT-15 inside)."""
+    return kb.cards.select("answer_id", F.round(T.coverage(F.col("answer_points"), half_answer()), 6).alias("result"))
+
+
+def half_answer():
+    return F.concat("canonical_question", T.list_text(F.filter("answer_points", lambda p, i: i % 2 == 0)))
 
 
 @register(
     "txt_16_missing_points",
     sql(
-        """select answer_id, len([p for p in list_concat(answer_points, must_include) if p <> ''
-        and not contains(canonical_question || array_to_string(answer_points[1:3], ' '), p)]) as result from cards"""
+        """select answer_id, md5(array_to_string([p for p in list_concat(answer_points, must_include) if p <> ''
+        and not contains(canonical_question || array_to_string([answer_points[i] for i in range(1, len(answer_points) + 1) if i % 2 = 1], ' '), p)], '|')) as result from cards"""
     ),
 )
 def _(kb: KB) -> DataFrame:
-    answer = F.concat("canonical_question", T.list_text(F.slice("answer_points", 1, 3)))
     points = F.concat("answer_points", "must_include")
-    return kb.cards.select("answer_id", F.size(T.missing_points(points, answer)).alias("result"))
+    return kb.cards.select("answer_id", F.md5(F.array_join(T.missing_points(points, half_answer()), "|")).alias("result"))
 
 
 @register(
@@ -217,12 +220,11 @@ GRAM2 = "list_distinct([{0}[i:i+1] for i in range(1, length({0}))])"
         f"""select answer_id, case when length(a) < 4 or length(b) < 4 then 0.0 else
         round(len(list_intersect({GRAM2.format('a')}, {GRAM2.format('b')})) / len({GRAM2.format('a')}), 6) end as result
         from (select answer_id, lower({gone('canonical_question', V.ENRICH_PUNCTUATION)}) as a,
-              lower({gone("coalesce(answer_points[1], '')", V.ENRICH_PUNCTUATION)}) as b from cards)"""
+              lower({gone("array_to_string(answer_points, ' ')", V.ENRICH_PUNCTUATION)}) as b from cards)"""
     ),
 )
 def _(kb: KB) -> DataFrame:
-    right = F.coalesce(F.get("answer_points", F.lit(0)), F.lit(""))
-    ratio = T.bigram_ratio(T.compact_enrich("canonical_question"), T.compact_enrich(right))
+    ratio = T.bigram_ratio(T.compact_enrich("canonical_question"), T.compact_enrich(T.list_text(F.col("answer_points"))))
     return kb.cards.select("answer_id", F.round(ratio, 6).alias("result"))
 
 
@@ -253,6 +255,10 @@ def _(kb: KB) -> DataFrame:
     )
 
 
+#: SQL: all lines of a text but one.
+OTHER_LINES = "array_to_string([x[1] for x in list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)) if x[2] <> {0}], '')"
+
+
 @register(
     "txt_20_verification_status",
     f"""select doc_id, case when e = '' then 'empty' when contains(w, e) then 'exact'
@@ -260,14 +266,17 @@ def _(kb: KB) -> DataFrame:
         when length(e) >= 20 and len([i for i in range(0, length(e) - 19, 10) if contains(w, substr(e, i + 1, 20))]) > 0 then 'partial'
         when length(e) >= 8 and len([i for i in range(0, length(e) - 7, 8) if contains(w, substr(e, i + 1, 8))]) >= 2
         then 'concept_supported' else 'unverified' end as result
-        from (select doc_id, {gone("split_part(text, chr(10), 2)", V.VERIFY_PUNCTUATION)} as e,
-                     {gone("split_part(text, chr(10), 1) || split_part(text, chr(10), 3)", V.VERIFY_PUNCTUATION)} as w from documents)""",
+        from (select doc_id, {gone("split_part(text, chr(10), 2)", V.VERIFY_PUNCTUATION)} as e, {gone(OTHER_LINES.format(2), V.VERIFY_PUNCTUATION)} as w from documents)""",
 )
 def _(kb: KB) -> DataFrame:
-    """Is the second line of a document supported by its first and third line?"""
-    line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
-    status = T.verification_status(T.compact_verify(line(1)), T.compact_verify(F.concat(line(0), line(2))))
-    return kb.raw("documents").select("doc_id", status.alias("result"))
+    """Is the second line of a document supported by all its other lines?"""
+    return kb.raw("documents").select("doc_id", line_support(2).alias("result"))
+
+
+def line_support(number: int):
+    parts = F.split("text", "\n")
+    rest = F.array_join(F.filter(parts, lambda x, i: i != number - 1), "")
+    return T.verification_status(T.compact_verify(F.coalesce(F.get(parts, F.lit(number - 1)), F.lit(""))), T.compact_verify(rest))
 
 
 @register("txt_21_terms", TERMS_SQL)
@@ -280,9 +289,9 @@ def _(kb: KB) -> DataFrame:
 
 over(
     "txt_22_heading_variants",
-    lambda c: F.array_join(T.heading_variants(F.split(c, "\n")[0]), "|"),
-    r"(select case when b <> '' and b <> t then t || '|' || b else t end from (select t, regexp_replace(t, '^\s*\d+[、.．]\s*', '') as b "
-    r"from (select split_part({x}, chr(10), 1) as t)))",
+    lambda c: F.md5(F.array_join(F.flatten(F.transform(F.split(c, "\n"), T.heading_variants)), "|")),
+    r"(select md5(string_agg(case when b <> '' and b <> t then t || '|' || b else t end, '|' order by i)) from (select t, i, regexp_replace(t, '^\s*\d+[、.．]\s*', '') as b "
+    r"from (select unnest(string_split({x}, chr(10))) as t, unnest(range(1, len(string_split({x}, chr(10))) + 1)) as i)))",
 )
 over(
     "txt_23_strip_markup", lambda c: F.md5(T.strip_markup(c, "-")),

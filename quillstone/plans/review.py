@@ -10,7 +10,7 @@ from quillstone.functions import values as V
 from quillstone.operators import align as A
 from quillstone.operators import merge as M
 from quillstone.operators import review as R
-from quillstone.plans.functions import gone, natural
+from quillstone.plans.functions import OTHER_LINES, gone, line_support, natural
 from quillstone.plans.kb import KB, sql
 from quillstone.plans.quality import ITEMS
 from quillstone.plans.registry import register
@@ -214,13 +214,11 @@ def _(kb: KB) -> DataFrame:
         when length(e) >= 20 and len([i for i in range(0, length(e) - 19, 10) if contains(w, substr(e, i + 1, 20))]) > 0 then 'partial'
         when length(e) >= 8 and len([i for i in range(0, length(e) - 7, 8) if contains(w, substr(e, i + 1, 8))]) >= 2
         then 'concept_supported' else 'unverified' end as result
-        from (select lang, {gone("split_part(text, chr(10), 1)", V.VERIFY_PUNCTUATION)} as e,
-                     {gone("split_part(text, chr(10), 2) || split_part(text, chr(10), 3)", V.VERIFY_PUNCTUATION)} as w from documents)) group by 1, 2""",
+        from (select lang, {gone("split_part(text, chr(10), 1)", V.VERIFY_PUNCTUATION)} as e, {gone(OTHER_LINES.format(1), V.VERIFY_PUNCTUATION)} as w from documents)) group by 1, 2""",
 )
 def _(kb: KB) -> DataFrame:
-    line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
-    status = T.verification_status(T.compact_verify(line(0)), T.compact_verify(F.concat(line(1), line(2))))
-    return kb.raw("documents").groupBy(F.col("lang").alias("chapter_id"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """Is the first line of a document supported by all its other lines?"""
+    return kb.raw("documents").groupBy(F.col("lang").alias("chapter_id"), line_support(1).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
