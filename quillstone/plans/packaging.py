@@ -362,3 +362,37 @@ def _(kb: KB) -> DataFrame:
 def _(kb: KB) -> DataFrame:
     """Questions that one card alone asks must lead to that card's chapter from wherever they are asked."""
     return A.validate_routing(routed(kb, kb.asked), kb.asked, kb.cards)
+
+
+@register(
+    "joi_16_media_intake",
+    sql(
+        """select s.step_id, coalesce(nullif(t.section_id, ''), v.chapter_id, '') as section_id, coalesce(nullif(t.software, ''), v.resource_type, '') as software,
+        s.task_id, coalesce(t.task_name, '') as task_name, coalesce(v.video_id, 'ch06_vid_unassigned') as video_id, coalesce(trim(v.title), '') as video_title, s.seg as segment_id,
+        coalesce(nullif(g.title, ''), trim(s.step_title)) as segment_title, s.shot as screenshot_id, coalesce(nullif(trim(h.title), ''), trim(s.step_title)) as screenshot_title,
+        coalesce(h.file_path, 'chapter_06/screenshots/' || s.shot || '.png') as screenshot_path
+        from (select *, 'seg' || substr(task_id, 2) as seg, 'shot' || (step_no * 7 + substr(task_id, 2)::int) as shot from steps) s
+        left join (select task_id, trim(task_name) as task_name, case when ordinal % 2 = 0 then 'sec' || ordinal else '' end as section_id, case when ordinal % 3 = 0 then 'tool' else '' end as software
+          from tasks where ordinal % 5 <> 0) t on t.task_id = s.task_id
+        left join (select 'seg' || ordinal as segment_id, 'v' || (ordinal % 50) as video_id, case when ordinal % 4 = 0 then '' else 'part ' || ordinal end as title from tasks where ordinal % 2 = 0) g on g.segment_id = s.seg
+        left join (select *, 'v' || ordinal as video_id from resources where ordinal % 7 <> 0) v on v.video_id = g.video_id
+        left join (select *, 'shot' || ordinal as shot from resources where ordinal % 3 <> 0) h on h.shot = s.shot"""
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    """Steps of conversations with tasks, segments, videos and screenshots of which some are missing."""
+    from quillstone.operators import operations as O
+
+    n, p = F.col("ordinal"), kb.resources
+    conversation = F.expr("substring(task_id, 2)")
+    steps = kb.steps.withColumns({"video_segment_id": F.concat(F.lit("seg"), conversation), "screenshot_id": F.concat(F.lit("shot"), F.col("step_no") * 7 + conversation.cast("int"))})
+    tasks = kb.tasks.where(n % 5 != 0).select(
+        "ordinal", "task_id", "task_name", F.when(n % 2 == 0, F.concat(F.lit("sec"), n)).otherwise("").alias("section_id"), F.when(n % 3 == 0, "tool").otherwise("").alias("software")
+    )
+    segments = kb.tasks.where(n % 2 == 0).select(
+        "ordinal", F.concat(F.lit("seg"), n).alias("segment_id"), F.concat(F.lit("v"), n % 50).alias("video_id"),
+        F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("part "), n)).alias("segment_title"),
+    )
+    videos = p.where(n % 7 != 0).select("ordinal", F.concat(F.lit("v"), n).alias("video_id"), "title", F.col("chapter_id").alias("section_id"), F.col("resource_type").alias("software"))
+    shots = p.where(n % 3 != 0).select("ordinal", F.concat(F.lit("shot"), n).alias("screenshot_id"), "title", "file_path")
+    return O.media_intake(steps, tasks, segments, videos, shots, "ch06")
