@@ -15,25 +15,38 @@ Exact copies are one fingerprint from the first aggregate on, however many they
 Defined results: null and empty texts have fingerprint zero and link like any other; a component's id is its smallest
 non-null document id (null if it has none); rows that repeat an id each get a row; extra columns are ignored; an empty
 table gives no rows.
+
+``near_copies`` is the wider net of a near-duplicate stage: five-word shingles, Jaccard similarity of ``SIMILAR`` or more, which no 64 bits
+can tell apart.  Candidates come from prefix filtering, which loses no pair: with all shingles in one order, two sets
+that similar share one of their first ``size - ceil(0.8 size) + 1``.  The order (frequent shingles of a sample last, then by hash) decides the work, never the
+result.  Every candidate is checked on whole shingle sets.  Where more than ``CROWDED`` sets share a shingle, they are
+checked against ``CENTERS`` of them first, and what is still in different components is then compared: all members
+outside the shingle's largest component with all of another component.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillstone.llm.common import map_rows, small_batches, stored, text_bytes
+from quillstone.llm.common import BASE, map_rows, mixed, share_of, small_batches, span_hashes, stored, text_bytes
 from quillstone.llm.components import components
 
 PIVOTS = 18
 CROWDED = 256
 SHINGLE = 3
+#: The wider net: words of a shingle, similarity in fifths, centers of a crowd, sampled texts, occurrences that make a shingle frequent.
+WIDE = 5
+SIMILAR = 4
+CENTERS = 8
+SAMPLE, FREQUENT = 10_000, 3
 #: Six blocks of a fingerprint's 64 bits, and the masks of every choice of four.
 _BLOCKS = [sum(1 << b for b in range(lo, hi)) for lo, hi in ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))]
 _KEYS = [sum(c) for c in combinations(_BLOCKS, 4)]
@@ -126,6 +139,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(fingerprints(docs), "fingerprints")
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(firsts.select("fp")), "a", "b")
+    return _labelled(rows, firsts, roots)
+
+
+def _labelled(rows: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
     placed = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = stored(placed, "placed")
     ids = placed.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
@@ -133,9 +150,123 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(labels, F.col("fp") == F.col("p")).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def shingle_set(text: bytes, size: int = WIDE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (of the whole text if it has fewer words)."""
+    data = np.frombuffer(text.lower(), np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    step = np.diff(inside)
+    words = span_hashes(data, np.flatnonzero(step == 1), np.flatnonzero(step == -1))
+    if not len(words):
+        return words
+    size = min(size, len(words))
+    total = np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        total = (total + words[i : i + len(total)]) * np.uint64(BASE)
+    return np.unique(mixed(total))
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of all (frequent ones last), one more than a similar set can lack."""
+    count = len(shingles) - -(-SIMILAR * len(shingles) // 5) + 1
+    if not len(frequent) or not len(shingles):
+        return shingles[:count]
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    place = np.where(frequent[at] == shingles, rank[at] + 1, 0)
+    return shingles[np.argsort(place, kind="stable")[:count]]
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that ``FREQUENT`` or more texts of a bounded sample share, sorted, and their ranks by number of texts."""
+
+    def work(batch: pa.RecordBatch):
+        for text in text_bytes(batch, "text"):
+            yield [shingle_set(text).view(np.int64)]
+
+    some = docs.select("text").distinct()
+    some = stored(some.filter(share_of(some, SAMPLE, F.xxhash64(F.lit(5), "text"))), "sample")
+    counts = map_rows(some, work, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).toArrow()
+    found, n = counts["shingle"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    order = np.argsort(found)
+    found, n = found[order], n[order]
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+    return found, rank
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``fp`` (hash of the shingle set), its ``size`` and ``prefix`` of every document."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+
+    def work(batch: pa.RecordBatch):
+        sets = [shingle_set(t) for t in text_bytes(batch, "text")]
+        prints = [signed(xxh64_intdigest(s.tobytes(), 42)) for s in sets]
+        yield [batch["doc_id"].cast(pa.int64()), batch["text_hash"], prints, list(map(len, sets)), [prefix(s, *shared.value).view(np.int64) for s in sets]]
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_rows(rows, work, "doc_id bigint, text_hash bigint, fp bigint, size int, prefix array<bigint>")
+
+
+def _similar_size() -> Column:
+    return (5 * F.col("x.size") >= SIMILAR * F.col("y.size")) & (5 * F.col("y.size") >= SIMILAR * F.col("x.size"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Those pairs of ``fp`` whose shingle sets are similar; only the texts of candidates travel."""
+
+    def work(batch: pa.RecordBatch):
+        yield [batch["fp"], [shingle_set(t).view(np.int64) for t in text_bytes(batch, "text")]]
+
+    pairs = stored(pairs.distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("p")).distinct()
+    needed = stored(needed.join(firsts, F.col("p") == F.col("fp")).select("fp", "first_id", "first_hash"), "needed")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_hash"))
+    rows = docs.select("doc_id", "text").join(needed, same).select("fp", "text")
+    sets = stored(map_rows(rows, work, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "sets")
+    left, right = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t"))
+    both = F.size(F.array_intersect("s", "t"))
+    # |s & t| / |s | t| >= 4 / 5
+    return stored(pairs.join(right, "b").join(left, "a").filter((5 + SIMILAR) * both >= SIMILAR * (F.size("s") + F.size("t"))).select("a", "b"), "verified")
+
+
+def _wide_links(rows: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``a`` and ``b``: linked shingle sets (similarity of ``SIMILAR`` fifths at least), enough to connect all that are linked."""
+    keyed = rows.select(F.explode("prefix").alias("key"), "fp", "size").repartition("key").dropDuplicates(["key", "fp"])
+    by_key = Window.partitionBy("key")
+    keyed = keyed.withColumn("place", F.row_number().over(by_key.orderBy(F.xxhash64("key", "fp"), "fp"))).withColumn("members", F.count(F.lit(1)).over(by_key))
+    meeting = stored(keyed.filter("members > 1"), "meeting")
+    few, crowd = meeting.filter(F.col("members") <= CROWDED), meeting.filter(F.col("members") > CROWDED)
+    same = (F.col("x.key") == F.col("y.key")) & _similar_size()
+    ends = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
+    pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.fp") < F.col("y.fp"))).select(ends)
+    stars = crowd.filter(F.col("place") <= CENTERS).alias("x").join(crowd.alias("y"), same & (F.col("x.fp") != F.col("y.fp"))).select(ends)
+    first = _verified(pairs.unionByName(stars), docs, firsts)
+    if crowd.isEmpty():
+        return first
+    roots = components(first, "a", "b")
+    crowd = stored(crowd.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", "place", F.coalesce("root", "fp").alias("root")), "crowd")
+    parts = crowd.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("most"))
+    crowd = crowd.join(largest, F.col("key") == F.col("k")).select("key", "fp", "size", "place", "root", (F.col("root") == F.col("most.root")).alias("most"))
+    apart = same & (F.col("x.root") != F.col("y.root")) & (F.col("y.most") | (F.col("x.fp") < F.col("y.fp")))
+    untold = (F.col("x.place") > CENTERS) & (F.col("y.place") > CENTERS)
+    rest = crowd.filter(~F.col("most")).alias("x").join(crowd.alias("y"), apart & untold).select(ends)
+    return first.unionByName(_verified(rest, docs, firsts))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """As ``near_duplicates``, of five-word shingle sets of similarity 0.8 or more; ``fp`` is the hash of the set."""
+    rows = stored(shingled(docs), "shingled")
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    firsts = stored(firsts.select("fp", "first", F.col("one.doc_id").alias("first_id"), F.col("one.text_hash").alias("first_hash")), "firsts")
+    roots = components(_wide_links(rows, docs, firsts), "a", "b")
+    return _labelled(rows, firsts, roots)
+
+
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents that stay: of every component the one of smallest id (null ids last), of equal rows one."""
-    found = near_duplicates(docs).filter("component_id is null or doc_id = component_id")
+    found = groups(docs).filter("component_id is null or doc_id = component_id")
     kept = found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
     joined = docs.join(kept, same)
@@ -144,6 +275,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def _copies():
-    from pyspark.sql import Window
-
     return Window.partitionBy("kept_id", "kept_hash").orderBy("source", "lang")

@@ -89,3 +89,54 @@ def test_one_of_each(spark):
     assert rows == [(-1, ""), (4, "a b c d"), (8, prose(3, 50))]
     assert sh.one_of_each(documents(spark, [])).count() == 0
     assert sh.near_duplicates(documents(spark, [])).count() == 0
+
+
+def five_word_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_components(texts):
+    sets, root = [five_word_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("crowded, frequent", [(256, 3), (3, 3), (3, 10**9), (8, 1)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, crowded, frequent):
+    monkeypatch.setattr(sh, "CROWDED", crowded)
+    monkeypatch.setattr(sh, "FREQUENT", frequent)
+    monkeypatch.setattr(sh, "CENTERS", 2)
+    r = random.Random(6)
+    texts = [None, "", " \t", "One two", "ONE  TWO", "one two three four five É", "same text here", "Same text\there"]
+    for family in range(6):  # chains of copies, a few words more changed each time; a common line in all
+        base = (prose(100, 12) + " " + prose(family, 30 + 60 * family)).split()
+        for k in range(14):
+            copy = list(base)
+            for _ in range(r.randrange(1 + len(base) // 40 + k % 3)):
+                copy[r.randrange(len(copy))] = f"other{r.randrange(1000)}"
+            if k % 4 == 0:
+                base = copy
+            texts.append(" ".join(copy).upper() if k % 5 == 0 else " ".join(copy))
+    texts += [prose(100, 12) + " " + prose(300 + k, 30) for k in range(20)]
+    ids = random.Random(1).sample(range(1000), len(texts))
+    got = {x["doc_id"]: x["component_id"] for x in sh.near_copies(documents(spark, texts, ids=ids)).collect()}
+    roots = similar_components(texts)
+    assert got == {d: min(ids[j] for j in range(len(ids)) if roots[j] == roots[i]) for i, d in enumerate(ids)}
+    assert len(set(roots)) < len({sh.fingerprint((t or "").encode()) for t in texts})  # more than op7 finds
+    assert sh.near_copies(documents(spark, [])).count() == 0
+
+
+def test_near_copy_stage_drops_changed_copies(spark):
+    import corpus_pipeline
+
+    text = prose(1, 200).split()
+    copy = list(text)
+    copy[50] = copy[150] = "other"
+    docs = documents(spark, [" ".join(text), " ".join(copy), prose(2, 200)])
+    assert sorted(x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
