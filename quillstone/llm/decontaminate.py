@@ -90,10 +90,10 @@ class Item:
             row = (row + match | row - match) & every
         return len(self.tokens) - row.bit_count()
 
-    def check(self, tokens: list[int], at: int) -> tuple[float, float] | None:
-        """Shares of the item and of its answer if the text around word ``at`` holds it."""
+    def check(self, tokens: list[int], at: int, end: int) -> tuple[float, float] | None:
+        """Shares of the item and of its answer if the text around the words from ``at`` to ``end`` (or the item's length) holds it."""
         n = len(self.tokens)
-        part = tokens[max(0, at - PASSAGE // 2) : at + n + PASSAGE // 2]
+        part = tokens[max(0, at - PASSAGE // 2) : max(at + n, end) + PASSAGE // 2]
         if n < ORDERED:
             fine = any(part[i : i + n] == self.tokens for i in range(len(part) - n + 1))
             return (1.0, 1.0) if fine else None
@@ -159,8 +159,9 @@ class LatentSpace:
                 cosine = self.project(terms[part], weight[part]) @ self.coordinates.T
                 for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= LEAST_COSINE))):
                     listed = tokens.tolist() if listed is None else listed
-                    item, at = int(self.owner[j]), int(some[part[i]] - self.offset[j])
-                    found = self.items[item].check(listed, at)
+                    start = int(some[part[i]])
+                    item, at = int(self.owner[j]), start - int(self.offset[j])
+                    found = self.items[item].check(listed, at, start + PASSAGE)  # a short item may stand anywhere in the passage
                     if found and (item not in best or (found, float(cosine[i, j])) > (best[item][1:3], best[item][0])):
                         best[item] = (float(cosine[i, j]), *found, max(0, at))
         return [(self.items[i].key, *rest) for i, rest in sorted(best.items())]

@@ -163,6 +163,21 @@ def test_leaks(spark, monkeypatch):
     assert de.find_leaks(docs, bench.limit(0)).count() == 0 and de.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_at_every_place(spark, monkeypatch):
+    monkeypatch.setattr(de, "LEAST_COSINE", 0.05)  # only the stretch that is checked decides
+    items = {n: prose(2000 + n, n).split() for n in range(5, 14)}
+    texts, expected = [], []
+    for n, item in items.items():
+        for size in (20, 32, 33, 47, 200):
+            body = prose(10 * size + n, size - n).split()
+            for at in (0, len(body) // 2, len(body)):
+                expected.append([n])
+                texts.append(" ".join(body[:at] + item + body[at:]))
+    idf = de.weights(documents(spark, texts))
+    space = de._space(spark, [de.Item(n, de.words(" ".join(t)), None, idf) for n, t in items.items()], idf)
+    assert [[x[0] for x in space.leaks(t)] for t in texts] == expected  # on the driver, where the patch holds
+
+
 def test_latent_space_keeps_all_of_the_benchmark(spark):
     docs = documents(spark, [prose(i, 200) for i in range(20)])
     idf = de.weights(docs)
