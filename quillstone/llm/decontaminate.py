@@ -6,7 +6,9 @@ passages, computed by tasks that return partial products of fixed size; up to ``
 of as many dimensions, so nothing of what is searched for is cut off (a larger benchmark is searched in blocks).
 
 A document's passages overlap by half.  The part of a passage's length that lies on benchmark words bounds its cosine
-with every benchmark passage; only passages that can reach ``LEAST_COSINE`` are projected and compared.  Candidates are
+with every benchmark passage; only passages that can reach ``LEAST_COSINE`` are projected and compared.  The cosine of a
+short item depends on the words around it, so beside it every place where ``GRAM`` words of an item stand in a row is a
+candidate, whatever its cosine: verbatim items are always found, the cosine adds paraphrases.  Candidates are
 then checked in word order: the longest common subsequence of the item and the stretch of text it would occupy must
 hold ``SURE`` of the item's words, or ``LIKELY`` of them and ``ANSWER_SHARE`` of its answer's (the given answer, else the
 ``ANSWER_WORDS`` rarest words).  Items of fewer than ``ORDERED`` words must occur word for word, those below ``SHORTEST`` say
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LETTERS_AND_DIGITS, fixed_schema, small_batches, stored, word_hashes
+from quillstone.llm.common import BASE, LETTERS_AND_DIGITS, fixed_schema, small_batches, stored, word_hashes
 
 PASSAGE = 32
 TERMS = 1 << 18
@@ -34,6 +36,7 @@ LEAST_COSINE = 0.35
 SURE, LIKELY = 0.8, 0.6
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 SHORTEST, ORDERED = 5, 8
+GRAM = 3
 
 
 def words(text: str | None) -> np.ndarray:
@@ -72,6 +75,15 @@ def passages(count: int, stride: int) -> list[int]:
     return starts
 
 
+def grams(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of ``GRAM`` words in a row, at every word that begins such a run."""
+    count = max(0, len(tokens) - GRAM + 1)
+    total = np.zeros(count, np.uint64)
+    for i in range(GRAM):
+        total = (total + tokens[i : i + count].view(np.uint64)) * np.uint64(BASE)
+    return total
+
+
 class Item:
     def __init__(self, key: int | None, tokens: np.ndarray, answer: np.ndarray | None, idf: np.ndarray):
         self.key, self.tokens = key, tokens.tolist()
@@ -97,6 +109,8 @@ class Item:
         if n < ORDERED:
             fine = any(part[i : i + n] == self.tokens for i in range(len(part) - n + 1))
             return (1.0, 1.0) if fine else None
+        if sum(map(self.masks.__contains__, part)) < LIKELY * n:  # no subsequence can be longer
+            return None
         share = self.common(part) / n
         if share < LIKELY:
             return None
@@ -122,6 +136,7 @@ class LatentSpace:
         self.slot[vocabulary] = np.arange(len(vocabulary))
         self.axes = np.concatenate([axes, np.zeros((1, axes.shape[1]))]).astype(np.float32)  # slot -1: no benchmark word
         owner, offset, rows = [], [], []
+        hashed, source, place = [], [], []
         for i, item in enumerate(items):
             tokens = np.array(item.tokens, np.int64)
             starts = passages(len(tokens), PASSAGE)
@@ -129,7 +144,29 @@ class LatentSpace:
             owner += [i] * len(starts)
             offset += starts
             rows.append(self.project(terms, weight))
+            runs = grams(tokens)[: 1 if len(tokens) < ORDERED else None]  # word for word: the first run is always there
+            hashed.append(runs)
+            source += [i] * len(runs)
+            place += range(len(runs))
         self.owner, self.offset, self.coordinates = np.array(owner, np.int64), np.array(offset, np.int64), np.concatenate(rows)
+        hashes = np.concatenate(hashed)
+        order = np.argsort(hashes, kind="stable")
+        self.grams, self.gram_owner, self.gram_offset = hashes[order], np.array(source, np.int64)[order], np.array(place, np.int64)[order]
+        self.gram_bits = np.zeros(1 << 20, bool)
+        self.gram_bits[self.grams >> np.uint64(44)] = True
+
+    def places(self, tokens: np.ndarray) -> list[tuple[int, int]]:
+        """Item and its first word for every place where words of an item stand in a row."""
+        runs = grams(tokens)
+        at = np.flatnonzero(self.gram_bits[runs >> np.uint64(44)])
+        lo, hi = (np.searchsorted(self.grams, runs[at], side) for side in ("left", "right"))
+        found = {(int(self.gram_owner[g]), int(a - self.gram_offset[g])) for a, x, y in zip(at.tolist(), lo.tolist(), hi.tolist()) for g in range(x, y)}
+        return sorted(found)
+
+    def cosine(self, item: int, tokens: np.ndarray, at: int) -> float:
+        """The best cosine of an item's passages with the text's passage at word ``at``."""
+        start = max(0, min(at, len(tokens) - PASSAGE))
+        return float((self.project(*_distinct_terms(tokens, [start], self.idf)) @ self.coordinates[self.owner == item].T).max())
 
     def project(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Latent coordinates divided by the passages' lengths."""
@@ -164,6 +201,11 @@ class LatentSpace:
                     found = self.items[item].check(listed, at, start + PASSAGE)  # a short item may stand anywhere in the passage
                     if found and (item not in best or (found, float(cosine[i, j])) > (best[item][1:3], best[item][0])):
                         best[item] = (float(cosine[i, j]), *found, max(0, at))
+        for item, at in self.places(tokens):
+            listed = tokens.tolist() if listed is None else listed
+            found = self.items[item].check(listed, at, at)
+            if found and (item not in best or found > best[item][1:3]):
+                best[item] = (self.cosine(item, tokens, at), *found, max(0, at))
         return [(self.items[i].key, *rest) for i, rest in sorted(best.items())]
 
 

@@ -163,8 +163,9 @@ def test_leaks(spark, monkeypatch):
     assert de.find_leaks(docs, bench.limit(0)).count() == 0 and de.find_leaks(docs.limit(0), bench).count() == 0
 
 
-def test_short_items_at_every_place(spark, monkeypatch):
-    monkeypatch.setattr(de, "LEAST_COSINE", 0.05)  # only the stretch that is checked decides
+@pytest.mark.parametrize("least", [0.05, 0.35, 2.0])
+def test_short_items_at_every_place(spark, monkeypatch, least):
+    monkeypatch.setattr(de, "LEAST_COSINE", least)  # 0.05: the stretch that is checked decides; 2.0: no cosine reaches it
     items = {n: prose(2000 + n, n).split() for n in range(5, 14)}
     texts, expected = [], []
     for n, item in items.items():
@@ -178,6 +179,19 @@ def test_short_items_at_every_place(spark, monkeypatch):
     assert [[x[0] for x in space.leaks(t)] for t in texts] == expected  # on the driver, where the patch holds
 
 
+def test_common_words_beside_rare_ones(spark):
+    common = prose(1, 60).split()
+    items = [" ".join(common[5 * n : 6 * n]) for n in (5, 6, 7, 8, 9)]  # five to nine words
+    texts = [" ".join(common)] * 40  # which makes the words common
+    rare = [f"rare{i}" for i in range(5 * 60)]
+    texts += [" ".join(rare[60 * i : 60 * i + 30] + t.split() + rare[60 * i + 30 : 60 * i + 60]) for i, t in enumerate(items)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(x["doc_id"], x["item_id"]): x for x in de.find_leaks(documents(spark, texts), bench).collect()}
+    expected = {(40 + i, i) for i in range(5)}
+    assert expected <= set(found)
+    assert all(found[x]["item_share"] == 1 and 0 < found[x]["cosine"] < 0.35 for x in expected)
+
+
 def test_latent_space_keeps_all_of_the_benchmark(spark):
     docs = documents(spark, [prose(i, 200) for i in range(20)])
     idf = de.weights(docs)
