@@ -166,7 +166,8 @@ def tokens(text: Column | str) -> Column:
 
 
 def terms(
-    values: Column, limit: int | None, letters: str = "A-Za-z0-9_+.#/-", key: Callable = compact_boundary, stop: tuple[str, ...] = V.GENERIC_TERMS
+    values: Column, limit: int | None, letters: str = "A-Za-z0-9_+.#/-", key: Callable = compact_boundary, stop: tuple[str, ...] = V.GENERIC_TERMS,
+    longest: int | None = 32,
 ) -> Column:
     """TXT-21: the first ``limit`` (all if None) distinct Latin words or CJK runs of an array of texts."""
     found = F.flatten(
@@ -174,7 +175,7 @@ def terms(
             values,
             lambda v: F.regexp_extract_all(
                 F.coalesce(v, F.lit("")),
-                F.lit("[A-Za-z][" + letters + r"]{1,32}|[\x{4e00}-\x{9fff}]{2,12}"),
+                F.lit(f"[A-Za-z][{letters}]{{1,{longest or ''}}}" + r"|[\x{4e00}-\x{9fff}]{2,12}"),
                 F.lit(0),
             ),
         )
@@ -190,6 +191,11 @@ def terms(
     return found if limit is None else F.slice(found, 1, limit)
 
 
+def mapping_terms(values: Column) -> Column:
+    """TXT-21, the variant of the line mapping: 18 terms, its own letters, spelling key and stop list."""
+    return terms(values, 18, "A-Za-z0-9+*.-", compact_mapping, V.MAPPING_STOP_TERMS, None)
+
+
 def heading_terms(text: Column) -> Column:
     """The words of a heading or its target as written, without the headings' own stop words."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9_+.#/-]{1,32}|[\x{4e00}-\x{9fff}]{2,12}"), F.lit(0))

@@ -125,6 +125,11 @@ TEACHING_TYPES = ("why", "application", "comparison", "summary", "review")
 # Terms too general to count as evidence.
 GENERIC_TERMS = ("道路", "工程", "设计", "方法", "系统", "模型", "数据", "应用", "数字", "智能", "章节")
 
+# The same for terms of a line mapping.
+MAPPING_STOP_TERMS = (
+    "GIS", "道路", "工程", "分析", "方法", "模型", "系统", "数据", "空间", "应用", "组成", "原理", "基础", "问题", "关系", "功能",
+)
+
 # Evidence status -> confidence.
 HIGH_EVIDENCE = ("exact", "auto_direct_text_supported")
 MEDIUM_EVIDENCE = (

@@ -24,25 +24,28 @@ def excerpt_hits(samples: DataFrame, documents: DataFrame) -> DataFrame:
     return found.select("item_id", "doc_id").distinct()
 
 
-def line_windows(lines: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def line_windows(lines: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), stretch: int = 4096) -> DataFrame:
     """WIN-05: every run of 1..3 consecutive lines of a document as one text.
 
-    lines(doc_id, ordinal, text).  A line is sent to the few windows it belongs
-    to, so no document has to be sorted in one task.
+    lines(doc_id, ordinal, text).  A line is followed by ``lead`` inside stretches of ``stretch`` lines, whose first lines
+    also belong to the stretch before: a line crosses the network once, and no document is sorted in one task.
     """
-    starts = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(k).alias("k")) for s in sizes for k in range(s)])
-    parts = lines.select("*", F.explode(starts).alias("_w")).select(
-        "doc_id", (F.col("ordinal") - F.col("_w.k")).alias("line_start"), F.col("_w.size").alias("size"), "ordinal", "text"
-    )
-    return (
-        parts.groupBy("doc_id", "line_start", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("_l"))  # at most three lines
-        .where(F.size("_l") == F.col("size"))
-        .select(
-            "doc_id", "line_start", (F.col("line_start") + F.col("size") - 1).alias("line_end"),
-            F.array_join(F.transform("_l", lambda x: x["text"]), " ").alias("text"),
-        )
-    )
+    reach = max(sizes) - 1
+    own = F.floor(F.col("ordinal") / stretch).cast("long")
+    both = F.when(F.col("ordinal") % stretch < reach, F.array(own, own - 1)).otherwise(F.array(own))
+    parts = lines.select("doc_id", "ordinal", "text", own.alias("_own"), F.explode(both).alias("_stretch"))
+    run = Window.partitionBy("doc_id", "_stretch").orderBy("ordinal")
+    for k in range(1, reach + 1):
+        parts = parts.withColumn(f"_at{k}", F.lead("ordinal", k).over(run)).withColumn(f"_t{k}", F.lead("text", k).over(run))
+    options = []
+    for size in sizes:
+        whole = F.lit(True)
+        for k in range(1, size):
+            whole = whole & (F.col(f"_at{k}") == F.col("ordinal") + k)
+        text = F.concat_ws(" ", "text", *[f"_t{k}" for k in range(1, size)])
+        options.append(F.when(whole, F.struct(F.lit(size).alias("size"), text.alias("text"))))
+    found = parts.where("_own = _stretch").select("doc_id", F.col("ordinal").alias("line_start"), F.explode(F.array_compact(F.array(*options))).alias("_w"))
+    return found.select("doc_id", "line_start", (F.col("line_start") + F.col("_w.size") - 1).alias("line_end"), F.col("_w.text").alias("text"))
 
 
 def nearest_row(

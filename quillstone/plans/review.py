@@ -128,28 +128,22 @@ def _(kb: KB) -> DataFrame:
 
 @register("aud_07_line_mapping")
 def _(kb: KB) -> DataFrame:
-    """Second line of every document mapped on its own lines (title, definition, excerpt, terms)."""
-    from quillstone.functions.similarity import text_similarity
-    from quillstone.operators.topk import keep_first, margin
-
-    rows = doc_lines(kb).join(
-        kb.cards.select(
-            F.col("ordinal").alias("doc_id"), F.coalesce(F.get("student_question_patterns", F.lit(0)), F.lit("")).alias("title"),
-            F.coalesce(F.get("answer_points", F.lit(0)), F.lit("")).alias("definition"),
-        ),
-        "doc_id",
-    ).select("doc_id", "ordinal", *[T.compact_mapping(c).alias(c) for c in ("text", "title", "definition")])
-    scored = rows.select(
-        "doc_id", "ordinal", "text", A.title_score(F.col("title"), F.col("text"), F.col("text")).alias("t"),
-        text_similarity(F.col("definition"), F.col("text")).alias("d"),
-    )
-    scored = scored.withColumn("score", A.mapping_score(F.col("t"), F.col("d"), F.col("d"), F.lit(0.0), F.lit(0)))
-    order = [F.desc("score"), F.col("ordinal")]
-    best = keep_first(scored, ["doc_id"], order).join(margin(scored, "doc_id", "score", order).drop("best_score"), "doc_id")
-    status = A.mapping_status(
-        F.col("score"), F.col("score_margin"), F.col("t"), F.col("d"), F.col("d"), F.length("text"), F.lit(None).cast("double")
+    """Passages as chunks (first sentence = title, the rest = definition, long words = keywords) mapped to the lines of their section's documents."""
+    from quillstone.operators.mapping import map_chunks, section_ranges
+
+    text, lines = F.col("text"), doc_lines(kb)
+    title = F.split(text, "[.]")[0]
+    listed = F.array().cast("array<string>")
+    chunks = kb.raw("benchmark").select(
+        F.col("item_id").alias("chunk_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("section_id"), title.alias("section_title"),
+        F.lit(None).cast("string").alias("chunk_summary"), text.alias("source_excerpt"), F.lit(None).cast("string").alias("kp_title"),
+        F.substring(text, F.length(title) + 2, F.length(text)).alias("definition"), listed.alias("aliases"),
+        F.regexp_extract_all(text, F.lit("[A-Za-z]{9,}"), F.lit(0)).alias("keywords"), listed.alias("key_points"),
     )
-    return best.select("doc_id", "ordinal", "score", F.round("score_margin", 6).alias("score_margin"), status.alias("status"))
+    whole = F.lit(None).cast("string")
+    markers = kb.raw("documents").select("doc_id", F.col("source").alias("section_id"), whole.alias("start_marker"), whole.alias("end_marker"))
+    found = map_chunks(chunks, lines.select("doc_id", "ordinal", "text"), section_ranges(lines, markers))
+    return found.withColumn("candidates", F.to_json("candidates"))
 
 
 @register(
