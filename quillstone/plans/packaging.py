@@ -190,6 +190,53 @@ def _(kb: KB) -> DataFrame:
     return E.enrich_formulas(asked, E.formula_occurrences(texts))
 
 
+@register(
+    "etl_14_table_enrichment",
+    sql(
+        """select resource_id, key as label_key, case when whole then 'structured' when b.label_key is not null and coalesce(status, '') = '' then 'placeholder' else status end as status,
+        coalesce(len(cells), 0) as n_columns, coalesce(n, 0) as n_rows, coalesce(context, '') as context_before, coalesce(array_to_string(vals, '/'), '') as cell_values,
+        not coalesce(whole, false) as unresolved
+        from (select *, (ordinal % 40) || '-' || (ordinal % 7) as key from resources) r left join b on b.label_key = r.key""",
+        tl="""select doc_id, i as ordinal, x as text, replace(x, ',', '|') as p from (select doc_id, unnest(ls) as x, generate_subscripts(ls, 1) as i from doc_lines)""",
+        tp="""select *, contains(p, '|') as pipe, contains(p, '|') and coalesce(contains(lag(p) over w, '|'), false) as joined from tl window w as (partition by doc_id order by ordinal)""",
+        tw="""select *, case when pipe then max(case when pipe and not joined then ordinal end) over (partition by doc_id order by ordinal) end as island,
+            min(case when pipe and not joined then ordinal end) over (partition by doc_id order by ordinal rows between 1 following and unbounded following) as nxt,
+            max(case when not pipe then ordinal end) over (partition by doc_id order by ordinal rows between unbounded preceding and 1 preceding) as prev from tp""",
+        cap="""select (doc_id % 40) || '-' || (doc_id % 7) as label_key, doc_id, ordinal, p, case when nxt <= ordinal + 12 then nxt end as island, case when prev >= ordinal - 7 then prev end as prev from tw
+            where not pipe and p in (select distinct p from tw where not pipe)""",
+        best="""select * from (select *, row_number() over (partition by label_key order by doc_id desc, ordinal desc) as r from cap) where r = 1""",
+        body="""select t.label_key, w.ordinal, list_transform(string_split(w.p, '|'), lambda c: trim(c)) as c, w.ordinal = t.island as head
+            from best t join tw w on w.doc_id = t.doc_id and w.island = t.island and w.ordinal <= t.ordinal + 12""",
+        heads="select label_key, c as cells from body where head",
+        fulls="""select label_key, count(*) as n, list(c[len(cells)] order by body.ordinal) as vals from body join heads using (label_key) where not head and len(c) >= len(cells) group by 1""",
+        b="""select t.label_key, cells, n, vals, w.p as context, coalesce(len(cells) > 0 and n > 0, false) as whole
+            from best t left join heads h on h.label_key = t.label_key left join fulls f on f.label_key = t.label_key
+            left join tw w on w.doc_id = t.doc_id and w.ordinal = t.prev""",
+    ),
+)
+def _(kb: KB) -> DataFrame:
+    """Every comma of a line is a cell border; every line without one is a caption of its document's table number."""
+    from quillstone.operators import tables as B
+
+    rows = kb.raw("documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("i", "line"))
+    text = rows.select("doc_id", (F.col("i") + 1).alias("ordinal"), F.translate("line", ",", "|").alias("text"))
+    key = lambda c: F.concat((c % 40).cast("string"), F.lit("-"), (c % 7).cast("string"))
+    captions = text.where(~F.contains("text", F.lit("|"))).select(key(F.col("doc_id")).alias("label_key"), F.concat(F.lit("表"), key(F.col("doc_id"))).alias("label"), F.col("text").alias("title"))
+    tables = B.captioned_tables(text, captions).where(F.col("label_key") == key(F.col("doc_id")))
+    number = F.concat(F.lit("table_"), (F.col("ordinal") % 40).cast("string"), F.lit("_"), (F.col("ordinal") % 7).cast("string"))
+    asked = kb.resources.select(
+        F.concat(number, F.lit(" "), "resource_id").alias("resource_id"), F.lit("").alias("title"), "status", F.lit("").alias("qa_use"), F.lit("").alias("teaching_use"), "keywords"
+    )
+    found = B.enrich_tables(asked, tables, kb.cards.select("answer_id", "recommended_resources"))
+    last = F.transform("table_detail.rows", lambda r: r[F.element_at("table_detail.columns", -1)])
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return found.select(
+        F.element_at(F.split("resource_id", " "), -1).alias("resource_id"), "label_key", "status", count(F.col("table_detail.columns")).alias("n_columns"),
+        count(F.col("table_detail.rows")).alias("n_rows"), F.coalesce("table_detail.context_before", F.lit("")).alias("context_before"),
+        F.coalesce(F.array_join(last, "/"), F.lit("")).alias("cell_values"), "unresolved",
+    )
+
+
 @register(
     "etl_15_figure_binding",
     sql(
