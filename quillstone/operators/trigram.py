@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import sqltext as S
-from quillstone.operators.matching import BROADCAST_POSTINGS, posting_join, salted_join, within
+from quillstone.operators.matching import BROADCAST_BYTES, BROADCAST_POSTINGS, posting_join, salted_join
 from quillstone.operators.topk import top_k
 from quillstone.operators.vector import vector_top_k
 
 THRESHOLD = 0.3
+#: Trigrams that most questions hold; they come last in the order of the prefix filter.
+COMMON = 128
+#: Ratio of neighbouring size classes of the evidence lookup.
+SIZE_STEP = 1.25
 
 
 def trigrams(text: str) -> Column:
@@ -32,36 +36,52 @@ def similarity(left: Column, right: Column) -> Column:
 
 
 def similar_pairs(
-    texts: DataFrame, questions: DataFrame, threshold: float = THRESHOLD, limit: int = BROADCAST_POSTINGS
+    texts: DataFrame, questions: DataFrame, threshold: float = THRESHOLD, limit: int = BROADCAST_POSTINGS, common: int = COMMON
 ) -> DataFrame:
     """(text_id, question_id, sim) for pairs with similarity of at least ``threshold``.
 
-    Two sets can only be that similar when their sizes are close: sizes fall
-    into buckets a factor of 1 / threshold wide, the bucket is part of the join
-    key, and texts that no question is close to are not even exploded.
+    A prefix-filtered join.  All trigrams stand in one order, the ``common`` ones that most questions hold last.  Two sets that
+    similar share ``threshold`` of the larger one at least, so they share one of the first ``n - ceil(threshold * n) + 1`` of each: only these
+    are exploded and joined, and what questions have in common seldom is among them.  Sets can only be that similar when their sizes are
+    close: size buckets a factor of 1 / threshold wide are part of the join key, and texts that no question is close to are
+    not exploded.  Pairs that meet are counted, bounded by what the rest of the sets can add, and the survivors compared as whole sets.
     """
-    rows = texts.select("text_id", "text").repartition("text_id").select("text_id", trigrams("text").alias("_set"))
     bucket = lambda size: F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-math.log(threshold))).cast("int")
-    asked = questions.select("question_id", trigrams("question").alias("_set")).withColumn("_m", F.size("_set"))
+    first = lambda size: (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int")
+    asked = questions.select("question_id", trigrams("question").alias("_q")).withColumn("_m", F.size("_q"))
     facts = asked.agg(F.min("_m").alias("least"), F.max("_m").alias("most"), F.sum("_m").alias("postings")).first()
-    rows = rows.withColumn("_n", F.size("_set")).where(F.col("_n").between((facts["least"] or 0) * threshold, (facts["most"] or 0) / threshold))
-    rows = rows.select("text_id", "_n", F.explode("_set").alias("_gram")).select(
+    often = asked.select(F.explode("_q").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "g").limit(common).collect()
+    last = F.array(*[F.lit(r["g"]) for r in often]) if often else F.array().cast("array<string>")
+
+    def prefix(items: str, size: str) -> Column:
+        ordered = F.concat(F.array_sort(F.array_except(items, last)), F.array_sort(F.array_intersect(F.col(items), last)))
+        return F.slice(ordered, F.lit(1), first(F.col(size)))
+
+    rows = texts.select("text_id", "text").repartition("text_id").select("text_id", trigrams("text").alias("_set")).withColumn("_n", F.size("_set"))
+    rows = rows.where(F.col("_n").between((facts["least"] or 0) * threshold, (facts["most"] or 0) / threshold))
+    keys = rows.select("text_id", "_n", F.explode(prefix("_set", "_n")).alias("_gram")).select(
         "text_id", "_n", F.struct("_gram", bucket(F.col("_n")).alias("_bucket")).alias("_item")
     )
-    asked = (
+    postings = (
         asked.withColumn("_bucket", F.explode(F.array(*[bucket(F.col("_m")) + i for i in (-1, 0, 1)])))
-        .select("question_id", "_m", "_bucket", F.explode("_set").alias("_gram"))
+        .select("question_id", "_m", "_bucket", F.explode(prefix("_q", "_m")).alias("_gram"))
         .select("question_id", "_m", F.struct("_gram", "_bucket").alias("_item"))
     )
     near = (F.col("_n") >= threshold * F.col("_m")) & (F.col("_m") >= threshold * F.col("_n"))
-    shared = (
-        posting_join(rows, asked, "_item", "text_id", 3 * (facts["postings"] or 0) <= limit)
+    met = (
+        posting_join(keys, postings, "_item", "text_id", 3 * (facts["postings"] or 0) <= limit)
         .where(near)
         .groupBy("text_id", "question_id", "_n", "_m")
-        .agg(F.count(F.lit(1)).alias("_shared"))
+        .agg(F.count(F.lit(1)).alias("_met"))
     )
-    sim = F.col("_shared") / (F.col("_n") + F.col("_m") - F.col("_shared"))
-    return shared.select("text_id", "question_id", sim.alias("sim")).where(F.col("sim") >= threshold)
+    # a shared trigram lies in both prefixes, or behind one of them: of those there are at most as many as the longer rest
+    most = F.least(F.col("_met") + F.greatest(F.col("_n") - first(F.col("_n")), F.col("_m") - first(F.col("_m"))), F.least("_n", "_m"))
+    met = met.where((1 + threshold) * most >= F.lit(threshold) * (F.col("_n") + F.col("_m")) - 1e-9).select("text_id", "question_id")
+    few = (facts["postings"] or 0) * 24 <= BROADCAST_BYTES  # an array of trigrams
+    pairs = met.join(F.broadcast(asked) if few else asked, "question_id").join(rows, "text_id")
+    shared = F.size(F.array_intersect("_set", "_q"))
+    sim = shared / (F.col("_n") + F.col("_m") - shared)
+    return pairs.select("text_id", "question_id", sim.alias("sim")).where(F.col("sim") >= threshold)
 
 
 def card_first_search(
@@ -157,19 +177,38 @@ def card_first_search(
 
 
 def evidence_lookup(chunks: DataFrame, requests: DataFrame, k: int) -> DataFrame:
-    """SQL-02: chunks of the asked section by trigram similarity.
+    """SQL-02: chunks of the asked section by trigram similarity, best ``k`` per request.
 
-    requests(question_id, section_id, question).  A section's chunks are dealt
-    to many parts; each pair is scored in place and pruned to ``k``.
+    requests(question_id, section_id, question).  Sets of *n* and *m* trigrams share at most the smaller of them, so their similarity is at
+    most the ratio of their sizes.  Chunks fall into classes of size; a request first meets the classes around its own,
+    whose k-th best is a floor, and then only classes whose bound reaches it.  Classes are part of the join key, so pairs
+    beyond the bound are never formed; a section's chunks are dealt to many parts.
     """
-    allowed = chunks.where("usable_for_answer = 'no_direct_output'").select(
-        "chunk_id", "section_id", trigrams("source_excerpt").alias("_set")
-    )
-    asked = requests.select("question_id", "section_id", trigrams("question").alias("_asked"))
-    scored = salted_join(allowed, asked, ["section_id"], "chunk_id").select(
-        "question_id", "chunk_id", "section_id", similarity(F.col("_set"), F.col("_asked")).alias("score")
-    )
-    return top_k(scored, ["question_id", "section_id"], [F.desc("score"), F.col("chunk_id")], k)
+    step = math.log(SIZE_STEP)
+    size_class = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(step)).cast("int")
+    allowed = chunks.where("usable_for_answer = 'no_direct_output'").select("chunk_id", "section_id", trigrams("source_excerpt").alias("_set"))
+    allowed = allowed.withColumn("_n", F.size("_set")).withColumn("_class", size_class(F.col("_n")))
+    asked = requests.select("question_id", "section_id", trigrams("question").alias("_asked")).withColumn("_m", F.size("_asked"))
+    classes = allowed.groupBy("section_id", "_class").agg(F.count(F.lit(1)).alias("_chunks"))  # a few dozen a section
+    # a class's largest and smallest size against the request's; rounding of the logarithm is given way to
+    bound = F.least(F.pow(F.lit(SIZE_STEP), F.col("_class") + 1) / F.greatest("_m", F.lit(1)), F.col("_m") / F.pow(F.lit(SIZE_STEP), F.col("_class"))) * 1.000001
+    options = asked.join(classes, "section_id").withColumn("_bound", F.least(F.lit(1.0), bound))
+    by_bound = Window.partitionBy("question_id", "section_id").orderBy(F.desc("_bound"), "_class")
+    options = options.withColumn("_before", F.coalesce(F.sum("_chunks").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        pairs = salted_join(allowed, wanted.select("question_id", "section_id", "_class", "_asked", "_m"), ["section_id", "_class"], "chunk_id")
+        shared = F.size(F.array_intersect("_set", "_asked"))
+        union = F.col("_n") + F.col("_m") - shared
+        score = F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
+        return pairs.select("question_id", "chunk_id", "section_id", score.alias("score"))
+
+    order = [F.desc("score"), F.col("chunk_id")]
+    first = top_k(scored(options.where(F.col("_before") < k)), ["question_id", "section_id"], order, k)
+    floors = first.groupBy("question_id", "section_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("_floor"))
+    later = options.where(F.col("_before") >= k).join(floors, ["question_id", "section_id"]).where("_bound >= _floor")
+    found = first.drop("rank").unionByName(scored(later))
+    return top_k(found, ["question_id", "section_id"], order, k)
 
 
 def recommend_by_knowledge_points(cards: DataFrame, resources: DataFrame, k: int) -> DataFrame:

@@ -200,15 +200,13 @@ def _(kb: KB) -> DataFrame:
     return kb.cards.select("answer_id", F.md5(F.array_join(T.missing_points(points, half_answer()), "|")).alias("result"))
 
 
-@register(
-    "txt_17_text_similarity",
-    None,
-)
+@register("txt_17_text_similarity")
 def _(kb: KB) -> DataFrame:
-    """First line against second line; the sequence ratio has no SQL form."""
-    second = F.coalesce(F.get("student_question_patterns", F.lit(0)), F.lit(""))
-    left, right = T.compact_boundary(F.col("canonical_question")), T.compact_boundary(second)
-    return kb.cards.select("answer_id", F.round(similarity.text_similarity(left, right), 6).alias("result"))
+    """The question against every pattern and point of its card; the sequence ratio has no SQL form."""
+    others = F.concat("student_question_patterns", "answer_points")
+    rows = kb.cards.select("answer_id", "canonical_question", F.posexplode(others).alias("place", "other"))
+    left, right = T.compact_boundary(F.col("canonical_question")), T.compact_boundary(F.col("other"))
+    return rows.select("answer_id", "place", F.round(similarity.text_similarity(left, right), 6).alias("result"))
 
 
 GRAM2 = "list_distinct([{0}[i:i+1] for i in range(1, length({0}))])"
@@ -259,24 +257,28 @@ def _(kb: KB) -> DataFrame:
 OTHER_LINES = "array_to_string([x[1] for x in list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)) if x[2] <> {0}], '')"
 
 
-@register(
-    "txt_20_verification_status",
-    f"""select doc_id, case when e = '' then 'empty' when contains(w, e) then 'exact'
+SUPPORT = f"""case when e = '' then 'empty' when contains(w, e) then 'exact'
         when length(e) >= 16 and contains(w, left(e, 40)) then 'partial'
-        when length(e) >= 20 and len([i for i in range(0, length(e) - 19, 10) if contains(w, substr(e, i + 1, 20))]) > 0 then 'partial'
-        when length(e) >= 8 and len([i for i in range(0, length(e) - 7, 8) if contains(w, substr(e, i + 1, 8))]) >= 2
-        then 'concept_supported' else 'unverified' end as result
-        from (select doc_id, {gone("split_part(text, chr(10), 2)", V.VERIFY_PUNCTUATION)} as e, {gone(OTHER_LINES.format(2), V.VERIFY_PUNCTUATION)} as w from documents)""",
-)
+        when length(e) >= 20 and len([k for k in range(0, length(e) - 19, 10) if contains(w, substr(e, k + 1, 20))]) > 0 then 'partial'
+        when length(e) >= 8 and len([k for k in range(0, length(e) - 7, 8) if contains(w, substr(e, k + 1, 8))]) >= 2
+        then 'concept_supported' else 'unverified' end"""
+#: SQL: every line of every document (e) with all its other lines (w).
+SUPPORTED_LINES = f"""select doc_id, lang, i, {gone("string_split(text, chr(10))[i]", V.VERIFY_PUNCTUATION)} as e, {gone(OTHER_LINES.format("i"), V.VERIFY_PUNCTUATION)} as w
+        from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)"""
+
+
+@register("txt_20_verification_status", f"select doc_id, i as line, {SUPPORT} as result from ({SUPPORTED_LINES})")
 def _(kb: KB) -> DataFrame:
-    """Is the second line of a document supported by all its other lines?"""
-    return kb.raw("documents").select("doc_id", line_support(2).alias("result"))
+    """Is a line of a document supported by all its other lines?  Every line of every document."""
+    return line_support(kb.raw("documents")).select("doc_id", "line", "result")
 
 
-def line_support(number: int):
-    parts = F.split("text", "\n")
-    rest = F.array_join(F.filter(parts, lambda x, i: i != number - 1), "")
-    return T.verification_status(T.compact_verify(F.coalesce(F.get(parts, F.lit(number - 1)), F.lit(""))), T.compact_verify(rest))
+def line_support(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, line, result) of every line, from 1."""
+    rows = docs.select("doc_id", "lang", F.split("text", "\n").alias("_parts")).select("*", F.explode(F.sequence(F.lit(1), F.size("_parts"))).alias("line"))
+    rest = F.array_join(F.filter("_parts", lambda x, i: i != F.col("line") - 1), "")
+    own = F.element_at("_parts", F.col("line"))
+    return rows.select("doc_id", "lang", F.col("line").cast("long").alias("line"), T.verification_status(T.compact_verify(own), T.compact_verify(rest)).alias("result"))
 
 
 @register("txt_21_terms", TERMS_SQL)

@@ -205,10 +205,10 @@ def _(kb: KB) -> DataFrame:
         cap="""select (doc_id % 40) || '-' || (doc_id % 7) as label_key, doc_id, ordinal, p, case when nxt <= ordinal + 12 then nxt end as island, case when prev >= ordinal - 7 then prev end as prev from tw
             where not pipe and p in (select distinct p from tw where not pipe)""",
         best="""select * from (select *, row_number() over (partition by label_key order by doc_id desc, ordinal desc) as r from cap) where r = 1""",
-        body="""select t.label_key, w.ordinal, list_transform(string_split(w.p, '|'), lambda c: trim(c)) as c, w.ordinal = t.island as head
+        cut="""select t.label_key, w.ordinal, list_transform(string_split(w.p, '|'), lambda c: trim(c)) as c, w.ordinal = t.island as head
             from best t join tw w on w.doc_id = t.doc_id and w.island = t.island and w.ordinal <= t.ordinal + 12""",
-        heads="select label_key, c as cells from body where head",
-        fulls="""select label_key, count(*) as n, list(c[len(cells)] order by body.ordinal) as vals from body join heads using (label_key) where not head and len(c) >= len(cells) group by 1""",
+        heads="select label_key, c as cells from cut where head",
+        fulls="""select label_key, count(*) as n, list(c[len(cells)] order by cut.ordinal) as vals from cut join heads using (label_key) where not head and len(c) >= len(cells) group by 1""",
         b="""select t.label_key, cells, n, vals, w.p as context, coalesce(len(cells) > 0 and n > 0, false) as whole
             from best t left join heads h on h.label_key = t.label_key left join fulls f on f.label_key = t.label_key
             left join tw w on w.doc_id = t.doc_id and w.ordinal = t.prev""",

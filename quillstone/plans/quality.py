@@ -33,8 +33,10 @@ def package(kb: KB) -> dict[str, DataFrame]:
             F.when(F.col("n_chars") % 7 == 0, "direct").otherwise("no_direct_output").alias("usable_for_answer"),
         ),
         "tests": kb.turns.select(
-            F.col("question_id").alias("test_id"), F.substring(F.md5("question"), 1, 2).alias("question"),
+            F.col("question_id").alias("test_id"), "question",
             F.concat(F.lit("a"), F.split("question_id", "_")[1].cast("long") * 40).alias("expected_answer_card"),
+        ).unionByName(
+            kb.cards.select(F.concat(F.lit("w"), "answer_id").alias("test_id"), F.col("canonical_question").alias("question"), F.col("answer_id").alias("expected_answer_card"))
         ),
         "resources": kb.resources,
         "scripts": docs.select(
@@ -62,8 +64,9 @@ VALIDATE = f"""
     union all select 'warning', 'chunk_policy', 'c' || n_chars from documents where n_chars % 7 = 0
     union all select 'warning', 'unknown_card', question_id from turns t
        where not exists (select 1 from documents where doc_id = cast(split_part(question_id, '_', 2) as bigint) * 40)
-    union all select 'warning', 'ambiguous_question', k from (select {norm("substr(md5(question), 1, 2)")} as k,
-       split_part(question_id, '_', 2) as c from turns) where k <> '' group by k having count(distinct c) > 1
+    union all select 'warning', 'ambiguous_question', k from (
+       select {norm("question")} as k, 'a' || cast(split_part(question_id, '_', 2) as bigint) * 40 as c from turns
+       union all select {norm("canonical_question")}, answer_id from cards) where k <> '' group by k having count(distinct c) > 1
     union all select 'error', 'unknown_resource', 'sc' || doc_id from documents where doc_id not in (select page_id from pages)
     union all select 'error', 'duplicate_embeddings', 'e' || label from (select label, unnest(range(2, count(*) + 1)) from embeddings group by 1)
     union all select 'error', 'empty_embedding_text', 'e' || label from embeddings where label = 3

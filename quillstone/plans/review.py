@@ -10,7 +10,7 @@ from quillstone.functions import values as V
 from quillstone.operators import align as A
 from quillstone.operators import merge as M
 from quillstone.operators import review as R
-from quillstone.plans.functions import OTHER_LINES, gone, line_support, natural
+from quillstone.plans.functions import SUPPORT, SUPPORTED_LINES, gone, line_support, natural
 from quillstone.plans.kb import KB, sql
 from quillstone.plans.quality import ITEMS
 from quillstone.plans.registry import register
@@ -202,17 +202,11 @@ def _(kb: KB) -> DataFrame:
 
 
 @register(
-    "aud_11_verification_counts",
-    f"""select lang as chapter_id, result as status, count(*) as n from (select lang,
-        case when e = '' then 'empty' when contains(w, e) then 'exact' when length(e) >= 16 and contains(w, left(e, 40)) then 'partial'
-        when length(e) >= 20 and len([i for i in range(0, length(e) - 19, 10) if contains(w, substr(e, i + 1, 20))]) > 0 then 'partial'
-        when length(e) >= 8 and len([i for i in range(0, length(e) - 7, 8) if contains(w, substr(e, i + 1, 8))]) >= 2
-        then 'concept_supported' else 'unverified' end as result
-        from (select lang, {gone("split_part(text, chr(10), 1)", V.VERIFY_PUNCTUATION)} as e, {gone(OTHER_LINES.format(1), V.VERIFY_PUNCTUATION)} as w from documents)) group by 1, 2""",
+    "aud_11_verification_counts", f"select lang as chapter_id, status, count(*) as n from (select lang, {SUPPORT} as status from ({SUPPORTED_LINES})) group by 1, 2"
 )
 def _(kb: KB) -> DataFrame:
-    """Is the first line of a document supported by all its other lines?"""
-    return kb.raw("documents").groupBy(F.col("lang").alias("chapter_id"), line_support(1).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """How many lines of a chapter's documents are supported by the rest of their document, and how."""
+    return line_support(kb.raw("documents")).groupBy(F.col("lang").alias("chapter_id"), F.col("result").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(

@@ -9,7 +9,7 @@ from quillstone.operators import enrich, matching, normalize, quality, review
 from quillstone.operators import merge as M
 from quillstone.operators import relations as R
 from quillstone.operators.topk import numbered
-from quillstone.operators.trigram import similar_pairs
+from quillstone.operators.trigram import evidence_lookup, similar_pairs
 from quillstone.sources import packages, sinks
 
 
@@ -129,6 +129,29 @@ def test_similar_pairs_of_all_sizes(spark):
         assert got == want
 
 
+def test_evidence_lookup_of_all_sizes(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcde") for _ in range(r.randrange(1, 6))) for _ in range(30)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    chunks = [(i, f"s{i % 3 if i % 7 else 0}", say(r.choice([0, 1, 2, 5, 9, 20, 60])), "direct" if i % 11 == 5 else "no_direct_output") for i in range(160)]
+    asked = [(j, f"s{j % 4}", say(r.choice([0, 1, 3, 8, 30]))) for j in range(40)]
+
+    def grams(text):
+        return {f"  {w} "[i : i + 3] for w in text.split() for i in range(len(w) + 1)}
+
+    want = set()
+    for j, section, q in asked:
+        b, scores = grams(q), []
+        for i, own, t, usable in chunks:
+            if own == section and usable == "no_direct_output":
+                a = grams(t)
+                scores.append((-(len(a & b) / len(a | b) if a | b else 0.0), i))
+        want |= {(j, rank, i, round(-s, 9)) for rank, (s, i) in enumerate(sorted(scores)[:4], 1)}
+    rows = spark.createDataFrame(chunks, "chunk_id int, section_id string, source_excerpt string, usable_for_answer string")
+    found = evidence_lookup(rows, spark.createDataFrame(asked, "question_id int, section_id string, question string"), 4)
+    assert {(x.question_id, x["rank"], x.chunk_id, round(x.score, 9)) for x in found.collect()} == want
+
+
 def test_evidence_profile_and_support(spark):
     rows = spark.createDataFrame([("exact", False), (" partial", True), ("missing", True), (None, None)], "s string, t boolean")
     got = [tuple(r[0])[:2] + (tuple(r[0])[-1],) for r in rows.select(enrich.evidence_profile(F.col("s"), F.col("t"))).collect()]
