@@ -28,6 +28,6 @@ def register(name: str, oracle: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from quillstone.plans import answers, details, functions, packaging, quality, relational, resources, retrieval, review, stored  # noqa: F401
+    from quillstone.plans import answers, audit, details, functions, packaging, quality, relational, resources, retrieval, review, stored  # noqa: F401
 
     return QUERIES, ORACLE
