@@ -165,8 +165,9 @@ def missing_media(steps: DataFrame, media: DataFrame, key: str) -> DataFrame:
 
 
 def relations_if_empty(relations: DataFrame, resource_relations: DataFrame) -> DataFrame:
-    """ETL-10: resource relations stand in when there is no relation at all."""
-    return relations if not relations.isEmpty() else resource_relations
+    """ETL-10: resource relations stand in when there is no relation at all; decided within the plan, by one row."""
+    one = F.broadcast(relations.limit(1).select(F.lit(1).alias("_any")))
+    return relations.unionByName(resource_relations.withColumn("_any", F.lit(1)).join(one, "_any", "left_anti").drop("_any"))
 
 
 def merge_patterns(cards: DataFrame, incoming: DataFrame, owners: DataFrame) -> DataFrame:

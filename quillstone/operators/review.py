@@ -128,6 +128,23 @@ def promotion_blockers(
     return blockers
 
 
+def promotion_states(drafts: DataFrame, problems: DataFrame) -> DataFrame:
+    """REV-07 for many drafts: (draft_id, blockers, promoted).
+
+    drafts(draft_id, write, confirmed, formal_exists, allow_overwrite); problems(draft_id, severity) as found by the validation.
+    """
+    invalid = problems.where("severity = 'error'").select("draft_id").distinct().withColumn("_bad", F.lit(True))
+    rows = drafts.join(invalid, "draft_id", "left")
+    found = F.array_compact(
+        F.array(
+            F.when(~F.coalesce("confirmed", F.lit(False)), "not_confirmed"), F.when(F.coalesce("_bad", F.lit(False)), "draft_invalid"),
+            F.when(F.coalesce("formal_exists", F.lit(False)) & ~F.coalesce("allow_overwrite", F.lit(False)), "formal_exists"),
+        )
+    )
+    blockers = F.when(F.coalesce("write", F.lit(False)), found).otherwise(F.array(F.lit("dry_run")))
+    return rows.select("draft_id", blockers.alias("blockers")).withColumn("promoted", F.size("blockers") == 0)
+
+
 def graded_evidence(chunks: DataFrame, reviews: DataFrame, approvals: DataFrame) -> DataFrame:
     """REV-08: a manual approval beats the automatic grading, which beats the review state.
 

@@ -1,4 +1,4 @@
-"""Registered queries: the evidence audit's totals, attention list and integrity counters, media of tasks."""
+"""Registered queries: the evidence audit's totals, attention list and integrity counters, media of tasks, promotion of drafts."""
 
 from __future__ import annotations
 
@@ -109,3 +109,59 @@ def _(kb: KB) -> DataFrame:
     segments = numbers.select(F.concat(F.lit("g"), "n").alias("segment_id"), F.col("n").isin(1, 2).alias("available"))
     shots = numbers.select(F.concat(F.lit("p"), "n").alias("screenshot_id"), (F.col("n") == 2).alias("available"))
     return A.media_summary(kb.tasks, steps, errors, segments, shots)
+
+
+@register(
+    "rev_07_promotion_states",
+    """select o_orderkey as draft_id, array_to_string(b, ',') as blockers, len(b) = 0 as promoted from (
+      select o_orderkey, case when o_orderkey % 5 = 0 then ['dry_run'] else list_concat(list_concat(
+        case when o_orderstatus = 'O' then ['not_confirmed'] else []::varchar[] end, case when bad then ['draft_invalid'] else []::varchar[] end),
+        case when o_totalprice > 200000 and o_orderpriority not like '1%' then ['formal_exists'] else []::varchar[] end) end as b
+      from orders left join (select distinct l_orderkey, true as bad from lineitem where l_returnflag = 'R') on l_orderkey = o_orderkey)""",
+)
+def _(kb: KB) -> DataFrame:
+    """Orders stand for drafts, returned lines for errors that the validation found."""
+    from quillstone.operators.review import promotion_states
+
+    drafts = kb.raw("orders").select(
+        F.col("o_orderkey").alias("draft_id"), (F.col("o_orderkey") % 5 != 0).alias("write"), (F.col("o_orderstatus") != "O").alias("confirmed"),
+        (F.col("o_totalprice") > 200000).alias("formal_exists"), F.col("o_orderpriority").startswith("1").alias("allow_overwrite"),
+    )
+    problems = kb.raw("lineitem").select(F.col("l_orderkey").alias("draft_id"), F.when(F.col("l_returnflag") == "R", "error").otherwise("warning").alias("severity"))
+    found = promotion_states(drafts, problems)
+    return found.select("draft_id", F.array_join("blockers", ",").alias("blockers"), "promoted")
+
+
+@register(
+    "etl_10_relations_if_empty",
+    """select 'none' as package, 'card' as kind, doc_id as id from labels where quality = 1 union all select 'some', 'point', doc_id from labels where toxic = 1""",
+)
+def _(kb: KB) -> DataFrame:
+    """A package without relations takes those of its resources, one with relations keeps its own."""
+    from quillstone.operators.merge import relations_if_empty
+
+    rows = kb.raw("labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    own = rows.where("toxic = 1").select(F.lit("point").alias("kind"), "id")
+    other = rows.where("quality = 1").select(F.lit("card").alias("kind"), "id")
+    found = [(name, relations_if_empty(own.where(keep), other)) for name, keep in (("none", "false"), ("some", "true"))]
+    first, second = (df.select(F.lit(name).alias("package"), "kind", "id") for name, df in found)
+    return first.unionByName(second)
+
+
+@register(
+    "txt_21_mapping_terms",
+    r"""select conv_id, turn, coalesce(string_agg(t, ' ' order by i) filter (r <= 18), '') as result from (
+      select conv_id, turn, t, i, row_number() over (partition by conv_id, turn order by i) as r from (
+        select conv_id, turn, k, arg_min(t, i) as t, min(i) as i from (
+          select conv_id, turn, t, i, lower(replace(t, '-', '')) as k from (
+            select conv_id, turn, unnest(ts) as t, generate_subscripts(ts, 1) as i from (
+              select conv_id, turn, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+*.-]+') as ts from conversations)))
+        where length(k) >= 2 and t <> 'GIS' group by 1, 2, 3)) group by 1, 2
+      union all select conv_id, turn, '' from conversations where len([w for w in regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+*.-]+')
+        if length(replace(w, '-', '')) >= 2 and w <> 'GIS']) = 0""",
+)
+def _(kb: KB) -> DataFrame:
+    """First eighteen distinct terms of every turn, as the line mapping takes them."""
+    from quillstone.functions.text import mapping_terms
+
+    return kb.raw("conversations").select("conv_id", "turn", F.array_join(mapping_terms(F.array("text")), " ").alias("result"))
