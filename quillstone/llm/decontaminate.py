@@ -11,8 +11,10 @@ short item depends on the words around it, so beside it every place where ``GRAM
 candidate, whatever its cosine: verbatim items are always found, the cosine adds paraphrases.  Candidates are
 then checked in word order: the longest common subsequence of the item and the stretch of text it would occupy must
 hold ``SURE`` of the item's words, or ``LIKELY`` of them and ``ANSWER_SHARE`` of its answer's (the given answer, else the
-``ANSWER_WORDS`` rarest words).  Items of fewer than ``ORDERED`` words must occur word for word, those below ``SHORTEST`` say
-too little and never match.
+``ANSWER_WORDS`` rarest words).  Items of fewer than ``ORDERED`` words must occur word for word.  Those below
+``shortest`` words (a parameter; ``SHORTEST`` unless given) say too little and never match; with 1 every item counts.
+
+The latent space keeps every direction of the benchmark's passages: its cosine is that of the TF-IDF passages, in fewer dimensions.
 
 Defined results: null and empty texts match nothing; null ids are carried along; repeated rows are judged one by one;
 extra columns are ignored; an empty benchmark or table gives no rows.
@@ -75,11 +77,11 @@ def passages(count: int, stride: int) -> list[int]:
     return starts
 
 
-def grams(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of ``GRAM`` words in a row, at every word that begins such a run."""
-    count = max(0, len(tokens) - GRAM + 1)
+def grams(tokens: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hashes of ``size`` words in a row, at every word that begins such a run."""
+    count = max(0, len(tokens) - size + 1)
     total = np.zeros(count, np.uint64)
-    for i in range(GRAM):
+    for i in range(size):
         total = (total + tokens[i : i + count].view(np.uint64)) * np.uint64(BASE)
     return total
 
@@ -144,7 +146,7 @@ class LatentSpace:
             owner += [i] * len(starts)
             offset += starts
             rows.append(self.project(terms, weight))
-            runs = grams(tokens)[: 1 if len(tokens) < ORDERED else None]  # word for word: the first run is always there
+            runs = grams(tokens, min(GRAM, len(tokens)))[: 1 if len(tokens) < ORDERED else None]  # word for word: the first run is always there
             hashed.append(runs)
             source += [i] * len(runs)
             place += range(len(runs))
@@ -152,15 +154,18 @@ class LatentSpace:
         hashes = np.concatenate(hashed)
         order = np.argsort(hashes, kind="stable")
         self.grams, self.gram_owner, self.gram_offset = hashes[order], np.array(source, np.int64)[order], np.array(place, np.int64)[order]
+        self.sizes = sorted({min(GRAM, len(item.tokens)) for item in items})
         self.gram_bits = np.zeros(1 << 20, bool)
         self.gram_bits[self.grams >> np.uint64(44)] = True
 
     def places(self, tokens: np.ndarray) -> list[tuple[int, int]]:
         """Item and its first word for every place where words of an item stand in a row."""
-        runs = grams(tokens)
-        at = np.flatnonzero(self.gram_bits[runs >> np.uint64(44)])
-        lo, hi = (np.searchsorted(self.grams, runs[at], side) for side in ("left", "right"))
-        found = {(int(self.gram_owner[g]), int(a - self.gram_offset[g])) for a, x, y in zip(at.tolist(), lo.tolist(), hi.tolist()) for g in range(x, y)}
+        found: set[tuple[int, int]] = set()
+        for size in self.sizes:
+            runs = grams(tokens, size)
+            at = np.flatnonzero(self.gram_bits[runs >> np.uint64(44)])
+            lo, hi = (np.searchsorted(self.grams, runs[at], side) for side in ("left", "right"))
+            found |= {(int(self.gram_owner[g]), int(a - self.gram_offset[g])) for a, x, y in zip(at.tolist(), lo.tolist(), hi.tolist()) for g in range(x, y)}
         return sorted(found)
 
     def cosine(self, item: int, tokens: np.ndarray, at: int) -> float:
@@ -209,7 +214,7 @@ class LatentSpace:
         return [(self.items[i].key, *rest) for i, rest in sorted(best.items())]
 
 
-def _spaces(benchmark: DataFrame, idf: np.ndarray, key: str, answer: str | None) -> Iterator[LatentSpace]:
+def _spaces(benchmark: DataFrame, idf: np.ndarray, key: str, answer: str | None, shortest: int) -> Iterator[LatentSpace]:
     """One latent space per block of at most PIECES passages."""
     spark = benchmark.sparkSession
     given = F.col(answer) if answer else F.lit(None).cast("string")
@@ -218,7 +223,7 @@ def _spaces(benchmark: DataFrame, idf: np.ndarray, key: str, answer: str | None)
     count = 0
     for r in rows.orderBy("item", "text").toLocalIterator():  # one block of items at a time
         tokens = words(r["text"])
-        if len(tokens) < SHORTEST:
+        if len(tokens) < max(1, shortest):
             continue
         own = len(passages(len(tokens), PASSAGE))
         if block and count + own > PIECES:
@@ -293,13 +298,13 @@ def _slices(item: Item) -> list[list[int]]:
 LEAKS = "doc_id bigint, item_id bigint, cosine double, item_share double, answer_share double, first_word int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", answer: str | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", answer: str | None = None, shortest: int = SHORTEST) -> DataFrame:
     """A row for every document and benchmark item that it holds."""
     spark = docs.sparkSession
     idf = weights(docs)
     found = spark.createDataFrame([], LEAKS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for space in _spaces(benchmark, idf, key, answer):
+    for space in _spaces(benchmark, idf, key, answer, shortest):
         shared = spark.sparkContext.broadcast(space)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -313,12 +318,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", answ
     return found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", answer: str | None = None) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", answer: str | None = None, shortest: int = SHORTEST) -> DataFrame:
     """The documents that hold no benchmark item, all columns unchanged; nothing is shuffled."""
     spark = docs.sparkSession
     idf = weights(docs)
     kept = docs
-    for number, space in enumerate(_spaces(benchmark, idf, key, answer)):
+    for number, space in enumerate(_spaces(benchmark, idf, key, answer, shortest)):
         shared = spark.sparkContext.broadcast(space)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -163,6 +163,22 @@ def test_leaks(spark, monkeypatch):
     assert de.find_leaks(docs, bench.limit(0)).count() == 0 and de.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_items_of_all_lengths_word_for_word(spark):
+    """Every item against every place of every text, where all items count."""
+    vocabulary = "red blue green amber violet grey".split()
+    r = random.Random(9)
+    items = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (1, 1, 2, 2, 3, 4, 5, 6, 7)] + ["umbra", "umbra lux", ""]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 40))) for _ in range(25)] + ["an Umbra, lux!", "umbra nox", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in de.find_leaks(documents(spark, texts), bench, shortest=1).collect()}
+    split = lambda t: de.words(t).tolist()
+    held = lambda t, i: any(t[k : k + len(i)] == i for k in range(len(t) - len(i) + 1))
+    assert found == {(d, k) for d, t in enumerate(texts) for k, i in enumerate(items) if split(i) and held(split(t), split(i))}
+    assert {k for _, k in found} >= {0, 9, 10}
+    few = {(x["doc_id"], x["item_id"]) for x in de.find_leaks(documents(spark, texts), bench).collect()}
+    assert few == {(d, k) for d, k in found if len(items[k].split()) >= de.SHORTEST}
+
+
 @pytest.mark.parametrize("least", [0.05, 0.35, 2.0])
 def test_short_items_at_every_place(spark, monkeypatch, least):
     monkeypatch.setattr(de, "LEAST_COSINE", least)  # 0.05: the stretch that is checked decides; 2.0: no cosine reaches it
