@@ -3,8 +3,9 @@
 Model: for every word the log-odds of occurring in toxic against other training documents, with an informative
 Dirichlet prior (its share of all words, ``PRIOR`` words strong, and ``LEAST_PRIOR`` of a word at least).  Words whose log-odds are at least ``LEAST_Z`` standard
 errors above zero carry their log-odds; every other word carries a small negative score, the log-odds of a common word
-inside a toxic passage of which ``DENSITY`` are toxic words.  The model holds at most ``MAX_WORDS`` words, so it is a
-bounded broadcast; counts are exact over all training documents.  Clean documents are only asked about words that
+inside a toxic passage of which ``DENSITY`` are toxic words.  A word of the model makes up ``LEAST_SHARE`` of what toxic documents
+say at least, so there are never more than its inverse of them and the model is a bounded broadcast without a cap; counts are exact
+over all training documents.  Clean documents are only asked about words that
 enough toxic ones contain, by a bitmap of fixed size, so most of their words are never shuffled.
 
 Scan: all maximal-scoring segments (linear time; runs of common words between scoring words are one step).  A segment of
@@ -34,7 +35,8 @@ PRIOR = 500.0
 LEAST_PRIOR = 0.5
 LEAST_Z = 3.0
 LEAST_TOXIC = 4
-MAX_WORDS = 100_000
+#: Least share of a model word among the words of toxic documents (each counted once a document).
+LEAST_SHARE = 1 / 200_000
 DENSITY = 0.2
 MOST_E = 0.01
 K = 0.1
@@ -117,7 +119,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = marks.select("key", (F.col("toxic") > 0).cast("int").alias("toxic"))
     if labels.limit(SMALL_LABELS + 1).count() <= SMALL_LABELS:
         marks = F.broadcast(marks)
-    return docs.filter(~held_out()).join(marks, F.col("doc_id").cast("long") == F.col("key")).select("toxic", "text")
+    own = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("own_id"), "text")
+    return own.join(marks, F.col("own_id") == F.col("key")).select("toxic", "text")
 
 
 def _counts(rows: DataFrame, keep=None) -> DataFrame:
@@ -161,8 +164,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> SegmentModel:
     up, down = F.col("a") + prior, F.col("b") + prior
     odds = F.log(up) - F.log(n1 + PRIOR - up) - F.log(down) + F.log(n0 + PRIOR - down)
     z = odds / F.sqrt(1 / up + 1 / down)
-    best = both.filter("h is not null").select("h", odds.alias("odds"), z.alias("z"), (down / (n0 + PRIOR)).alias("p")).filter(F.col("z") >= LEAST_Z)
-    rows = stored(best.orderBy(F.desc("z"), "h").limit(MAX_WORDS), "model").collect()  # the choice is made by a task
+    best = both.filter(F.col("h").isNotNull() & (F.col("a") >= LEAST_SHARE * n1)).select("h", odds.alias("odds"), z.alias("z"), (down / (n0 + PRIOR)).alias("p")).filter(F.col("z") >= LEAST_Z)
+    rows = best.collect()  # 1 / LEAST_SHARE rows at most
     return SegmentModel(np.array([r["h"] for r in rows], np.int64), np.array([r["odds"] for r in rows]), np.array([r["p"] for r in rows]))
 
 

@@ -12,12 +12,12 @@ def prose(seed: int, n: int) -> str:
     return " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
 
 
-DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, hash string, copies string"
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, hash string, copies string, key string, toxic string, text_hash string, fp string, root string, kept_id string"
 
 
 def documents(spark, texts, langs=None, sources=None, ids=None):
     """Documents with extra columns whose names the operators use themselves."""
     rows = [
-        (ids[i] if ids else i, t, langs[i] if langs else "en", sources[i] if sources else "s", len(t or ""), "x", "y", "z") for i, t in enumerate(texts)
+        (ids[i] if ids else i, t, langs[i] if langs else "en", sources[i] if sources else "s", len(t or ""), "x", "y", "z", *"abcdef") for i, t in enumerate(texts)
     ]
     return spark.createDataFrame(rows, DOC_SCHEMA)
