@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,33 @@ def shared_folder(spark: SparkSession) -> str:
     return files.makeQualified(path).toString()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and reread: cuts lineage, survives lost executors."""
+#: Folders made inside the open ``scratch`` blocks of this driver.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``stored`` writes inside the block goes when the block ends, but for tables stored with ``keep``."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for name in _SCRATCH.pop():
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and reread: cuts lineage, survives lost executors.
+
+    Inside a ``scratch`` block the table goes with the block; with ``keep`` it belongs to the block around that one.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
+    folder = shared_folder(spark)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(folder)
+    path = f"{folder}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,12 +16,14 @@ Defined results: null and empty texts have fingerprint zero and link like any ot
 non-null document id (null if it has none); rows that repeat an id each get a row; extra columns are ignored; an empty
 table gives no rows.
 
-``near_copies`` is the wider net of a near-duplicate stage: five-word shingles, Jaccard similarity of ``SIMILAR`` or more, which no 64 bits
-can tell apart.  Candidates come from prefix filtering, which loses no pair: with all shingles in one order, two sets
-that similar share one of their first ``size - ceil(0.8 size) + 1``.  The order (frequent shingles of a sample last, then by hash) decides the work, never the
-result.  Every candidate is checked on whole shingle sets.  Where more than ``CROWDED`` sets share a shingle, they are
-checked against ``CENTERS`` of them first, and what is still in different components is then compared: all members
-outside the shingle's largest component with all of another component.
+``near_copies`` is the wider net of a near-duplicate stage: five-word shingles, Jaccard similarity of ``SIMILAR`` fifths or more, which no 64
+bits can tell apart.  Candidates come from prefix filtering, which loses no pair: with all shingles in one order, two sets
+that similar share one of their first ``size - ceil(0.8 size) + 1``.  The order (frequent shingles of a sample last, then by hash) decides
+the work, never the result.  Before any set travels, pairs are cut by exact bounds: a *sketch* has a bit for every slot into which an odd
+number of shingles falls, so the bits in which two sketches differ are at most the shingles in which the sets differ.  What is left is nearly
+all similar; of every set one candidate is checked on whole sets first, then those that still join different components.
+Where more than ``FEW`` sets share a shingle, they meet ``CENTERS`` of them first, the same ones whatever shingle they share, and what is
+still in different components is then compared by sketches, members outside the shingle's largest component with all of other components.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillstone.llm.common import BASE, map_rows, mixed, share_of, small_batches, span_hashes, stored, text_bytes
+from quillstone.llm.common import BASE, map_rows, mixed, scratch, small_batches, span_hashes, stored, text_bytes
 from quillstone.llm.components import components
 
 PIVOTS = 18
@@ -45,8 +47,12 @@ SHINGLE = 3
 #: The wider net: words of a shingle, similarity in fifths, centers of a crowd, sampled texts, occurrences that make a shingle frequent.
 WIDE = 5
 SIMILAR = 4
-CENTERS = 8
+CENTERS = 4
+FEW = 32
 SAMPLE, FREQUENT = 10_000, 3
+#: A sketch has one to this many 64-bit words, about a bit a shingle; bits of the bitmap of sets that are needed.
+SKETCH = 256
+BITMAP = 1 << 25
 #: Six blocks of a fingerprint's 64 bits, and the masks of every choice of four.
 _BLOCKS = [sum(1 << b for b in range(lo, hi)) for lo, hi in ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))]
 _KEYS = [sum(c) for c in combinations(_BLOCKS, 4)]
@@ -166,14 +172,25 @@ def shingle_set(text: bytes, size: int = WIDE) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles in the order of all (frequent ones last), one more than a similar set can lack."""
+def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles in the order of all (frequent ones last), one more than a similar set can lack; how many of them are not frequent."""
     count = len(shingles) - -(-SIMILAR * len(shingles) // 5) + 1
     if not len(frequent) or not len(shingles):
-        return shingles[:count]
+        return shingles[:count], len(shingles[:count])
     at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
     place = np.where(frequent[at] == shingles, rank[at] + 1, 0)
-    return shingles[np.argsort(place, kind="stable")[:count]]
+    chosen = np.argsort(place, kind="stable")[:count]
+    return shingles[chosen], int((place[chosen] == 0).sum())
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in 64 times a power of two slots; a smaller power's sketch is the xor of the larger one's halves."""
+    words = 1
+    while words < SKETCH and words * 64 < len(shingles):
+        words *= 2
+    slots = (shingles >> np.uint64(7)) & np.uint64(64 * words - 1)
+    odd = np.bincount(slots.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +200,10 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for text in text_bytes(batch, "text"):
             yield [shingle_set(text).view(np.int64)]
 
-    some = docs.select("text").distinct()
-    some = stored(some.filter(share_of(some, SAMPLE, F.xxhash64(F.lit(5), "text"))), "sample")
+    hashed = F.xxhash64(F.lit(5), "text")
+    kinds = docs.select(F.approx_count_distinct(hashed)).first()[0]
+    # a share of the texts by hash, so copies come or stay away together; only the sample is made distinct
+    some = docs.filter(hashed.cast("double") / F.lit(2.0**64) + 0.5 < F.lit(SAMPLE / max(1, kinds))).select("text").distinct()
     counts = map_rows(some, work, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).toArrow()
     found, n = counts["shingle"].to_numpy().view(np.uint64), counts["n"].to_numpy()
     order = np.argsort(found)
@@ -195,84 +214,151 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``fp`` (hash of the shingle set), its ``size`` and ``prefix`` of every document."""
+    """``doc_id``, ``text_hash``, ``fp`` (hash of the shingle set), its ``size``, ``prefix``, ``rare`` (how many of that the sample had not often) and ``sketch``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def work(batch: pa.RecordBatch):
         sets = [shingle_set(t) for t in text_bytes(batch, "text")]
         prints = [signed(xxh64_intdigest(s.tobytes(), 42)) for s in sets]
-        yield [batch["doc_id"].cast(pa.int64()), batch["text_hash"], prints, list(map(len, sets)), [prefix(s, *shared.value).view(np.int64) for s in sets]]
+        prefixes = [prefix(s, *shared.value) for s in sets]
+        yield [
+            batch["doc_id"].cast(pa.int64()), batch["text_hash"], prints, list(map(len, sets)), [p.view(np.int64) for p, _ in prefixes],
+            [rare for _, rare in prefixes], [sketch(s) for s in sets],
+        ]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(rows, work, "doc_id bigint, text_hash bigint, fp bigint, size int, prefix array<bigint>")
+    return map_rows(rows, work, "doc_id bigint, text_hash bigint, fp bigint, size int, prefix array<bigint>, rare int, sketch array<bigint>", rows=2_000)
 
 
 def _similar_size() -> Column:
     return (5 * F.col("x.size") >= SIMILAR * F.col("y.size")) & (5 * F.col("y.size") >= SIMILAR * F.col("x.size"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Those pairs of ``fp`` whose shingle sets are similar; only the texts of candidates travel."""
+def _sketches_allow(a: str, b: str, sizes: Column) -> Column:
+    """Whether sets of ``sizes`` shingles in all can be similar: they may differ in a ninth of them."""
+    folded = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2 + 1).cast("int"), (F.size(s) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    # similar sets' sketches have the same size or one has twice the other's
+    left = F.when(F.size(a) > F.size(b), folded(F.col(a))).otherwise(F.col(a))
+    right = F.when(F.size(b) > F.size(a), folded(F.col(b))).otherwise(F.col(b))
+    differ = F.aggregate(F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    return (5 + SIMILAR) * differ <= sizes * (5 - SIMILAR)
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs ``a``, ``b`` whose sketches allow them to be similar."""
+    sides = [sets.select(F.col("fp").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    return joined.filter(_sketches_allow("sketch_a", "sketch_b", F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
+def _needed_sets(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``fp`` and ``shingles`` of the sets in ``pairs``, each once.
+
+    A bitmap of fixed size tells tasks which documents stand for a needed set; only sets leave them, and only those that the bitmap
+    cannot tell from needed ones are sent in vain.
+    """
+    key = F.xxhash64("doc_id", "text_hash")
+    ends = pairs.select(F.col("a").alias("p")).distinct().unionByName(pairs.select(F.col("b").alias("p")).distinct())
+    needed = stored(ends.distinct(), "needed")
+    marks = needed.join(firsts, F.col("p") == F.col("fp")).select(F.xxhash64("first_id", "first_hash").bitwiseAND(F.lit(BITMAP - 1)).alias("slot"))
+    marks = marks.groupBy(F.shiftright("slot", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("b"))
+    table = np.zeros(BITMAP // 32, np.uint32)
+    for part in marks.toArrow().to_batches():  # four megabytes, whatever the corpus
+        table[part["w"].to_numpy()] = part["b"].to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
     def work(batch: pa.RecordBatch):
-        yield [batch["fp"], [shingle_set(t).view(np.int64) for t in text_bytes(batch, "text")]]
-
-    pairs = stored(pairs.distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("p")).distinct()
-    needed = stored(needed.join(firsts, F.col("p") == F.col("fp")).select("fp", "first_id", "first_hash"), "needed")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_hash"))
-    rows = docs.select("doc_id", "text").join(needed, same).select("fp", "text")
-    sets = stored(map_rows(rows, work, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "sets")
+        slots = batch["key"].to_numpy() & (BITMAP - 1)
+        hit = (shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+        sets = [shingle_set(t) for t in text_bytes(batch.filter(pa.array(hit)), "text")]
+        yield [[signed(xxh64_intdigest(s.tobytes(), 42)) for s in sets], [s.view(np.int64) for s in sets]]
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").select(key.alias("key"), "text")
+    found = map_rows(rows, work, "fp bigint, shingles array<bigint>", rows=500)
+    return stored(found.join(needed, F.col("fp") == F.col("p"), "left_semi").dropDuplicates(["fp"]), "sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs whose shingle sets are similar: |s & t| / |s | t| >= 4 / 5."""
     left, right = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    # |s & t| / |s | t| >= 4 / 5
-    return stored(pairs.join(right, "b").join(left, "a").filter((5 + SIMILAR) * both >= SIMILAR * (F.size("s") + F.size("t"))).select("a", "b"), "verified")
+    return stored(pairs.join(right, "b").join(left, "a").filter((5 + SIMILAR) * both >= SIMILAR * (F.size("s") + F.size("t"))).select("a", "b"), "similar")
+
+
+def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Those pairs whose ends the links have not brought together."""
+    roots = stored(components(links, "a", "b"), "roots")
+    out = pairs
+    for k in "ab":
+        out = out.join(roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}")), F.col(k) == F.col(f"n_{k}"), "left")
+    return out.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
+
 
+def _linked(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links among ``pairs``, enough to connect all that are similar: one pair of every set first, then those still apart."""
+    sets = _needed_sets(pairs, docs, firsts)
+    first = _similar(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+    return first.unionByName(_similar(stored(_across(pairs, first), "apart"), sets))
 
-def _wide_links(rows: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+
+def _wide_links(sets: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """``a`` and ``b``: linked shingle sets (similarity of ``SIMILAR`` fifths at least), enough to connect all that are linked."""
-    keyed = rows.select(F.explode("prefix").alias("key"), "fp", "size").repartition("key").dropDuplicates(["key", "fp"])
-    by_key = Window.partitionBy("key")
-    keyed = keyed.withColumn("place", F.row_number().over(by_key.orderBy(F.xxhash64("key", "fp"), "fp"))).withColumn("members", F.count(F.lit(1)).over(by_key))
-    meeting = stored(keyed.filter("members > 1"), "meeting")
-    few, crowd = meeting.filter(F.col("members") <= CROWDED), meeting.filter(F.col("members") > CROWDED)
+    # a shingle that the sample has not often is in few texts: its rows are counted where they meet
+    rare = sets.select(F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("key"), "fp", "size").repartition("key")
+    rare = rare.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1")
+    # one that it has often may be in very many: counts are combined before the shuffle, and a join Spark can split brings them back
+    often = sets.select(F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("key"), "fp", "size")
+    counts = often.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    often = often.join(counts, F.col("key") == F.col("k")).select("key", "fp", "size", "members")
+    meeting = stored(rare.unionByName(often), "meeting")
+    many = F.col("members") > min(CROWDED, FEW)
+    few, crowd = meeting.filter(~many), meeting.filter(many)
     same = (F.col("x.key") == F.col("y.key")) & _similar_size()
     ends = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
     pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.fp") < F.col("y.fp"))).select(ends)
-    stars = crowd.filter(F.col("place") <= CENTERS).alias("x").join(crowd.alias("y"), same & (F.col("x.fp") != F.col("y.fp"))).select(ends)
-    first = _verified(pairs.unionByName(stars), docs, firsts)
-    if crowd.isEmpty():
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("fp"), "fp"))
+    centers = stored(crowd.withColumn("place", place).filter(F.col("place") <= CENTERS), "centers")
+    stars = centers.alias("x").join(crowd.alias("y"), same & (F.col("x.fp") != F.col("y.fp"))).select(ends)
+    pairs = stored(_plausible(stored(pairs.unionByName(stars).distinct(), "pairs"), sets), "plausible")
+    first = _linked(pairs, docs, firsts)
+    if centers.isEmpty():
         return first
-    roots = components(first, "a", "b")
-    crowd = stored(crowd.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", "place", F.coalesce("root", "fp").alias("root")), "crowd")
+    roots = stored(components(first, "a", "b"), "roots")
+    crowd = crowd.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
     parts = crowd.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("most"))
-    crowd = crowd.join(largest, F.col("key") == F.col("k")).select("key", "fp", "size", "place", "root", (F.col("root") == F.col("most.root")).alias("most"))
-    apart = same & (F.col("x.root") != F.col("y.root")) & (F.col("y.most") | (F.col("x.fp") < F.col("y.fp")))
-    untold = (F.col("x.place") > CENTERS) & (F.col("y.place") > CENTERS)
-    rest = crowd.filter(~F.col("most")).alias("x").join(crowd.alias("y"), apart & untold).select(ends)
-    return first.unionByName(_verified(rest, docs, firsts))
+    crowd = crowd.join(largest, F.col("key") == F.col("k")).select("key", "fp", "size", "root", (F.col("root") == F.col("most.root")).alias("most"))
+    # sets are compared within (shingle, size class): similar sizes lie in the same class or in neighbouring ones
+    crowd = crowd.join(sets.select(F.col("fp").alias("f"), "sketch"), F.col("fp") == F.col("f")).drop("f")
+    crowd = stored(crowd.withColumn("class", F.floor(F.log(F.col("size") + 0.0) / F.log(F.lit(1.25)))), "crowd")
+    near = crowd.filter(~F.col("most")).withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
+    apart = same & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.most") | (F.col("x.fp") < F.col("y.fp")))
+    allowed = _sketches_allow("x.sketch", "y.sketch", F.col("x.size") + F.col("y.size"))
+    rest = stored(near.alias("x").join(crowd.alias("y"), apart & allowed).select(ends).distinct(), "rest")
+    return first.unionByName(_linked(rest, docs, firsts))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """As ``near_duplicates``, of five-word shingle sets of similarity 0.8 or more; ``fp`` is the hash of the set."""
-    rows = stored(shingled(docs), "shingled")
-    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    firsts = stored(firsts.select("fp", "first", F.col("one.doc_id").alias("first_id"), F.col("one.text_hash").alias("first_hash")), "firsts")
-    roots = components(_wide_links(rows, docs, firsts), "a", "b")
-    return _labelled(rows, firsts, roots)
+    with scratch(docs.sparkSession):
+        rows = stored(shingled(docs), "shingled")
+        firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
+        firsts = stored(firsts.select("fp", "first", F.col("one.doc_id").alias("first_id"), F.col("one.text_hash").alias("first_hash")), "firsts")
+        # one row a set: that of its first document, equal rows counted once
+        of_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+        named = firsts.select(F.col("fp").alias("f"), "first_id", "first_hash")
+        sets = rows.join(named, F.col("fp") == F.col("f")).filter(of_first).select("fp", "size", "prefix", "rare", "sketch").dropDuplicates(["fp"])
+        roots = components(_wide_links(stored(sets, "distinct"), docs, firsts), "a", "b")
+        return stored(_labelled(rows, firsts, roots), "near_copies", keep=True)
 
 
 def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents that stay: of every component the one of smallest id (null ids last), of equal rows one."""
     found = groups(docs).filter("component_id is null or doc_id = component_id")
-    kept = found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
-    joined = docs.join(kept, same)
-    ordered = joined.withColumn("copy_number", F.row_number().over(_copies()))
-    return ordered.filter("copy_number = 1").select(*docs.columns)
-
-
-def _copies():
-    return Window.partitionBy("kept_id", "kept_hash").orderBy("source", "lang")
+    # whole numbers without nulls as keys: the join's partitioning then serves the window too, and texts are shuffled once
+    named = lambda text_hash: [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_own_id_"), F.xxhash64(text_hash, F.col("doc_id").isNull()).alias("_own_hash_")]
+    kept = found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash")).select(*named(F.col("text_hash")))
+    joined = docs.select("*", *named(F.xxhash64("text"))).join(kept, ["_own_id_", "_own_hash_"])
+    one = Window.partitionBy("_own_id_", "_own_hash_").orderBy("source", "lang")
+    return joined.withColumn("_copy_", F.row_number().over(one)).filter("_copy_ = 1").select(*docs.columns)
