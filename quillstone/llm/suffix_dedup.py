@@ -2,7 +2,8 @@
 
 A byte goes if a ``LENGTH``-byte string covers it that also starts anywhere else (same document included, overlaps
 count, judged on the input).  Deciding that needs, for every start, the longest common prefix with its neighbour in
-the sorted suffixes of the whole collection.  The job sorts only suffixes that can matter, in blocks of bounded size:
+the sorted suffixes of the whole collection.  The job sorts only suffixes that can matter, in blocks of bounded size.
+Equal texts are one text from the start: those of ``LENGTH`` bytes or more go as a whole, and one of them stands for all.
 
 1. *Runs.*  The anchor of a ``LENGTH``-byte string is its ``ANCHOR``-byte substring of smallest hash.  Consecutive
    starts with the same anchor form a run; equal strings have equal anchors at equal offsets, so they can only
@@ -12,12 +13,13 @@ the sorted suffixes of the whole collection.  The job sorts only suffixes that c
    travel as bitmaps of fixed size; a false hit costs a row and changes nothing, as counts are taken again exactly.
    Runs that are equal as a whole need no sorting.
 3. *Columns.*  Distinct runs of one anchor, aligned at it, are sorted column-wise: each round inserts one symbol of
-   every string in front of its suffix, updates the order by a stable distribution on that symbol (the round's section
-   of the transform) and the common prefixes of neighbours, reading the previous round's files and writing the next
-   ones sequentially.  Aligned strings only need suffixes of one round compared, so a round's section replaces a
-   rewrite of the whole transform and the work is linear in the text.
+   every string in front of its suffix, updates the order by a stable distribution on that symbol and the common prefixes
+   of neighbours, reading the previous round's order and prefixes from their file and writing the next ones sequentially.
+   Aligned strings only need suffixes of one round compared, so a round's section of the transform (its column in the round's order)
+   is used up within the round: no section is kept, nothing merges them, and the work is linear in the text.
 4. *Crowded anchors* (more than ``CROWDED`` distinct runs) are split by the longer substring that all starts of a narrower
-   offset range share, down to single starts, where equal strings are simply counted.  Nothing is dropped or capped.
+   offset range share, down to single starts, where equal strings are simply counted.  Their rows stay dealt out by whole run: only
+   the anchors' hashes, of which there can be at most rows / ``CROWDED``, travel.  Nothing is dropped or capped.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` keep all bytes; equal texts are removed as a whole
 (from ``LENGTH`` bytes on); a null id is a document like any other; rows that repeat an id get a row each; extra
@@ -42,6 +44,10 @@ from quillstone.llm.common import map_rows, mixed, powers, small_batches, stored
 LENGTH = 400
 ANCHOR = 200
 CROWDED = 512
+#: Crowded anchors and repeated runs (8 or 16 bytes each) up to this many travel to every task; more meet their rows by a join that Spark can split.
+FEW_CROWDED = 500_000
+#: The same for keys of texts that have copies (16 bytes each).
+FEW_COPIED = 1_000_000
 #: Offset ranges of the levels of crowded anchors; the last one has a single offset.
 WIDTHS = (29, 5, 1)
 BITMAP = 1 << 25
@@ -91,6 +97,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
 
 
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``key`` and ``text`` of every different text, once; ``key`` and ``n_bytes`` of those that occur more than once).
+
+    Only texts whose key occurs more than once are grouped; the keys travel while they are few, and are joined by a shuffle beyond.
+    """
+    texts = _texts(docs)
+    copied = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k")), "copied")
+    if copied.limit(FEW_COPIED + 1).count() <= FEW_COPIED:
+        copied = F.broadcast(copied)
+    same = F.col("key") == F.col("k")
+    one = stored(texts.join(copied, same, "left_semi").groupBy("key").agg(F.min("text").alias("text")), "copies")
+    every = texts.join(copied, same, "left_anti").select("key", "text").unionByName(one)
+    return every, one.select("key", F.octet_length("text").alias("n_bytes"))
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
     """``h`` of every anchor that occurs more than once; ``differ`` if its runs are not all equal."""
 
@@ -103,7 +124,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
         if hs:
             yield [np.concatenate(hs), np.concatenate(ts)]
 
-    found = map_rows(_texts(docs).select("text"), work, "h bigint, t bigint")
+    found = map_rows(docs.select("text"), work, "h bigint, t bigint")
     totals = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("least"), F.max("t").alias("most"))
     return totals.filter("n > 1").select("h", (F.col("least") != F.col("most")).alias("differ"))
 
@@ -145,14 +166,14 @@ def _hits(docs: DataFrame, repeated: np.ndarray, differing: np.ndarray) -> DataF
         if out:
             yield list(zip(*out))
 
-    return map_rows(_texts(docs).select("key", "text"), work, HITS)
+    return map_rows(docs.select("key", "text"), work, HITS)
 
 
 def column_sort(bodies: list[bytes], left: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For every string, which of its starts begin a ``length``-byte string that another string has at the same column.
 
     ``left``: the anchor's offset in each string; columns count from the anchor.  Files: ``symbols`` (one row per
-    column), ``state`` (order and common prefixes of the last round), ``transform`` and ``prefixes`` (all rounds).
+    column) and two of ``state`` (order and common prefixes): each round reads one from its start and writes the other.
     """
     n = len(bodies)
     size = np.fromiter(map(len, bodies), np.int64, n)
@@ -166,42 +187,45 @@ def column_sort(bodies: list[bytes], left: np.ndarray, counts: np.ndarray, lengt
         np.ascontiguousarray(rows.T).tofile(os.path.join(folder, "symbols"))
         del rows
         symbols = np.memmap(os.path.join(folder, "symbols"), np.uint8, "r", shape=(high - low, n))
-        np.zeros(0, np.int32).tofile(os.path.join(folder, "state"))
-        with open(os.path.join(folder, "transform"), "wb") as transform, open(os.path.join(folder, "prefixes"), "wb") as prefixes:
-            for column in range(high - 1, low - 1, -1):
-                state = np.fromfile(os.path.join(folder, "state"), np.int32)
-                order, common = state[: len(state) // 2], state[len(state) // 2 :]
-                stay = np.flatnonzero(first[order] <= column)
-                if len(stay) < len(order):  # strings that are used up leave; what they separated has the least prefix between
-                    if len(stay):
-                        cuts = np.concatenate([[0], stay[:-1] + 1])
-                        common = np.minimum.reduceat(common[: stay[-1] + 1], cuts)
-                    order, common = order[stay], common[: len(stay)]
-                new = np.flatnonzero(last - 1 == column).astype(np.int32)
-                if len(new):  # strings that end here come first: their suffixes so far are empty
-                    order = np.concatenate([new, order])
-                    common = np.concatenate([np.zeros(len(new), np.int32), common])
-                    if len(common) > len(new):
-                        common[len(new)] = 0
-                if not len(order):
-                    continue
-                symbol = symbols[column - low][order]
-                moved = np.argsort(symbol, kind="stable")
-                symbol = symbol[moved]
-                joint = np.zeros(len(order), np.int32)
-                same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
-                joint[same] = np.minimum(_least_between(common, moved[same - 1] + 1, moved[same] + 1) + 1, length)
-                order = order[moved]
-                np.concatenate([order, joint]).astype(np.int32).tofile(os.path.join(folder, "state"))
-                transform.write(symbol.tobytes())
-                prefixes.write(joint.astype(np.uint16).tobytes())
-                full = joint >= length
-                if full.any():
-                    full[:-1] |= full[1:]
-                    for i in order[full].tolist():
-                        at = column - int(first[i])
-                        if at < len(repeated[i]):
-                            repeated[i][at] = True
+        read, write = (open(os.path.join(folder, f"state{i}"), "w+b") for i in range(2))
+        held = 0
+        for column in range(high - 1, low - 1, -1):
+            read.seek(0)
+            state = np.frombuffer(read.read(held), np.int32)
+            order, common = state[: len(state) // 2], state[len(state) // 2 :]
+            stay = np.flatnonzero(first[order] <= column)
+            if len(stay) < len(order):  # strings that are used up leave; what they separated has the least prefix between
+                if len(stay):
+                    cuts = np.concatenate([[0], stay[:-1] + 1])
+                    common = np.minimum.reduceat(common[: stay[-1] + 1], cuts)
+                order, common = order[stay], common[: len(stay)]
+            new = np.flatnonzero(last - 1 == column).astype(np.int32)
+            if len(new):  # strings that end here come first: their suffixes so far are empty
+                order = np.concatenate([new, order])
+                common = np.concatenate([np.zeros(len(new), np.int32), common])
+                if len(common) > len(new):
+                    common[len(new)] = 0
+            if not len(order):
+                continue
+            symbol = symbols[column - low][order]
+            moved = np.argsort(symbol, kind="stable")
+            symbol = symbol[moved]
+            joint = np.zeros(len(order), np.int32)
+            same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+            joint[same] = np.minimum(_least_between(common, moved[same - 1] + 1, moved[same] + 1) + 1, length)
+            order = order[moved]
+            write.seek(0)
+            held = write.write(np.concatenate([order, joint]).astype(np.int32).tobytes())
+            read, write = write, read
+            full = joint >= length
+            if full.any():
+                full[:-1] |= full[1:]
+                for i in order[full].tolist():
+                    at = column - int(first[i])
+                    if at < len(repeated[i]):
+                        repeated[i][at] = True
+        read.close()
+        write.close()
         del symbols
     return repeated
 
@@ -275,30 +299,53 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
     return map_rows(rows.select("key", "start", "count", "left", "h", "body", "full"), work, SPLIT)
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows whose (``h``, ``t``) occurs more than once.
+
+    One run may be a large part of all rows: the repeated pairs travel while they are few, and otherwise are a table of their own, so that the
+    join has plain shuffles on both sides, which Spark can split.
+    """
+    times = rows.groupBy("h", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("h2"), F.col("t").alias("t2"))
+    times = stored(times, "times")
+    if times.limit(FEW_CROWDED + 1).count() <= FEW_CROWDED:
+        times = F.broadcast(times)
+    return rows.join(times, (F.col("h") == F.col("h2")) & (F.col("t") == F.col("t2")), "left_semi")
+
+
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of anchors with 2 to ``CROWDED`` distinct runs, rows of crowded anchors); anchors whose runs are all repeated as a whole need no sorting."""
+    groups = rows.groupBy(F.col("h").alias("g")).agg(F.count(F.lit(1)).alias("members"), F.min(F.col("full").cast("int")).alias("all_full"))
+    groups = stored(groups.filter("members > 1 and all_full = 0"), "groups")
+    crowded = groups.filter(F.col("members") > CROWDED).select("g")
+    if crowded.limit(FEW_CROWDED + 1).count() <= FEW_CROWDED:
+        crowded = F.broadcast(crowded)
+    same = F.col("h") == F.col("g")
+    calm = rows.join(crowded, same, "left_anti").join(groups.filter(F.col("members") <= CROWDED), same).drop("g", "members", "all_full")
+    return calm, rows.join(crowded, same, "left_semi")
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """``key`` (of a text), ``start``, ``count``: ranges of starts whose strings also start elsewhere."""
     small_batches(docs.sparkSession)
-    anchors = stored(_anchors(docs), "anchors")
-    hits = stored(_hits(docs, _bitmap(anchors), _bitmap(anchors.filter("differ"))), "hits")
-    times = hits.groupBy("h", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("h2"), F.col("t").alias("t2"))
-    found = hits.join(times, (F.col("h") == F.col("h2")) & (F.col("t") == F.col("t2"))).select("key", "start", "count")
+    texts, copied = distinct_texts(docs)
+    anchors = stored(_anchors(texts), "anchors")
+    hits = stored(_hits(texts, _bitmap(anchors), _bitmap(anchors.filter("differ"))), "hits")
+    found = _repeated(hits).select("key", "start", "count")
+    whole = copied.filter(F.col("n_bytes") >= LENGTH).select("key", F.lit(0).alias("start"), (F.col("n_bytes") - LENGTH + 1).alias("count"))
+    found = found.unionByName(whole)
     one = F.min(F.struct("key", "start", "count", "left", "body")).alias("one")
     rows = hits.filter("body is not null").groupBy("h", "t").agg(one, (F.count(F.lit(1)) > 1).alias("full")).select("h", "t", "one.*", "full")
-    for width in (*WIDTHS, None):
-        groups = rows.groupBy(F.col("h").alias("g")).agg(F.count(F.lit(1)).alias("members"), F.min(F.col("full").cast("int")).alias("all_full"))
-        rows = stored(rows.join(groups.filter("members > 1 and all_full = 0"), F.col("h") == F.col("g")), "rows")
-        found = found.unionByName(_sorted_blocks(rows.filter(F.col("members") <= CROWDED)))
-        crowd = rows.filter(F.col("members") > CROWDED)
-        if width is None or crowd.isEmpty():
-            break
+    for width in WIDTHS:
+        rows = stored(rows, "rows")
+        calm, crowd = _grouped(rows)
+        found = found.unionByName(_sorted_blocks(calm))
+        if crowd.isEmpty():
+            return found
         parts = stored(_split(crowd, width), "parts")
         again = parts.groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("any_full"), one)
-        equal = again.filter("n > 1").select(F.col("h").alias("h2"), F.col("t").alias("t2"))
-        found = found.unionByName(parts.filter("not full").join(equal, (F.col("h") == F.col("h2")) & (F.col("t") == F.col("t2"))).select("key", "start", "count"))
+        found = found.unionByName(_repeated(parts).filter("not full").select("key", "start", "count"))
         rows = again.select("h", "t", "one.*", (F.col("any_full") | (F.col("n") > 1)).alias("full"))
-        if width == 1:
-            break
-    return found
+    return found  # of a single offset: equal strings have been counted
 
 
 KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -306,7 +353,8 @@ KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sh
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and (``with_bytes``) the ``kept`` bytes of every document."""
-    ranges = repeated_starts(docs).groupBy(F.col("key").alias("range_key")).agg(F.collect_set(F.struct("start", "count")).alias("ranges"))
+    ranges = repeated_starts(docs)
+    ranges = ranges.groupBy(F.col("key").alias("range_key")).agg(F.collect_set(F.struct("start", "count")).alias("ranges"))
     ranges = stored(ranges.select("range_key", "ranges.start", "ranges.count"), "ranges")
     joined = _texts(docs).join(ranges, F.col("key") == F.col("range_key"), "left").select("doc_id", "text", "start", "count")
 
