@@ -23,13 +23,6 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns], F.lit(""))
 
 
-def as_list(column: Column, data_type: str, splitter) -> Column:
-    """Type drift: an array stays, a text goes through ``splitter``."""
-    if data_type.startswith("array"):
-        return F.filter(F.coalesce(column, F.array().cast(EMPTY)), lambda x: F.trim(x) != "")
-    return splitter(column)
-
-
 def fold_tables(parts: list[DataFrame]) -> DataFrame:
     """SET-05: tables of the same name are concatenated; absent columns become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions import text as T
 from quillstone.functions import values as V
 from quillstone.operators import align as A
 from quillstone.operators import merge as M
