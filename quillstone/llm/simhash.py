@@ -22,7 +22,7 @@ that similar share one of their first ``size - ceil(0.8 size) + 1``.  The order
 the work, never the result.  Before any set travels, pairs are cut by exact bounds: a *sketch* has a bit for every slot into which an odd
 number of shingles falls, so the bits in which two sketches differ are at most the shingles in which the sets differ.  What is left is nearly
 all similar; of every set one candidate is checked on whole sets first, then those that still join different components.
-Where more than ``FEW`` sets share a shingle, they meet ``CENTERS`` of them first, the same ones whatever shingle they share, and what is
+Where more than ``CROWDED`` sets share a shingle, they meet ``CENTERS`` of them first, others for every shingle, and what is
 still in different components is then compared by sketches, members outside the shingle's largest component with all of other components.
 """
 
@@ -47,8 +47,7 @@ SHINGLE = 3
 #: The wider net: words of a shingle, similarity in fifths, centers of a crowd, sampled texts, occurrences that make a shingle frequent.
 WIDE = 5
 SIMILAR = 4
-CENTERS = 4
-FEW = 32
+CENTERS = 8
 SAMPLE, FREQUENT = 10_000, 3
 #: A sketch has one to this many 64-bit words, about a bit a shingle; bits of the bitmap of sets that are needed.
 SKETCH = 256
@@ -312,12 +311,12 @@ def _wide_links(sets: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFram
     counts = often.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     often = often.join(counts, F.col("key") == F.col("k")).select("key", "fp", "size", "members")
     meeting = stored(rare.unionByName(often), "meeting")
-    many = F.col("members") > min(CROWDED, FEW)
+    many = F.col("members") > CROWDED
     few, crowd = meeting.filter(~many), meeting.filter(many)
     same = (F.col("x.key") == F.col("y.key")) & _similar_size()
     ends = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
     pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.fp") < F.col("y.fp"))).select(ends)
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("fp"), "fp"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp"))
     centers = stored(crowd.withColumn("place", place).filter(F.col("place") <= CENTERS), "centers")
     stars = centers.alias("x").join(crowd.alias("y"), same & (F.col("x.fp") != F.col("y.fp"))).select(ends)
     pairs = stored(_plausible(stored(pairs.unionByName(stars).distinct(), "pairs"), sets), "plausible")
