@@ -83,13 +83,13 @@ HIDDEN_PARTS = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def page_labels(html: Column | str, limit: int = 60) -> Column:
-    """SRC-08: the first ``limit`` distinct visible texts of 2..79 characters, in page order."""
+def page_labels(html: Column | str, limit: int = 60, references: tuple[tuple[str, str], ...] = REFERENCES) -> Column:
+    """SRC-08: the first ``limit`` distinct visible texts of 2..79 characters, in page order; ``references`` are read."""
     visible = F.regexp_replace(T.text_or_empty(html), HIDDEN_PARTS, "<>")
     pieces = F.split(visible, r"<[^>]*>")
 
     def read(piece: Column) -> Column:
-        for name, character in REFERENCES:
+        for name, character in references:
             piece = F.replace(piece, F.lit(name), F.lit(character))
         return T.collapse_spaces(piece)
 
