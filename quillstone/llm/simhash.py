@@ -22,8 +22,10 @@ that similar share one of their first ``size - ceil(0.8 size) + 1``.  The order
 the work, never the result.  Before any set travels, pairs are cut by exact bounds: a *sketch* has a bit for every slot into which an odd
 number of shingles falls, so the bits in which two sketches differ are at most the shingles in which the sets differ.  What is left is nearly
 all similar; of every set one candidate is checked on whole sets first, then those that still join different components.
-Where more than ``CROWDED`` sets share a shingle, they meet ``CENTERS`` of them first, others for every shingle, and what is
-still in different components is then compared by sketches, members outside the shingle's largest component with all of other components.
+Where more than ``CROWDED`` sets share a shingle, those outside the shingle's largest component meet ``CENTERS`` members of it, others at every
+turn but the same ones for all shingles, as long as a turn still links enough of them: a group of near copies takes pairs in proportion to its size.
+Centers are those that share most crowded shingles, which the least changed copies do.
+What is still in different components is then compared by sketches, members outside the shingle's largest component with all of other components.
 """
 
 from __future__ import annotations
@@ -44,10 +46,11 @@ from quillstone.llm.components import components
 PIVOTS = 18
 CROWDED = 256
 SHINGLE = 3
-#: The wider net: words of a shingle, similarity in fifths, centers of a crowd, sampled texts, occurrences that make a shingle frequent.
+#: The wider net: words of a shingle, similarity in fifths, centers of a crowd and most turns, sampled texts, occurrences that make a shingle frequent.
 WIDE = 5
 SIMILAR = 4
-CENTERS = 8
+CENTERS = 2
+TURNS = 12
 SAMPLE, FREQUENT = 10_000, 3
 #: A sketch has one to this many 64-bit words, about a bit a shingle; bits of the bitmap of sets that are needed.
 SKETCH = 256
@@ -316,18 +319,12 @@ def _wide_links(sets: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFram
     same = (F.col("x.key") == F.col("y.key")) & _similar_size()
     ends = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
     pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.fp") < F.col("y.fp"))).select(ends)
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp"))
-    centers = stored(crowd.withColumn("place", place).filter(F.col("place") <= CENTERS), "centers")
-    stars = centers.alias("x").join(crowd.alias("y"), same & (F.col("x.fp") != F.col("y.fp"))).select(ends)
-    pairs = stored(_plausible(stored(pairs.unionByName(stars).distinct(), "pairs"), sets), "plausible")
+    pairs = stored(_plausible(stored(pairs.distinct(), "pairs"), sets), "plausible")
     first = _linked(pairs, docs, firsts)
-    if centers.isEmpty():
+    if crowd.isEmpty():
         return first
-    roots = stored(components(first, "a", "b"), "roots")
-    crowd = crowd.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
-    parts = crowd.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("most"))
-    crowd = crowd.join(largest, F.col("key") == F.col("k")).select("key", "fp", "size", "root", (F.col("root") == F.col("most.root")).alias("most"))
+    first = _turns(crowd, first, sets, docs, firsts)
+    crowd = _rooted(crowd, first)
     # sets are compared within (shingle, size class): similar sizes lie in the same class or in neighbouring ones
     crowd = crowd.join(sets.select(F.col("fp").alias("f"), "sketch"), F.col("fp") == F.col("f")).drop("f")
     crowd = stored(crowd.withColumn("class", F.floor(F.log(F.col("size") + 0.0) / F.log(F.lit(1.25)))), "crowd")
@@ -338,6 +335,37 @@ def _wide_links(sets: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFram
     return first.unionByName(_linked(rest, docs, firsts))
 
 
+def _rooted(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """``key``, ``fp``, ``size``, ``root`` of every member of a crowd, and whether that is the shingle's largest component."""
+    roots = stored(components(links, "a", "b"), "roots")
+    crowd = crowd.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    parts = crowd.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("most"))
+    return crowd.join(largest, F.col("key") == F.col("k")).select("key", "fp", "size", "root", (F.col("root") == F.col("most.root")).alias("most"))
+
+
+def _turns(crowd: DataFrame, links: DataFrame, sets: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``links`` and those of members outside a shingle's largest component with a few of that component, turn by turn.
+
+    The order of the centers does not depend on the shingle, so shingles of one group ask for the same pairs.  Turns end when one links less than
+    an eighth of those that are outside: whatever they leave is compared as a whole.
+    """
+    crowds = stored(crowd.groupBy(F.col("fp").alias("f")).agg(F.count(F.lit(1)).alias("crowds")), "crowds")
+    for turn in range(TURNS):
+        rooted = stored(_rooted(crowd, links), "rooted")
+        outside = rooted.filter(~F.col("most"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("crowds"), F.xxhash64("fp"), "fp"))
+        inside = rooted.filter("most").join(crowds, F.col("fp") == F.col("f"))
+        centers = inside.withColumn("place", place).filter((F.col("place") <= (turn + 1) * CENTERS) & (F.col("place") > turn * CENTERS))
+        ends = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
+        stars = centers.alias("x").join(outside.alias("y"), (F.col("x.key") == F.col("y.key")) & _similar_size()).select(ends).distinct()
+        found = _linked(stored(_plausible(stars, sets), "plausible"), docs, firsts)
+        links = stored(links.unionByName(found), "linked")
+        if 8 * found.count() <= outside.select("fp").distinct().count():
+            break
+    return links
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """As ``near_duplicates``, of five-word shingle sets of similarity 0.8 or more; ``fp`` is the hash of the set."""
     with scratch(docs.sparkSession):

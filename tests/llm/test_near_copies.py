@@ -140,3 +140,26 @@ def test_near_copy_stage_drops_changed_copies(spark):
     copy[50] = copy[150] = "other"
     docs = documents(spark, [" ".join(text), " ".join(copy), prose(2, 200)])
     assert sorted(x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
+
+
+def test_one_large_group_takes_few_pairs(spark, monkeypatch):
+    """Pairs of a group of near copies grow with its size, not with its square."""
+    monkeypatch.setattr(sh, "CROWDED", 16)
+    base, texts, r = prose(5, 150).split(), [], random.Random(9)
+    for k in range(160):  # two words changed: most pairs are similar, some only by way of others
+        copy = list(base)
+        for _ in range(2):
+            copy[r.randrange(len(copy))] = f"other{k}"
+        texts.append(" ".join(copy))
+    made, keep = [], sh.stored
+
+    def counted(df, name, **kept):
+        rows = keep(df, name, **kept)
+        if name in ("pairs", "plausible", "rest"):
+            made.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(sh, "stored", counted)
+    got = {x["doc_id"]: x["component_id"] for x in sh.near_copies(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(similar_components(texts)))
+    assert sum(made) < 15 * len(texts)
