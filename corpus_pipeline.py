@@ -23,7 +23,10 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that of smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that of smallest id.
+
+    SimHash with pivot tables links the nearest copies first, prefix filtering finds the rest; every link is checked on the shingle sets.
+    """
     from quillstone.llm.simhash import near_copies, one_of_each
 
     return one_of_each(docs.select(*COLUMNS), near_copies)

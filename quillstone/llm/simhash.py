@@ -17,7 +17,8 @@ non-null document id (null if it has none); rows that repeat an id each get a ro
 table gives no rows.
 
 ``near_copies`` is the wider net of a near-duplicate stage: five-word shingles, Jaccard similarity of ``SIMILAR`` fifths or more, which no 64
-bits can tell apart.  Candidates come from prefix filtering, which loses no pair: with all shingles in one order, two sets
+bits can tell apart.  The first candidates are those of SimHash and pivot tables as above, on the five-word sets' own fingerprints: the nearest copies, linked
+by few pairs.  The others come from prefix filtering, which loses no pair: with all shingles in one order, two sets
 that similar share one of their first ``size - ceil(0.8 size) + 1``.  The order (frequent shingles of a sample last, then by hash) decides
 the work, never the result.  Before any set travels, pairs are cut by exact bounds: a *sketch* has a bit for every slot into which an odd
 number of shingles falls, so the bits in which two sketches differ are at most the shingles in which the sets differ.  What is left is nearly
@@ -84,11 +85,22 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     total = np.zeros(64, np.int64)
     for lo in range(0, len(starts), 1 << 15):
         shingles = [joined[a:b] for a, b in zip(starts[lo : lo + (1 << 15)], ends[lo : lo + (1 << 15)])]
-        hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles))
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total += bit_counts(np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles)))
+    return _majority(total, len(starts))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, the highest first."""
+    total = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 15):
+        bits = np.unpackbits(hashes[lo : lo + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         for part in range(0, len(bits), 255):
             total += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * total > len(starts)).tobytes(), "big")
+    return total
+
+
+def _majority(total: np.ndarray, count: int) -> int:
+    return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -216,7 +228,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``fp`` (hash of the shingle set), its ``size``, ``prefix``, ``rare`` (how many of that the sample had not often) and ``sketch``."""
+    """``doc_id``, ``text_hash``, ``fp`` (hash of the shingle set), its SimHash ``sim``, ``size``, ``prefix``, ``rare`` (how many of that the sample had not often) and ``sketch``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
@@ -225,12 +237,12 @@ def shingled(docs: DataFrame) -> DataFrame:
         prints = [signed(xxh64_intdigest(s.tobytes(), 42)) for s in sets]
         prefixes = [prefix(s, *shared.value) for s in sets]
         yield [
-            batch["doc_id"].cast(pa.int64()), batch["text_hash"], prints, list(map(len, sets)), [p.view(np.int64) for p, _ in prefixes],
+            batch["doc_id"].cast(pa.int64()), batch["text_hash"], prints, [signed(_majority(bit_counts(s), len(s))) for s in sets], list(map(len, sets)), [p.view(np.int64) for p, _ in prefixes],
             [rare for _, rare in prefixes], [sketch(s) for s in sets],
         ]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(rows, work, "doc_id bigint, text_hash bigint, fp bigint, size int, prefix array<bigint>, rare int, sketch array<bigint>", rows=2_000)
+    return map_rows(rows, work, "doc_id bigint, text_hash bigint, fp bigint, sim bigint, size int, prefix array<bigint>, rare int, sketch array<bigint>", rows=2_000)
 
 
 def _similar_size() -> Column:
@@ -297,13 +309,26 @@ def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Links among ``pairs``, enough to connect all that are similar: one pair of every set first, then those still apart."""
+def _linked(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, early: DataFrame | None = None) -> DataFrame:
+    """Links among ``pairs``, enough to connect all that are similar: ``early`` ones and one pair of every set first, then those still apart."""
+    some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    if early is not None:
+        some, pairs = stored(some.unionByName(early).distinct(), "some"), pairs.unionByName(early)
     sets = _needed_sets(pairs, docs, firsts)
-    first = _similar(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+    first = _similar(some, sets)
     return first.unionByName(_similar(stored(_across(pairs, first), "apart"), sets))
 
 
+def _print_pairs(sets: DataFrame) -> DataFrame:
+    """``a`` and ``b``: sets whose SimHashes are equal or linked, each SimHash standing for its smallest set; enough to connect all such."""
+    prints = stored(sets.groupBy("sim").agg(F.min("fp").alias("one")), "prints")
+    equal = sets.join(prints, "sim").select(F.col("one").alias("a"), F.col("fp").alias("b")).filter("a <> b")
+    near = links(prints.select(F.col("sim").alias("fp"))).withColumnsRenamed({"a": "sim_a", "b": "sim_b"})
+    for k in "ab":
+        near = near.join(prints.select(F.col("sim").alias(f"sim_{k}"), F.col("one").alias(f"one_{k}")), f"sim_{k}")
+    return equal.unionByName(near.select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b")))
+
+
 def _wide_links(sets: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """``a`` and ``b``: linked shingle sets (similarity of ``SIMILAR`` fifths at least), enough to connect all that are linked."""
     # a shingle that the sample has not often is in few texts: its rows are counted where they meet
@@ -320,7 +345,7 @@ def _wide_links(sets: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFram
     ends = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
     pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.fp") < F.col("y.fp"))).select(ends)
     pairs = stored(_plausible(stored(pairs.distinct(), "pairs"), sets), "plausible")
-    first = _linked(pairs, docs, firsts)
+    first = _linked(pairs, docs, firsts, stored(_plausible(_print_pairs(sets), sets), "prints"))
     if crowd.isEmpty():
         return first
     first = _turns(crowd, first, sets, docs, firsts)
@@ -375,7 +400,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         # one row a set: that of its first document, equal rows counted once
         of_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
         named = firsts.select(F.col("fp").alias("f"), "first_id", "first_hash")
-        sets = rows.join(named, F.col("fp") == F.col("f")).filter(of_first).select("fp", "size", "prefix", "rare", "sketch").dropDuplicates(["fp"])
+        sets = rows.join(named, F.col("fp") == F.col("f")).filter(of_first).select("fp", "sim", "size", "prefix", "rare", "sketch").dropDuplicates(["fp"])
         roots = components(_wide_links(stored(sets, "distinct"), docs, firsts), "a", "b")
         return stored(_labelled(rows, firsts, roots), "near_copies", keep=True)
 

@@ -163,3 +163,13 @@ def test_one_large_group_takes_few_pairs(spark, monkeypatch):
     got = {x["doc_id"]: x["component_id"] for x in sh.near_copies(documents(spark, texts)).collect()}
     assert got == dict(enumerate(similar_components(texts)))
     assert sum(made) < 15 * len(texts)
+
+
+def test_near_copies_start_from_simhash(spark, monkeypatch):
+    """The named method proposes the first candidates: sets with near SimHashes of their five-word shingles, found by pivot tables."""
+    proposed, plain = [], sh._print_pairs
+    monkeypatch.setattr(sh, "_print_pairs", lambda sets: proposed.append(plain(sets).collect()) or plain(sets))
+    base = prose(8, 900).split()
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), prose(9, 900)]
+    got = {x["doc_id"]: x["component_id"] for x in sh.near_copies(documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2} and len(proposed) == 1 and len(proposed[0]) == 1
