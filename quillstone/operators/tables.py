@@ -20,12 +20,14 @@ def table_key(resource_id: Column, title: Column) -> Column:
     return F.coalesce(key(text, RESOURCE_LABEL), key(F.coalesce(title, F.lit("")), TABLE_LABEL), F.lit(""))
 
 
-def captioned_tables(lines: DataFrame, captions: DataFrame) -> DataFrame:
+def captioned_tables(lines: DataFrame, captions: DataFrame, only: Column | None = None, best: bool = False) -> DataFrame:
     """(label_key, label, title, doc_id, ordinal, columns, rows, context_before, extraction_status) of every caption line.
 
     lines(doc_id, ordinal, text), trimmed; captions(label_key, label, title).  Islands of consecutive lines with a pipe are found by
     one window over a document's lines, which also tells every line the next island's start and the last plain line before it;
     a caption then joins the lines of its island.  Short rows are dropped; of columns of one name the last counts.
+    ``only``, a condition on label_key and doc_id, says which captions count, and ``best`` keeps those of ``best_tables``: both hold before
+    any table is put together, so a line that is a caption of many numbers is not carried on for each of them.
     """
     titles = captions.select("label_key", "label", "title").withColumn("_title", F.trim("title")).dropDuplicates(["label_key", "_title"])
     order = Window.partitionBy("doc_id").orderBy("ordinal")
@@ -41,11 +43,15 @@ def captioned_tables(lines: DataFrame, captions: DataFrame) -> DataFrame:
             "_before": F.last("_plain", True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
-    found = rows.join(titles, F.trim(F.col("text")) == F.col("_title")).select(
+    found = rows.join(titles, F.trim(F.col("text")) == F.col("_title"))
+    # before anything else is carried on: a line may be a caption of very many numbers
+    found = (found if only is None else found.where(only)).select(
         "doc_id", F.col("ordinal").alias("_caption"), "label_key", "label", "title",
         F.when(F.col("_next") <= F.col("ordinal") + REACH, F.col("_next")).alias("_island"),
         F.coalesce(F.when(F.col("_before.ordinal") >= F.col("ordinal") - CONTEXT, F.trim("_before.text")), F.lit("")).alias("context_before"),
     )
+    if best:
+        found = best_tables(found.withColumnRenamed("_caption", "ordinal")).withColumnRenamed("ordinal", "_caption")
     cells = F.transform(F.split("text", r"\|"), lambda c: F.trim(c))
     parts = rows.where("_pipe").select("doc_id", "_island", "ordinal", cells.alias("cells"))
     own = found.where("_island is not null").select("doc_id", "_caption", "label_key", "_island").join(parts, ["doc_id", "_island"])

@@ -222,7 +222,7 @@ def _(kb: KB) -> DataFrame:
     text = rows.select("doc_id", (F.col("i") + 1).alias("ordinal"), F.translate("line", ",", "|").alias("text"))
     key = lambda c: F.concat((c % 40).cast("string"), F.lit("-"), (c % 7).cast("string"))
     captions = text.where(~F.contains("text", F.lit("|"))).select(key(F.col("doc_id")).alias("label_key"), F.concat(F.lit("表"), key(F.col("doc_id"))).alias("label"), F.col("text").alias("title"))
-    tables = B.captioned_tables(text, captions).where(F.col("label_key") == key(F.col("doc_id")))
+    tables = B.captioned_tables(text, captions, only=F.col("label_key") == key(F.col("doc_id")), best=True)
     number = F.concat(F.lit("table_"), (F.col("ordinal") % 40).cast("string"), F.lit("_"), (F.col("ordinal") % 7).cast("string"))
     asked = kb.resources.select(
         F.concat(number, F.lit(" "), "resource_id").alias("resource_id"), F.lit("").alias("title"), "status", F.lit("").alias("qa_use"), F.lit("").alias("teaching_use"), "keywords"

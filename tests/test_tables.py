@@ -83,3 +83,15 @@ def test_snapshots_change_in_one_step(spark, tmp_path):
     assert rows("cards") == [("b", 2, "v 2/é")] and S.read_snapshot(spark, root, "cards", "v1").columns == ["id", "x", "version_id"]
     with pytest.raises(ValueError, match="no snapshot"):
         S.read_snapshot(spark, root, "nothing")
+
+
+def test_best_captions_before_tables_are_built(spark):
+    """A line that is a caption of many numbers: the same best tables, picked before any lines are gathered."""
+    lines = spark.createDataFrame([(d, i, t) for d in range(6) for i, t in enumerate(["same", "a|b", f"{d}|2", "end", "same"])], "doc_id bigint, ordinal bigint, text string")
+    captions = spark.createDataFrame([(f"1-{n}", f"t{n}", "same") for n in range(4)], "label_key string, label string, title string")
+    only = F.col("label_key") == F.concat(F.lit("1-"), (F.col("doc_id") % 4).cast("string"))
+    shown = lambda df: sorted(str(r.asDict()) for r in df.select(*sorted(df.columns)).collect())
+    every = B.captioned_tables(lines, captions).where(only)
+    picked = B.captioned_tables(lines, captions, only=only, best=True)
+    assert picked.count() == 4 and every.count() == 12
+    assert shown(picked) == shown(B.best_tables(every))
