@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions import similarity, text as T
+from quillstone.functions import similarity, support, text as T
 from quillstone.functions import values as V
 from quillstone.operators import relations as R
 from quillstone.plans.kb import KB, compact, lines, norm, sql, toks
@@ -275,10 +275,9 @@ def _(kb: KB) -> DataFrame:
 
 def line_support(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, line, result) of every line, from 1."""
-    rows = docs.select("doc_id", "lang", F.split("text", "\n").alias("_parts")).select("*", F.explode(F.sequence(F.lit(1), F.size("_parts"))).alias("line"))
-    rest = F.array_join(F.filter("_parts", lambda x, i: i != F.col("line") - 1), "")
-    own = F.element_at("_parts", F.col("line"))
-    return rows.select("doc_id", "lang", F.col("line").cast("long").alias("line"), T.verification_status(T.compact_verify(own), T.compact_verify(rest)).alias("result"))
+    parts = F.transform(F.split("text", "\n"), T.compact_verify)  # compacting drops characters, so a text's lines compact are the compact text
+    rows = docs.repartition("doc_id").select("doc_id", "lang", support.lines_status(parts).alias("_results"))
+    return rows.select("doc_id", "lang", F.posexplode("_results").alias("_place", "result")).select("doc_id", "lang", (F.col("_place") + 1).cast("long").alias("line"), "result")
 
 
 @register("txt_21_terms", TERMS_SQL)
