@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import similarity
 from quillstone.functions import text as T
-from quillstone.operators.align import line_windows, mapping_score, mapping_status
+from quillstone.operators.align import dealt, line_windows, mapping_score, mapping_status
 from quillstone.operators.matching import BROADCAST_BYTES, salted_join
 from quillstone.operators.topk import keep_first, top_k
 
@@ -76,18 +76,27 @@ def _ranked(scored: DataFrame) -> DataFrame:
     return top_k(by_line, ["chunk_id"], [F.desc("score"), F.col("doc_id"), F.col("line_start"), F.col("line_end")], CANDIDATES)
 
 
+def _mapping_total(title: float, definition: float, excerpt: float, share: float, matched: int, known: bool) -> float:
+    """At least ``mapping_score`` on numbers; it only decides what is not measured."""
+    if not known:
+        return 0.0
+    support = max(definition, excerpt, share) >= 0.20 - 1e-9
+    more = (0.07 if title >= 0.88 - 1e-9 and support else 0.0) + (0.04 if title >= 0.76 - 1e-9 and matched >= 2 else 0.0)
+    return min(1.0, 0.30 * title + 0.25 * definition + 0.25 * excerpt + 0.20 * share + more)
+
+
 def candidates(chunks: DataFrame, windows: DataFrame, first_lines: DataFrame) -> DataFrame:
     """Ranked candidates (chunk_id, rank, doc_id, line_start, line_end, text, title, definition, excerpt, matched, score).
 
     chunks(chunk_id, section_id, section_title, chunk_summary, source_excerpt, kp_title, definition, aliases, keywords,
     key_points); windows as of ``section_windows``; first_lines(doc_id, ordinal, text).  The sequence matcher runs in Python, so each window
-    first gets a lower and an upper bound from what the JVM knows: containment, shared trigrams, terms and lengths.  The fifth
-    lower bound over different first lines is a floor; only windows whose upper bound reaches it are matched.
+    first gets an upper bound from what the JVM knows: containment, shared trigrams, terms and lengths.  A task matches only windows whose bound
+    reaches the fifth best score over different first lines that it has found.
     """
     asked = _queries(chunks)
     firsts = first_lines.select("doc_id", F.col("ordinal").alias("line_start"), T.compact_mapping("text").alias("_first"))
     rows = windows.select("section_id", "doc_id", "line_start", "line_end", "text", T.compact_mapping("text").alias("_text")).join(firsts, list(POSITION))
-    rows = rows.select("*", T.ngrams(F.col("_text"), 3).alias("_grams"))
+    rows = dealt(rows, "doc_id", "line_start").select("*", T.ngrams(F.col("_text"), 3).alias("_grams"))
     sized = asked.agg(F.coalesce(F.sum(F.lit(6) * (F.length("_definition") + F.length("_excerpt") + 100)), F.lit(0))).first()[0]  # texts and trigrams
     pairs = rows.join(F.broadcast(asked), "section_id") if sized <= BROADCAST_BYTES else salted_join(rows, asked, ["section_id"], "doc_id")
 
@@ -110,24 +119,19 @@ def candidates(chunks: DataFrame, windows: DataFrame, first_lines: DataFrame) ->
         return F.when(known, mapping_score(title, definition, excerpt, share, F.col("matched"))).otherwise(0.0)
 
     ceiling = lambda c: F.coalesce(f"_{c[0]}", 0.45 * similarity.ratio_bound(F.col(f"_{c}"), F.col("_text")) + 0.55 * F.col(f"_{c[0]}_shared"))
-    floor = lambda c: F.coalesce(f"_{c[0]}", 0.55 * F.col(f"_{c[0]}_shared"))
     title_most = F.coalesce("_t", 0.6 * similarity.ratio_bound(F.col("_title"), F.col("_first")))
-    low = total(F.coalesce("_t", F.lit(0.0)), *map(floor, parts))
-    high = total(title_most, *map(ceiling, parts))
-    bounded = facts.select("*", low.alias("_low"), high.alias("_high"))
-    by_line = bounded.groupBy("chunk_id", *POSITION).agg(F.max("_low").alias("_low"))
-    floors = top_k(by_line, ["chunk_id"], [F.desc("_low"), *POSITION], CANDIDATES)
-    needed = floors.groupBy("chunk_id").agg(F.when(F.count(F.lit(1)) == CANDIDATES, F.min("_low")).otherwise(0.0).alias("_needed"))
-    kept = bounded.join(F.broadcast(needed) if sized <= BROADCAST_BYTES else needed, "chunk_id").where("_high >= _needed")
-
-    ratio = lambda settled, left, right: similarity.sequence_ratio(F.when(F.col(settled).isNull(), F.col(left)), F.when(F.col(settled).isNull(), F.col(right)))
-    measured = kept.select(
-        "*", ratio("_t", "_title", "_first").alias("_t_ratio"), *[ratio(f"_{c[0]}", f"_{c}", "_text").alias(f"_{c[0]}_ratio") for c in parts]
+    bounded = facts.select(
+        "chunk_id", "doc_id", "line_start", "line_end", "text", "_text", "_first", "_title", *[f"_{c}" for c in parts], "matched", share.alias("_share"),
+        known.alias("_known"), total(title_most, *map(ceiling, parts)).alias("_high"),
+        F.col("_t").alias("title_known"), F.lit(0.0).alias("title_base"),
+        *[F.col(f"_{c[0]}").alias(f"{c}_known") for c in parts], *[(0.55 * F.col(f"_{c[0]}_shared")).alias(f"{c}_base") for c in parts],
     )
-    exact = lambda c: F.coalesce(f"_{c[0]}", 0.45 * F.col(f"_{c[0]}_ratio") + 0.55 * F.col(f"_{c[0]}_shared"))
+    asked_parts = [("title", "_title", "_first", 0.6), *[(c, f"_{c}", "_text", 0.45) for c in parts]]
+    measured = similarity.best_ratios(bounded, "chunk_id", list(POSITION), asked_parts, "_high", _mapping_total, ["_share", "matched", "_known"], CANDIDATES)
+    share = F.col("_share")
     known_parts = measured.select(
-        "chunk_id", "doc_id", "line_start", "line_end", "text", "_text", "matched", "_asked", F.coalesce("_t", 0.6 * F.col("_t_ratio")).alias("title"),
-        *[exact(c).alias(c) for c in parts],
+        "chunk_id", "doc_id", "line_start", "line_end", "text", "_text", "matched", "_share", F.coalesce("title_known", 0.6 * F.col("title_ratio")).alias("title"),
+        *[F.coalesce(f"{c}_known", 0.45 * F.col(f"{c}_ratio") + F.col(f"{c}_base")).alias(c) for c in parts],
     )
     scored = known_parts.withColumn("score", total(*[F.col(c) for c in ("title", *parts)]))
     return _ranked(scored).select("chunk_id", "rank", "doc_id", "line_start", "line_end", "text", F.length("_text").alias("size"), "title", *parts, "matched", "score")

@@ -31,3 +31,15 @@ def test_best_rows_stay_and_hopeless_ones_are_not_measured(spark):
         return {k: sorted((s for (o, _), s in lines.items() if o == k), reverse=True)[:3] for k in "ab"}
 
     assert best([tuple(x) for x in scores if x["score"] is not None]) == best(plain)
+
+
+def test_the_score_of_line_mapping_on_numbers_is_that_of_its_columns(spark):
+    from quillstone.operators.align import mapping_score
+    from quillstone.operators.mapping import _mapping_total
+
+    steps = (0.0, 0.15, 0.2, 0.76, 0.88, 1.0)
+    rows = [(t, d, e, s, m) for t in steps for d in steps for e in (0.1, 0.9) for s in (0.0, 0.2, 1.0) for m in (0, 2)]
+    df = spark.createDataFrame(rows, "t double, d double, e double, s double, m int")
+    found = df.select("*", mapping_score(*[F.col(c) for c in "tdesm"]).alias("score")).collect()
+    assert all(abs(_mapping_total(x["t"], x["d"], x["e"], x["s"], x["m"], True) - x["score"]) < 1e-6 for x in found)
+    assert _mapping_total(1.0, 1.0, 1.0, 1.0, 3, False) == 0.0
