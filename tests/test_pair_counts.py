@@ -1,8 +1,12 @@
 """Rankings must not make a row for every pair of rows that share a key."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.operators import hybrid
+from quillstone.operators import blocks, hybrid, keyword
 from plan_rows import rows_out
 
 
@@ -17,3 +21,46 @@ def test_equal_questions_do_not_meet_equal_cards_in_pairs(spark):
     rows, most = rows_out(hybrid.direct_override(asked, none, hybrid.direct_matches(cards)), ["Join"])
     assert len(rows) == 300 and {(r.answer_id, r.score) for r in rows} == {("a0", 340.0)}
     assert most <= 300
+
+
+def test_shared_tokens_make_no_row_per_pair(spark):
+    """300 cards and 50 questions of the same 20 words, whose pairs lie beyond a block's best; a priority that takes points away included."""
+    words, turned = (" ".join(f"w{i}x" for i in order) for order in (range(20), range(19, -1, -1)))
+    cards = spark.range(300).select(
+        F.col("id").alias("ordinal"), F.concat(F.lit("a"), "id").alias("answer_id"), F.concat(F.lit(f"{words} c"), "id").alias("canonical_question"),
+        F.array(F.lit(f"{words} p")).alias("student_question_patterns"), F.array(F.lit(words)).alias("answer_points"),
+        F.array().cast("array<string>").alias("must_include"),
+    )
+    rag = spark.createDataFrame([(0, "a7", 100, "", True)], "ordinal long, object_id string, retrieval_priority long, index_text string, primary_output boolean")
+    asked = spark.range(50).select(F.concat(F.lit("q"), "id").alias("question_id"), F.concat(F.lit("n"), "id", F.lit(f" z {turned}")).alias("question"))
+    synonyms = spark.createDataFrame([(0, "a0", "", f"n3 z {turned}", "-60")], "ordinal long, target_id string, standard_id string, alias_or_question string, priority string")
+    rows, most = rows_out(keyword.keyword_scores(asked, cards, synonyms, rag, 2).select("question_id", "rank", "answer_id", "score"), ["Join"])
+    best = {}
+    for r in rows:
+        best.setdefault(r.question_id, {})[r["rank"]] = (r.answer_id, r.score)
+    assert best.pop("q3") == {1: ("a7", 105.0), 2: ("a1", 90.0)}
+    assert len(best) == 49 and all(x == {1: ("a7", 105.0), 2: ("a0", 90.0)} for x in best.values())
+    assert most < 300 * 50
+
+
+def test_block_counts_and_ranking_equal_brute_force():
+    rnd = random.Random(5)
+    texts = [[f"t{int(rnd.paretovariate(0.6))}" for _ in range(rnd.randint(0, 30))] for _ in range(700)]
+    texts = [sorted(set(t)) for t in texts]
+    cards, asked = texts[:600], texts[600:]
+    vocabulary = pa.array(sorted({w for t in asked for w in t}))
+    c, q = (blocks.Tokens(pa.chunked_array([pa.array(x, pa.list_(pa.string()))]), vocabulary) for x in (cards, asked))
+    want = np.array([[len(set(a) & set(b)) for b in asked] for a in cards])
+    ids = np.arange(600), np.arange(100)
+    assert (blocks.shared_counts(c.of(ids[0]), 600, q.of(ids[1]), 100, len(vocabulary)) == want).all()
+    config = np.array([rnd.choice([0.0, 0.3, 5.0]) for _ in cards])
+    parts = lambda x, y: (np.zeros((len(x), len(y))), np.zeros((len(x), len(y))), np.broadcast_to(config[x][:, None], (len(x), len(y))))
+    got = blocks.best_pairs(c, c, q, len(vocabulary), ids[0], parts, config, (6.0, 24.0, 1.5, 6.0), 4)
+    score = np.minimum(24, 6.0 * want) + np.minimum(6, 1.5 * want) + config[:, None]
+    found = {}
+    for card, question, focused, body in zip(*got):
+        assert focused == body == want[card, question]
+        found.setdefault(question, set()).add(card)
+    for j in range(100):
+        best = [i for i in sorted(range(600), key=lambda i: (-score[i, j], i)) if score[i, j] > 0][:4]
+        assert found.get(j, set()) == set(best)
