@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.operators import blocks, hybrid, keyword
+from quillstone.operators import blocks, hybrid, keyword, resources
 from plan_rows import rows_out
 
 
@@ -64,3 +64,30 @@ def test_block_counts_and_ranking_equal_brute_force():
     for j in range(100):
         best = [i for i in sorted(range(600), key=lambda i: (-score[i, j], i)) if score[i, j] > 0][:4]
         assert found.get(j, set()) == set(best)
+
+
+def test_recommendations_make_no_row_per_pair(spark):
+    """Against brute force: named and suppressed resources, cards that share no point, and ranks that ties leave to the order."""
+    rnd = random.Random(9)
+    word = lambda n: " ".join(f"w{rnd.randint(1, 40)}" for _ in range(n))
+    point = lambda: [f"k{rnd.randint(1, 6)}" for _ in range(rnd.randint(0, 2))]
+    cards = [(f"a{i}", word(rnd.randint(0, 25)), [word(3)], [], point(), [f"r{i}"] if i % 3 else []) for i in range(120)]
+    rows = [(f"r{j}", j, word(rnd.randint(1, 20)), "", [word(2)], point(), rnd.choice(["bound", "x"]), j % 4 == 0) for j in range(150)]
+    c = spark.createDataFrame(
+        cards, "answer_id string, canonical_question string, answer_points array<string>, must_include array<string>, related_kps array<string>, recommended_resources array<string>"
+    )
+    r = spark.createDataFrame(
+        rows, "resource_id string, ordinal long, title string, description string, keywords array<string>, related_kps array<string>, status string, suppress_recommendation boolean"
+    )
+    found, most = rows_out(resources.recommend_resources(c, r, 3), ["Join"])
+    want = set()
+    for a, question, listed, _, kps, named in cards:
+        scored = []
+        for rid, ordinal, title, _, keywords, points, status, hidden in rows:
+            shared = len(set(f"{question} {listed[0]}".split()) & set(f"{title} {keywords[0]}".split()))
+            score = 100 * (rid in named) + 25 * len(set(kps) & set(points)) + min(30, 3 * shared) + 5 * (status == "bound")
+            if score > 0 and (not hidden or rid in named):
+                scored.append((-score, ordinal, rid))
+        want |= {(a, n, rid, float(-score)) for n, (score, _, rid) in enumerate(sorted(scored)[:3], 1)}
+    assert {tuple(x) for x in found} == want
+    assert most <= 120
