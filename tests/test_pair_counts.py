@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.operators import blocks, hybrid, keyword, resources
+from quillstone.operators import blocks, hybrid, keyword, merge, resources
 from plan_rows import rows_out
 
 
@@ -91,3 +91,26 @@ def test_recommendations_make_no_row_per_pair(spark):
         want |= {(a, n, rid, float(-score)) for n, (score, _, rid) in enumerate(sorted(scored)[:3], 1)}
     assert {tuple(x) for x in found} == want
     assert most <= 120
+
+
+def test_recommended_by_points_only_gives_pairs_out(spark):
+    """Cards and resources of one knowledge point: the result has all pairs, but none is shuffled; own resources move the ranks."""
+    cards = spark.range(60).select(
+        F.concat(F.lit("a"), "id").alias("answer_id"), F.array(F.lit("k"), F.when(F.col("id") % 2 == 0, F.lit("z"))).alias("related_kps"),
+        F.when(F.col("id") < 50, F.array(F.concat(F.lit("r"), F.col("id") % 40), F.lit("x"))).alias("recommended_resources"),
+    )
+    offered = spark.range(80).select(
+        (F.col("id") * 1000 % 77).alias("ordinal"), F.concat(F.lit("r"), "id").alias("resource_id"), F.lit("interactive_html").alias("resource_type"),
+        F.array(F.when(F.col("id") % 8 == 0, F.lit("z")).otherwise(F.lit("k")), F.lit("k")).alias("related_kps"),
+    )
+    found = merge.recommended_by_points(cards, offered, at_once=7)
+    rows, most = rows_out(found, ["Exchange"])
+    got, want = {}, {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r.answer_id, []).append((r["rank"], r.resource_id))
+    order = [f"r{i}" for i in sorted(range(80), key=lambda i: (i * 1000 % 77, f"r{i}"))]
+    for i in range(60):
+        own = [f"r{i % 40}", "x"] if i < 50 else []
+        want[f"a{i}"] = list(enumerate(own + [r for r in order if r not in own], 1))
+    assert got == want
+    assert most < 60 * 80 / 2
