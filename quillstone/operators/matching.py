@@ -10,7 +10,10 @@ posting shared by a third of all rows is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import sqltext as S
@@ -24,6 +27,10 @@ BROADCAST_BYTES = 64 << 20
 #: (gram size, distance of the places where a haystack is cut, least length of a needle)
 GRAMS = ((1, 1, 1), (2, 1, 2), (2, 2, 3), (4, 2, 5), (6, 4, 9), (8, 8, 15), (16, 16, 31))
 
+#: Bytes of haystacks that meet in one task, at least and at most, and of needles that they meet.
+HAYSTACK_BYTES = (1 << 20, 48 << 20)
+NEEDLE_BYTES = 16 << 20
+
 
 def within(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; stops counting beyond it."""
@@ -143,3 +150,83 @@ def contains_pairs(
     hits = hits.join(F.broadcast(pins) if facts["bytes"] <= text_limit else pins, "_pin")
     held = hits.join(texts, haystack_id).where(F.contains("_hay", F.col("_needle"))).select(haystack_id, "_pin")
     return held.join(named.select("_pin", needle_id), "_pin").select(haystack_id, needle_id)
+
+
+class Search:
+    """Needles that are looked up in one text after the other until each is found.
+
+    A needle of class (n, s) is known by one gram of *n* characters for each of the *s* offsets at which a text may have been
+    cut: of all such grams inside the needle, the one that fewest needles hold.
+    """
+
+    def __init__(self, needles: list[str]):
+        self.needles, self.open = needles, [True] * len(needles)
+        classes: dict[int, list[int]] = {}
+        for i, needle in enumerate(needles):
+            classes.setdefault(max(c for c, (_, _, least) in enumerate(GRAMS) if len(needle) >= least), []).append(i)
+        self.keys: list[tuple[int, int, dict[str, list[int]], set[str]]] = []
+        for c, members in sorted(classes.items()):
+            size, step, _ = GRAMS[c]
+            often = Counter(needles[i][at : at + size] for i in members for at in range(len(needles[i]) - size + 1)) if step > 1 else Counter()
+            keys: dict[str, list[int]] = {}
+            for i in members:
+                text = needles[i]
+                for gram in {min((text[at : at + size] for at in range(o, len(text) - size + 1, step)), key=often.__getitem__) for o in range(step)}:
+                    keys.setdefault(gram, []).append(i)
+            self.keys.append((size, step, keys, set(keys)))
+
+    def found_in(self, text: str) -> list[int]:
+        """Places of the needles that this text is the first to hold."""
+        found = []
+        for size, step, keys, names in self.keys:
+            if not names:
+                continue
+            for gram in names & {text[at : at + size] for at in range(0, len(text) - size + 1, step)}:
+                left = [i for i in keys[gram] if self.open[i]]
+                hits = {i for i in left if self.needles[i] in text}
+                for i in hits:
+                    self.open[i] = False
+                found += hits
+                left = [i for i in left if i not in hits]
+                if left:
+                    keys[gram] = left
+                else:
+                    del keys[gram]
+                    names.discard(gram)
+        return found
+
+
+def held_in_group(
+    haystacks: DataFrame, haystack_id: str, haystack_text: str, needles: DataFrame, needle_text: str, group: str, size: Column | None = None,
+    haystack_bytes: tuple[int, int] = HAYSTACK_BYTES, needle_bytes: int = NEEDLE_BYTES,
+) -> DataFrame:
+    """Distinct (group, needle text) where the needle text lies in any haystack of its own group.
+
+    No row is made for a (haystack, needle) pair.  Haystacks and needles of a group are dealt to blocks of bounded bytes, block
+    meets block in one task, and a needle that a block's text holds is not looked for in its later ones.  ``size`` is a text's
+    number of bytes where that, or a bound of it, is known without making the text.
+    """
+    texts = haystacks.where(F.col(group).isNotNull()).select(group, haystack_id, F.col(haystack_text).alias("_hay"))
+    wanted = needles.where(F.length(needle_text) > 0).select(group, F.col(needle_text).alias("_needle")).distinct()
+    sizes = haystacks.groupBy(group).agg(F.sum(F.octet_length(haystack_text) if size is None else size).alias("_bytes"))
+    least, most = haystack_bytes
+    share = F.sum("_bytes").over(Window.partitionBy()) / (4 * haystacks.sparkSession.sparkContext.defaultParallelism)  # a row per group
+    parts = sizes.select(group, F.ceil(F.col("_bytes") / F.greatest(F.lit(least), F.least(F.lit(most), share))).cast("int").alias("_parts")).where("_parts > 0")
+    blocks = wanted.groupBy(group).agg(F.ceil(F.sum(F.octet_length("_needle")) / F.lit(needle_bytes)).cast("int").alias("_blocks"))
+    shape = parts.join(blocks, group)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hay = texts.join(F.broadcast(shape), group).select(group, "_hay", F.pmod(F.xxhash64(haystack_id), "_parts").cast("int").alias("_part"), upto("_blocks").alias("_block"))
+    pins = wanted.join(F.broadcast(shape), group).select(group, "_needle", F.pmod(F.xxhash64("_needle"), "_blocks").cast("int").alias("_block"), upto("_parts").alias("_part"))
+    keys = [group, "_part", "_block"]
+    kind = haystacks.schema[group].dataType.simpleString()
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = right.column("_needle")
+        found, job = [], Search(names.to_pylist())
+        for batch in left.select(["_hay"]).to_batches(256) if left.num_rows else []:
+            for text in batch.column(0).to_pylist():
+                found += job.found_in(text or "")
+        hits = right.select([group, "_needle"]).take(pa.array(found, pa.int64()))
+        return hits
+
+    return hay.groupBy(*keys).cogroup(pins.groupBy(*keys)).applyInArrow(search, f"`{group}` {kind}, _needle string").distinct().withColumnRenamed("_needle", needle_text)

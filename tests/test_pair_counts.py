@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.operators import blocks, hybrid, keyword, merge, resources
+from quillstone.operators import align, blocks, hybrid, keyword, matching, merge, resources
 from plan_rows import rows_out
 
 
@@ -114,3 +114,29 @@ def test_recommended_by_points_only_gives_pairs_out(spark):
         want[f"a{i}"] = list(enumerate(own + [r for r in order if r not in own], 1))
     assert got == want
     assert most < 60 * 80 / 2
+
+
+def test_needles_of_a_group_are_found_without_a_row_per_pair(spark):
+    """Against brute force: needles of every length class, blocks of both sides, and one needle that all texts hold."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abé") for _ in range(n))
+    texts = [(i, rnd.choice(["x", "y", "z", None]), word(rnd.randint(0, 90)) + "qq" + word(20)) for i in range(400)]
+    pins = [("x", "qq"), ("y", "qq"), (None, "a"), ("w", "a"), ("x", "")]
+    for _ in range(400):
+        text = rnd.choice(texts)[2]
+        size, at = rnd.choice([1, 2, 3, 4, 5, 8, 9, 14, 15, 30, 31, 60]), rnd.randrange(len(text))
+        pins.append((rnd.choice("xyz"), text[at : at + size] if rnd.random() < 0.7 else word(size)))
+    hay = spark.createDataFrame(texts, "id long, g string, t string")
+    needles = spark.createDataFrame(pins, "g string, n string")
+    want = {(g, n) for g, n in pins if g and n and any(g == h and n in t for _, h, t in texts)}
+    for sizes in ((matching.HAYSTACK_BYTES, matching.NEEDLE_BYTES), ((1, 4000), 900)):
+        rows, most = rows_out(matching.held_in_group(hay, "id", "t", needles, "n", "g", None, *sizes), ["Join", "ArrowPython", "InArrow", "CoGroup"])
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    chunks = spark.createDataFrame([(1, "c", "qq")], "chunk_id long, chapter_id string, excerpt string")
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("c").alias("chapter_id"), F.concat(F.lit("QQ s "), "id").alias("text"))
+    rows, most = rows_out(align.alignment_status(chunks, docs, F.array(F.lit("s"), F.lit("q s"))), ["Join"])
+    assert [tuple(r) for r in rows] == [(1, "exact")]
+    asked = spark.createDataFrame([("k", "i", "c", ["no such", "q s"])], "kind string, item_id string, chapter_id string, terms array<string>")
+    rows, few = rows_out(align.term_hits(asked, docs), ["Generate", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin"])
+    assert [tuple(r) for r in rows] == [("k", "i", True, "q s")]
+    assert few <= 500  # a row per document, none per gram of its text
