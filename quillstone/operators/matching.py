@@ -196,6 +196,25 @@ class Search:
         return found
 
 
+def block_counts(haystacks: DataFrame, size: Column, needles: DataFrame, needle_size: Column, group: str, haystack_bytes: tuple[int, int], needle_bytes: int) -> DataFrame:
+    """(group, _parts, _blocks): into how many parts the haystacks and the needles of a group are dealt, so that each has bounded bytes."""
+    sizes = haystacks.where(F.col(group).isNotNull()).groupBy(group).agg(F.sum(size).alias("_bytes"))
+    least, most = haystack_bytes
+    share = F.sum("_bytes").over(Window.partitionBy()) / (4 * haystacks.sparkSession.sparkContext.defaultParallelism)  # a row per group
+    parts = F.ceil(F.col("_bytes") / F.greatest(F.lit(least), F.least(F.lit(most), share)))
+    blocks = needles.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.sum(needle_size) / F.lit(needle_bytes))).cast("int").alias("_blocks"))
+    return sizes.select(group, F.greatest(F.lit(1), parts).cast("int").alias("_parts")).join(blocks, group)
+
+
+def dealt_blocks(haystacks: DataFrame, haystack_id: str, needles: DataFrame, needle_id: str, group: str, counts: DataFrame):
+    """Both sides grouped by block, every part of the haystacks with every block of the needles of its group, to be put together by ``cogroup``."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    hay = haystacks.join(F.broadcast(counts), group).select(*haystacks.columns, deal(haystack_id, "_parts").alias("_part"), upto("_blocks").alias("_block"))
+    pins = needles.join(F.broadcast(counts), group).select(*needles.columns, deal(needle_id, "_blocks").alias("_block"), upto("_parts").alias("_part"))
+    return hay.groupBy(group, "_part", "_block"), pins.groupBy(group, "_part", "_block")
+
+
 def held_in_group(
     haystacks: DataFrame, haystack_id: str, haystack_text: str, needles: DataFrame, needle_text: str, group: str, size: Column | None = None,
     haystack_bytes: tuple[int, int] = HAYSTACK_BYTES, needle_bytes: int = NEEDLE_BYTES,
@@ -206,27 +225,18 @@ def held_in_group(
     meets block in one task, and a needle that a block's text holds is not looked for in its later ones.  ``size`` is a text's
     number of bytes where that, or a bound of it, is known without making the text.
     """
-    texts = haystacks.where(F.col(group).isNotNull()).select(group, haystack_id, F.col(haystack_text).alias("_hay"))
+    texts = haystacks.select(group, haystack_id, F.col(haystack_text).alias("_hay"))
     wanted = needles.where(F.length(needle_text) > 0).select(group, F.col(needle_text).alias("_needle")).distinct()
-    sizes = haystacks.groupBy(group).agg(F.sum(F.octet_length(haystack_text) if size is None else size).alias("_bytes"))
-    least, most = haystack_bytes
-    share = F.sum("_bytes").over(Window.partitionBy()) / (4 * haystacks.sparkSession.sparkContext.defaultParallelism)  # a row per group
-    parts = sizes.select(group, F.ceil(F.col("_bytes") / F.greatest(F.lit(least), F.least(F.lit(most), share))).cast("int").alias("_parts")).where("_parts > 0")
-    blocks = wanted.groupBy(group).agg(F.ceil(F.sum(F.octet_length("_needle")) / F.lit(needle_bytes)).cast("int").alias("_blocks"))
-    shape = parts.join(blocks, group)
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    hay = texts.join(F.broadcast(shape), group).select(group, "_hay", F.pmod(F.xxhash64(haystack_id), "_parts").cast("int").alias("_part"), upto("_blocks").alias("_block"))
-    pins = wanted.join(F.broadcast(shape), group).select(group, "_needle", F.pmod(F.xxhash64("_needle"), "_blocks").cast("int").alias("_block"), upto("_parts").alias("_part"))
-    keys = [group, "_part", "_block"]
+    size = F.octet_length(haystack_text) if size is None else size
+    counts = block_counts(haystacks, size, wanted, F.octet_length("_needle"), group, haystack_bytes, needle_bytes)
+    hay, pins = dealt_blocks(texts, haystack_id, wanted, "_needle", group, counts)
     kind = haystacks.schema[group].dataType.simpleString()
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = right.column("_needle")
-        found, job = [], Search(names.to_pylist())
+        found, job = [], Search(right.column("_needle").to_pylist())
         for batch in left.select(["_hay"]).to_batches(256) if left.num_rows else []:
             for text in batch.column(0).to_pylist():
                 found += job.found_in(text or "")
-        hits = right.select([group, "_needle"]).take(pa.array(found, pa.int64()))
-        return hits
+        return right.select([group, "_needle"]).take(pa.array(found, pa.int64()))
 
-    return hay.groupBy(*keys).cogroup(pins.groupBy(*keys)).applyInArrow(search, f"`{group}` {kind}, _needle string").distinct().withColumnRenamed("_needle", needle_text)
+    return hay.cogroup(pins).applyInArrow(search, f"`{group}` {kind}, _needle string").distinct().withColumnRenamed("_needle", needle_text)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.operators import align, blocks, hybrid, keyword, matching, merge, resources
+from quillstone.operators import align, blocks, hybrid, keyword, matching, merge, resources, trigram
 from plan_rows import rows_out
 
 
@@ -140,3 +140,26 @@ def test_needles_of_a_group_are_found_without_a_row_per_pair(spark):
     rows, few = rows_out(align.term_hits(asked, docs), ["Generate", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin"])
     assert [tuple(r) for r in rows] == [("k", "i", True, "q s")]
     assert few <= 500  # a row per document, none per gram of its text
+
+
+def test_texts_that_share_trigrams_make_no_row_per_pair(spark):
+    """Texts and questions of common words: a row for a similar pair only, and a request's best ``k`` of a task."""
+    rnd = random.Random(4)
+    words = [f"w{i}x" for i in range(60)]
+    say = lambda n: " ".join(rnd.sample(words, n))
+    texts = [(i, say(rnd.randint(1, 40)) if i % 9 else "") for i in range(300)]
+    asked = [(i, say(rnd.randint(1, 12))) for i in range(59)] + [(59, "")]
+    grams = lambda text: {f"  {w} "[i : i + 3] for w in text.split() for i in range(len(w) + 1)}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    scores = {(i, j): share(grams(t), grams(q)) for i, t in texts for j, q in asked}
+    t, q = spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(asked, "question_id long, question string")
+    want = {pair: s for pair, s in scores.items() if s >= 0.3}
+    for limit in (1_000_000, 400):
+        rows, most = rows_out(trigram.similar_pairs(t, q, 0.3, limit), ["Join", "CoGroup"])
+        assert {(r.text_id, r.question_id): r.sim for r in rows} == want
+        assert most < len(texts) * 10
+    chunks = t.select(F.col("text_id").alias("chunk_id"), F.lit("s").alias("section_id"), F.col("text").alias("source_excerpt"), F.lit("no_direct_output").alias("usable_for_answer"))
+    rows, most = rows_out(trigram.evidence_lookup(chunks, q.withColumn("section_id", F.lit("s")), 3), ["Join", "CoGroup"])
+    best = {(j, n, i) for j, _ in asked for n, (_, i) in enumerate(sorted((-scores[i, j], i) for i, _ in texts)[:3], 1)}
+    assert {(r.question_id, r["rank"], r.chunk_id) for r in rows} == best
+    assert most < len(texts) * 10
