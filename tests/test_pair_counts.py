@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.operators import align, blocks, hybrid, keyword, matching, merge, resources, trigram
+from quillstone.operators import align, blocks, hybrid, keyword, matching, merge, operations, resources, trigram
 from plan_rows import rows_out
 
 
@@ -163,3 +163,30 @@ def test_texts_that_share_trigrams_make_no_row_per_pair(spark):
     best = {(j, n, i) for j, _ in asked for n, (_, i) in enumerate(sorted((-scores[i, j], i) for i, _ in texts)[:3], 1)}
     assert {(r.question_id, r["rank"], r.chunk_id) for r in rows} == best
     assert most < len(texts) * 10
+
+
+def test_tasks_that_only_share_tokens_make_no_row(spark):
+    """Against brute force; equal questions and equal names are searched once, and shared tokens alone (75 points) make no pair."""
+    rnd = random.Random(7)
+    say = lambda n: " ".join(rnd.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(n))
+    asked = [(f"q{i}", rnd.choice(["step ", "fix ", ""]) + say(rnd.randint(1, 6))) for i in range(150)] + [("q150", "step aa-bb"), ("q151", "step aa bb")]
+    tasks = [(f"t{i}", 1000 - i, rnd.choice(["", "?", say(1), say(3), "step " + say(7)]), rnd.choice(["", "!", "zz", say(2)])) for i in range(200)]
+    words = operations.OperationWords(("fix",), ("check",), ("step",))
+    q, t = spark.createDataFrame(asked, "question_id string, question string"), spark.createDataFrame(tasks, "task_id string, ordinal long, task_name string, task_goal string")
+    rows, most = rows_out(operations.match_tasks(q, t, words), ["Join"])
+    plain = lambda text: "".join(c for c in text if c.isalnum() or c == "-")
+    want = set()
+    for i, text in asked:
+        scored = []
+        for task, ordinal, name, goal in tasks:
+            points = 140 if plain(name) and plain(name) in plain(text) else 100 if name and plain(text) in plain(name) else 0
+            scored.append((-points - 15 * (plain(goal) != "" and bool(set(goal.split()) & set(text.split()))), ordinal, task))
+        score, _, task = min(scored)
+        if text.split()[0] in ("step", "fix") and -score >= 80:
+            want.add((i, task, float(-score)))
+    assert {(r.question_id, r.task_id, r.score) for r in rows} == want
+    many = spark.range(300)
+    q = many.select(F.concat(F.lit("q"), "id").alias("question_id"), F.concat(F.lit("step aa bb c"), "id").alias("question"))
+    t = many.select(F.concat(F.lit("t"), "id").alias("task_id"), F.col("id").alias("ordinal"), F.concat(F.lit("bb aa d"), "id").alias("task_name"), F.lit("aa cc").alias("task_goal"))
+    rows, most = rows_out(operations.match_tasks(q, t, words), ["Join"])
+    assert rows == [] and most < 300 * 300 / 4
