@@ -175,6 +175,14 @@ class Search:
                     keys.setdefault(gram, []).append(i)
             self.keys.append((size, step, keys, set(keys)))
 
+    def all_in(self, text: str) -> set[int]:
+        """Places of all needles that this text holds."""
+        found: set[int] = set()
+        for size, step, keys, names in self.keys:
+            for gram in names & {text[at : at + size] for at in range(0, len(text) - size + 1, step)}:
+                found.update(i for i in keys[gram] if i not in found and self.needles[i] in text)
+        return found
+
     def found_in(self, text: str) -> list[int]:
         """Places of the needles that this text is the first to hold."""
         found = []
@@ -240,3 +248,27 @@ def held_in_group(
         return right.select([group, "_needle"]).take(pa.array(found, pa.int64()))
 
     return hay.cogroup(pins).applyInArrow(search, f"`{group}` {kind}, _needle string").distinct().withColumnRenamed("_needle", needle_text)
+
+
+def holder_counts(
+    haystacks: DataFrame, haystack_id: str, haystack_text: str, kind: str, needles: DataFrame, needle_text: str, size: Column,
+    haystack_bytes: tuple[int, int] = HAYSTACK_BYTES, needle_bytes: int = NEEDLE_BYTES,
+) -> DataFrame:
+    """(kind, needle text, hits): how many haystacks of each kind hold a needle, counted block against block."""
+    one = F.lit(0).alias("_group")
+    texts = haystacks.select(one, haystack_id, kind, F.col(haystack_text).alias("_hay"))
+    wanted = needles.where(F.length(needle_text) > 0).select(one, F.col(needle_text).alias("_needle")).distinct()
+    counts = block_counts(haystacks.select(one, size.alias("_size")), F.col("_size"), wanted, F.octet_length("_needle"), "_group", haystack_bytes, needle_bytes)
+    hay, pins = dealt_blocks(texts, haystack_id, wanted, "_needle", "_group", counts)
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = right.column("_needle").to_pylist()
+        job, hits = Search(names), Counter()
+        for batch in left.select([kind, "_hay"]).to_batches(256) if left.num_rows else []:
+            for own, text in zip(*(column.to_pylist() for column in batch.columns)):
+                hits.update((own, i) for i in job.all_in(text or ""))
+        columns = [pa.array([own for own, _ in hits], pa.string()), pa.array([names[i] for _, i in hits], pa.string()), pa.array(list(hits.values()), pa.int64())]
+        return pa.table(columns, names=[kind, "_needle", "hits"])
+
+    found = hay.cogroup(pins).applyInArrow(count, f"`{kind}` string, _needle string, hits bigint")
+    return found.groupBy(kind, F.col("_needle").alias(needle_text)).agg(F.sum("hits").alias("hits"))

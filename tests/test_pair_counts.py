@@ -190,3 +190,16 @@ def test_tasks_that_only_share_tokens_make_no_row(spark):
     t = many.select(F.concat(F.lit("t"), "id").alias("task_id"), F.col("id").alias("ordinal"), F.concat(F.lit("bb aa d"), "id").alias("task_name"), F.lit("aa cc").alias("task_goal"))
     rows, most = rows_out(operations.match_tasks(q, t, words), ["Join"])
     assert rows == [] and most < 300 * 300 / 4
+
+
+def test_texts_that_hold_a_term_are_counted_without_a_row_each(spark):
+    texts = spark.range(600).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("kind"), F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("The One "), "id").alias("text"))
+    terms = spark.createDataFrame([("the",), ("The",), ("one 59",), ("none",)], "term string")
+    rows, most = rows_out(align.term_matrix(terms, texts), ["Join", "Generate"])
+    want = {("one 59", k): sum(str(i).startswith("59") and (i % 3 == 0) == (k == "a") for i in range(600)) for k in "ab"}
+    assert {(r.term, r.kind): r.hits for r in rows} == {**{(x, k): n for x in ("the", "The") for k, n in (("a", 200), ("b", 400))}, **want}
+    assert most <= 600
+    known = texts.select("doc_id", "text")
+    rows, most = rows_out(align.frequent_terms(known.union(known.limit(5).select("doc_id", F.lit("rare rare"))), known, "[A-Za-z]{3,}"), ["CoGroup", "SortMergeJoin", "ShuffledHashJoin"])
+    assert [tuple(r) for r in rows] == [("rare", 10)]
+    assert most <= 600
