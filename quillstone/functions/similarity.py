@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from quillstone.functions.sequence import Second, trigrams
 from quillstone.functions.text import ngrams
 
 
@@ -20,20 +21,33 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     Spark evaluates a Python function for every row, also in the branches of a
     CASE, so callers pass null where the ratio is not needed.
     """
-    matcher, ratios = SequenceMatcher(None), []
-    last = None
+    second, ratios = Second(""), []
     for a, b in zip(left, right):
         if a is None or b is None:
             ratios.append(None)
             continue
-        if b != last:  # the index of the second text is kept while it repeats
-            matcher.set_seq2(b)
-            last = b
-        matcher.set_seq1(a)
-        ratios.append(matcher.ratio())
+        if b != second.text:  # what is known of the second text is kept while it repeats
+            second = Second(b)
+        ratios.append(second.ratio(a))
     return pd.Series(ratios, dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def mixed_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """0.45 sequence + 0.55 trigram Jaccard; null where either side is null."""
+    known, grams, values = None, set(), []
+    for a, b in zip(left, right):
+        if a is None or b is None:
+            values.append(None)
+            continue
+        if a != known:  # a question stands beside many texts in turn
+            known, grams = a, trigrams(a)
+        others = trigrams(b)
+        both = len(grams & others)
+        values.append(0.45 * Second(b).ratio(a) + 0.55 * (both / (len(grams) + len(others) - both)))
+    return pd.Series(values, dtype="float64")
+
+
 def best_ratios(
     rows: DataFrame, key: str, place: list[str], parts: list[tuple[str, str, str, float]], high: str, total: Callable[..., float], extra: list[str], keep: int
 ) -> DataFrame:
@@ -108,12 +122,11 @@ def gram_jaccard(left: Column, right: Column, size: int = 3) -> Column:
 def text_similarity(left: Column, right: Column) -> Column:
     """TXT-17 on compact texts: containment first, else 0.45 sequence + 0.55 trigram Jaccard."""
     plain = (left == "") | (right == "") | F.contains(right, left) | F.contains(left, right)
-    ratio = sequence_ratio(F.when(~plain, left), F.when(~plain, right))
     return (
         F.when((left == "") | (right == ""), F.lit(0.0))
         .when(F.contains(right, left), F.lit(1.0))
         .when(F.contains(left, right), F.length(right) / F.length(left))
-        .otherwise(0.45 * ratio + 0.55 * gram_jaccard(left, right))
+        .otherwise(mixed_similarity(F.when(~plain, left), F.when(~plain, right)))
     )
 
 
@@ -131,4 +144,4 @@ def ratio_bound(left: Column, right: Column) -> Column:
     return 2 * F.least(F.length(left), F.length(right)) / (F.length(left) + F.length(right))
 
 
-__all__ = ["best_ratios", "gram_jaccard", "ratio_bound", "sequence_ratio", "settled", "text_similarity"]
+__all__ = ["best_ratios", "gram_jaccard", "mixed_similarity", "ratio_bound", "sequence_ratio", "settled", "text_similarity"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import similarity, support, text as T
 from quillstone.functions import values as V
 from quillstone.operators import relations as R
+from quillstone.operators.align import dealt
 from quillstone.plans.kb import KB, compact, lines, norm, sql, toks
 from quillstone.plans.registry import register
 
@@ -204,9 +205,10 @@ def _(kb: KB) -> DataFrame:
 def _(kb: KB) -> DataFrame:
     """The question against every pattern and point of its card; the sequence ratio has no SQL form."""
     others = F.concat("student_question_patterns", "answer_points")
-    rows = kb.cards.select("answer_id", "canonical_question", F.posexplode(others).alias("place", "other"))
-    left, right = T.compact_boundary(F.col("canonical_question")), T.compact_boundary(F.col("other"))
-    return rows.select("answer_id", "place", F.round(similarity.text_similarity(left, right), 6).alias("result"))
+    cards = kb.cards.select("answer_id", T.compact_boundary(F.col("canonical_question")).alias("_left"), others.alias("_others"))
+    rows = dealt(cards.select("answer_id", "_left", F.posexplode("_others").alias("place", "other")), "answer_id", "_left")
+    texts = rows.select("answer_id", "place", "_left", T.compact_boundary(F.col("other")).alias("_right"))
+    return texts.select("answer_id", "place", F.round(similarity.text_similarity(F.col("_left"), F.col("_right")), 6).alias("result"))
 
 
 GRAM2 = "list_distinct([{0}[i:i+1] for i in range(1, length({0}))])"
