@@ -214,12 +214,17 @@ def block_counts(haystacks: DataFrame, size: Column, needles: DataFrame, needle_
     return sizes.select(group, F.greatest(F.lit(1), parts).cast("int").alias("_parts")).join(blocks, group)
 
 
-def dealt_blocks(haystacks: DataFrame, haystack_id: str, needles: DataFrame, needle_id: str, group: str, counts: DataFrame):
-    """Both sides grouped by block, every part of the haystacks with every block of the needles of its group, to be put together by ``cogroup``."""
+def dealt_blocks(haystacks: DataFrame, haystack_id: str, needles: DataFrame, needle_id: str, group: str, counts: DataFrame, tasks: int = 0):
+    """Both sides grouped by block, every part of the haystacks with every block of the needles of its group, to be put together by ``cogroup``.
+
+    ``tasks``: how many tasks the blocks are dealt to where few bytes are much work; else Spark puts them together by their size.
+    """
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
     hay = haystacks.join(F.broadcast(counts), group).select(*haystacks.columns, deal(haystack_id, "_parts").alias("_part"), upto("_blocks").alias("_block"))
     pins = needles.join(F.broadcast(counts), group).select(*needles.columns, deal(needle_id, "_blocks").alias("_block"), upto("_parts").alias("_part"))
+    if tasks:
+        hay, pins = (side.repartition(tasks, group, "_part", "_block") for side in (hay, pins))
     return hay.groupBy(group, "_part", "_block"), pins.groupBy(group, "_part", "_block")
 
 
