@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions import similarity
 from quillstone.functions import text as T
-from quillstone.operators.align import dealt, line_windows, mapping_score, mapping_status
-from quillstone.operators.matching import BROADCAST_BYTES, salted_join
+from quillstone.operators.align import line_windows, mapping_score, mapping_status
+from quillstone.operators.matching import BROADCAST_BYTES
+from quillstone.operators.nearest import CHUNK_BYTES, Measure, nearest_windows
 from quillstone.operators.topk import keep_first, top_k
 
 #: Lines of a stretch, the bucket of the range join.
@@ -49,25 +50,14 @@ def section_windows(lines: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def _queries(chunks: DataFrame) -> DataFrame:
-    """Compact title, definition and excerpt, their trigrams and the chunk's terms."""
+    """Compact title, definition and excerpt and the chunk's terms."""
     title = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("section_title", "chunk_summary", "kp_title")], F.lit(""))
     listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     values = F.concat(F.array(title), listed(F.col("aliases")), listed(F.col("keywords")), F.array("definition", "source_excerpt"), F.slice(listed(F.col("key_points")), 1, 2))
-    rows = chunks.select(
+    return chunks.select(
         "chunk_id", "section_id", T.compact_mapping(title).alias("_title"), T.compact_mapping("definition").alias("_definition"),
         T.compact_mapping("source_excerpt").alias("_excerpt"), F.transform(T.mapping_terms(values), T.compact_mapping).alias("_terms"),
     )
-    return rows.select("*", *[T.ngrams(F.col(f"_{c}"), 3).alias(f"_{c}_grams") for c in ("definition", "excerpt")])
-
-
-def _title_known(title: Column, first: Column, window: Column) -> Column:
-    """What a title scores where no sequence matcher is needed, else null."""
-    return (
-        F.when((title == "") | (window == ""), 0.0)
-        .when(title == first, 1.0)
-        .when(F.contains(first, title) | F.contains(title, first), 0.88)
-        .when(F.contains(window, title), 0.76)
-    )
 
 
 def _ranked(scored: DataFrame) -> DataFrame:
@@ -85,56 +75,31 @@ def _mapping_total(title: float, definition: float, excerpt: float, share: float
     return min(1.0, 0.30 * title + 0.25 * definition + 0.25 * excerpt + 0.20 * share + more)
 
 
+def _mapping_totals(title: np.ndarray, definition: np.ndarray, excerpt: np.ndarray, share: np.ndarray, matched: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """``_mapping_total`` of arrays."""
+    support = np.maximum(np.maximum(definition, excerpt), share) >= 0.20 - 1e-9
+    more = np.where((title >= 0.88 - 1e-9) & support, 0.07, 0.0) + np.where((title >= 0.76 - 1e-9) & (matched >= 2), 0.04, 0.0)
+    return np.where(known, np.minimum(1.0, 0.30 * title + 0.25 * definition + 0.25 * excerpt + 0.20 * share + more), 0.0)
+
+
 def candidates(chunks: DataFrame, windows: DataFrame, first_lines: DataFrame) -> DataFrame:
     """Ranked candidates (chunk_id, rank, doc_id, line_start, line_end, text, title, definition, excerpt, matched, score).
 
     chunks(chunk_id, section_id, section_title, chunk_summary, source_excerpt, kp_title, definition, aliases, keywords,
-    key_points); windows as of ``section_windows``; first_lines(doc_id, ordinal, text).  The sequence matcher runs in Python, so each window
-    first gets an upper bound from what the JVM knows: containment, shared trigrams, terms and lengths.  A task matches only windows whose bound
-    reaches the fifth best score over different first lines that it has found.
+    key_points); windows as of ``section_windows``; first_lines(doc_id, ordinal, text).  Each window first gets an upper bound without the sequence
+    matcher (``nearest``): a task matches only windows whose bound reaches the fifth best score over different first lines that it has found.
     """
     asked = _queries(chunks)
     firsts = first_lines.select("doc_id", F.col("ordinal").alias("line_start"), T.compact_mapping("text").alias("_first"))
     rows = windows.select("section_id", "doc_id", "line_start", "line_end", "text", T.compact_mapping("text").alias("_text")).join(firsts, list(POSITION))
-    rows = dealt(rows, "doc_id", "line_start").select("*", T.ngrams(F.col("_text"), 3).alias("_grams"))
-    sized = asked.agg(F.coalesce(F.sum(F.lit(6) * (F.length("_definition") + F.length("_excerpt") + 100)), F.lit(0))).first()[0]  # texts and trigrams
-    pairs = rows.join(F.broadcast(asked), "section_id") if sized <= BROADCAST_BYTES else salted_join(rows, asked, ["section_id"], "doc_id")
-
-    def shared(part: str) -> Column:
-        both = F.size(F.array_intersect(f"_{part}_grams", "_grams"))
-        return both / (F.size(f"_{part}_grams") + F.size("_grams") - both)
-
-    parts = ("definition", "excerpt")
-    facts = pairs.select(
-        "chunk_id", "doc_id", "line_start", "line_end", "text", "_text", "_first", "_title", *[f"_{c}" for c in parts],
-        _title_known(F.col("_title"), F.col("_first"), F.col("_text")).alias("_t"),
-        *[similarity.settled(F.col(f"_{c}"), F.col("_text")).alias(f"_{c[0]}") for c in parts],
-        *[F.when(similarity.settled(F.col(f"_{c}"), F.col("_text")).isNull(), shared(c)).alias(f"_{c[0]}_shared") for c in parts],
-        F.size("_terms").alias("_asked"), F.size(F.filter("_terms", lambda t: F.contains(F.col("_text"), t))).alias("matched"),
-    )
-    share = F.when(F.col("_asked") > 0, F.col("matched") / F.col("_asked")).otherwise(0.0)
-    known = F.col("_text") != ""
-
-    def total(title: Column, definition: Column, excerpt: Column) -> Column:
-        return F.when(known, mapping_score(title, definition, excerpt, share, F.col("matched"))).otherwise(0.0)
-
-    ceiling = lambda c: F.coalesce(f"_{c[0]}", 0.45 * similarity.ratio_bound(F.col(f"_{c}"), F.col("_text")) + 0.55 * F.col(f"_{c[0]}_shared"))
-    title_most = F.coalesce("_t", 0.6 * similarity.ratio_bound(F.col("_title"), F.col("_first")))
-    bounded = facts.select(
-        "chunk_id", "doc_id", "line_start", "line_end", "text", "_text", "_first", "_title", *[f"_{c}" for c in parts], "matched", share.alias("_share"),
-        known.alias("_known"), total(title_most, *map(ceiling, parts)).alias("_high"),
-        F.col("_t").alias("title_known"), F.lit(0.0).alias("title_base"),
-        *[F.col(f"_{c[0]}").alias(f"{c}_known") for c in parts], *[(0.55 * F.col(f"_{c[0]}_shared")).alias(f"{c}_base") for c in parts],
-    )
-    asked_parts = [("title", "_title", "_first", 0.6), *[(c, f"_{c}", "_text", 0.45) for c in parts]]
-    measured = similarity.best_ratios(bounded, "chunk_id", list(POSITION), asked_parts, "_high", _mapping_total, ["_share", "matched", "_known"], CANDIDATES)
-    share = F.col("_share")
-    known_parts = measured.select(
-        "chunk_id", "doc_id", "line_start", "line_end", "text", "_text", "matched", "_share", F.coalesce("title_known", 0.6 * F.col("title_ratio")).alias("title"),
-        *[F.coalesce(f"{c}_known", 0.45 * F.col(f"{c}_ratio") + F.col(f"{c}_base")).alias(c) for c in parts],
-    )
-    scored = known_parts.withColumn("score", total(*[F.col(c) for c in ("title", *parts)]))
-    return _ranked(scored).select("chunk_id", "rank", "doc_id", "line_start", "line_end", "text", F.length("_text").alias("size"), "title", *parts, "matched", "score")
+    order = (*POSITION, "line_end")
+    measure = Measure((("_definition", 0.25), ("_excerpt", 0.25)), _mapping_total, _mapping_totals, POSITION, order, CANDIDATES, ("_title", 0.30))
+    parts = ("title", "definition", "excerpt")
+    size, block = 2 * F.octet_length("text") + F.lit(100), min(CHUNK_BYTES, max(BROADCAST_BYTES, 1024))
+    known_parts = nearest_windows(asked, rows, measure, list(parts), [*order, "text", "_text"], size, block).withColumn("matched", F.col("matched").cast("int"))
+    total = F.when(F.col("_text") != "", mapping_score(*map(F.col, parts), F.col("_share"), F.col("matched"))).otherwise(0.0)
+    scored = known_parts.withColumn("score", total)
+    return _ranked(scored).select("chunk_id", "rank", "doc_id", "line_start", "line_end", "text", F.length("_text").alias("size"), *parts, "matched", "score")
 
 
 def semantic_scores(found: DataFrame, similarities: DataFrame) -> DataFrame:
